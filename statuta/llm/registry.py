@@ -6,6 +6,8 @@ import importlib
 
 _QUERIES = {
     "op5_quality": "quality",
+    "op8_token_output": "token_output",
+    "op10_packing": "packing",
 }
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
