@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_fingerprint": "fingerprint",
     "op5_quality": "quality",
     "op8_token_output": "token_output",
     "op10_packing": "packing",
