@@ -6,7 +6,9 @@ import importlib
 
 _QUERIES = {
     "op1_fingerprint": "fingerprint",
+    "op4_licenses": "licenses",
     "op5_quality": "quality",
+    "op6_html": "html",
     "op8_token_output": "token_output",
     "op10_packing": "packing",
 }
