@@ -9,6 +9,7 @@ _QUERIES = {
     "op4_licenses": "licenses",
     "op5_quality": "quality",
     "op6_html": "html",
+    "op7_near_dup": "near_dup",
     "op8_token_output": "token_output",
     "op10_packing": "packing",
 }
