@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_quality": "quality",
     "op6_html": "html",
     "op7_near_dup": "near_dup",
+    "op9_substrings": "substrings",
     "op8_token_output": "token_output",
     "op10_packing": "packing",
 }
