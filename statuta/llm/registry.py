@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op1_fingerprint": "fingerprint",
+    "op3_decontaminate": "decontaminate",
     "op4_licenses": "licenses",
     "op5_quality": "quality",
     "op6_html": "html",
