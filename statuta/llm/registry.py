@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op1_fingerprint": "fingerprint",
+    "op2_suffix_tree": "suffix_tree",
     "op3_decontaminate": "decontaminate",
     "op4_licenses": "licenses",
     "op5_quality": "quality",
