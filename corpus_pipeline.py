@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import quality
+from statuta.llm import decontaminate, near_dup, packing, quality, substrings
 from statuta.llm.common import table, written
 
 #: (name, function); each function takes (spark, docs, sf_dir).
 STAGES = [
     ("quality classifier", quality.keep_good),
+    ("MinHash near-dedup", near_dup.drop_near_duplicates),
+    ("suffix-array dedup", substrings.remove_repeats),
+    ("benchmark decontamination", decontaminate.drop_contaminated),
+    ("packing", packing.packed_stage),
 ]
 
 #: SQL can't express a learnt classifier.

@@ -169,5 +169,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
-    good = classify(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("good_id")), "left_semi")

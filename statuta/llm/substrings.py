@@ -368,12 +368,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated bytes go (a character that a cut splits goes whole), documents of which
-    nothing is left too. n_chars follows the text."""
+    """Pipeline stage: repeated bytes go (a character that a cut splits goes whole), and documents of
+    which that leaves nothing. n_chars follows the text."""
     rows, unique = unique_texts(docs)
     done = cleaned_texts(rows, unique).select(*TEXT, "first_id", "kept")
-    keyed = docs.withColumn("ka", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("kb", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"ka": F.xxhash64(text), "kb": F.xxhash64(text, F.lit(1)), "n_bytes": F.octet_length(text), "short": F.when(F.octet_length(text) < LENGTH, text)})
+    joined = keyed.drop("text", "n_chars").join(done, TEXT)
     copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("first_id"))
-    fresh = keyed.drop("text", "n_chars").join(done, TEXT).where(~copy | (F.octet_length("kept") > 0))
-    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return fresh.where(F.col("kept") != "").where(~copy).select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+    left = joined.withColumn("text", F.when(copy, F.coalesce("short", F.lit(""))).otherwise(F.col("kept")))
+    return left.where("n_bytes = 0 or text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
