@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import base, text_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
