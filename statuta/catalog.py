@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, text_queries  # noqa: F401
+from .plans import base, ledger_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

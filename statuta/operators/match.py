@@ -63,7 +63,7 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: how many keys both sides, only the left and only the right have."""
     a, b = (df.select(key).distinct().withColumn(name, F.lit(True)) for df, name in ((left, "l"), (right, "r")))
     both = a.join(b, key, "full_outer")
-    return both.agg(F.count_if("l and r").alias("in_both"), F.count_if("l and r is null").alias("only_left"), F.count_if("l is null and r").alias("only_right"))
+    return both.agg(F.count_if(F.expr("l and r")).alias("in_both"), F.count_if(F.expr("l and r is null")).alias("only_left"), F.count_if(F.expr("l is null and r")).alias("only_right"))
 
 
 def plan_vs_results(plan: DataFrame, results: DataFrame, key: str = "action_id") -> DataFrame:
