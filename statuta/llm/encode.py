@@ -1,7 +1,8 @@
 """Token ids of whole texts in document order, shared by the binary output and packing.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts: before an ASCII space that stands
-between two bytes that are no white space. Pieces therefore encode by themselves to the same ids,
+between two bytes that are no white space, and between an ASCII letter and ASCII punctuation other
+than the apostrophe. Pieces therefore encode by themselves to the same ids,
 and a worker encodes each different piece once: pieces are found by a 64-bit hash and their length
 in a table of bounded size. Everything else is encoded anew.
 """
@@ -21,6 +22,13 @@ from .common import SPACED, corpus, hash_spans, partitions, quiet_tokenizers, ra
 MEMORY, LONGEST = 1_500_000, 64
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
+
+
 class Encoder:
     """encode(data, offsets) gives the ids of many texts and the offsets of each text's ids."""
 
@@ -54,15 +62,18 @@ class Encoder:
         solid = SPACED[data]
         cut = np.zeros(len(data), bool)
         cut[1:-1] = (data[1:-1] == 32) & solid[:-2] & solid[2:]
+        mark = np.zeros(len(data), bool)
+        mark[1:] = _LETTER[data[:-1]] & _MARK[data[1:]]
         begins = offsets[:-1][np.diff(offsets) > 0]
         ends_of = offsets[1:][np.diff(offsets) > 0]
         cut[ends_of - 1] = False  # a space at the end of a text isn't followed by a word of it
+        cut |= mark
         cut[begins] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         keys = hash_spans(data, starts, ends)
         short = ends - starts <= LONGEST
-        different, first = np.unique(keys[short], return_index=True)
+        different, first, which = np.unique(keys[short], return_index=True, return_inverse=True)
         first = np.flatnonzero(short)[first]
         text = data.tobytes()
         for _ in range(2):
@@ -76,7 +87,7 @@ class Encoder:
             self._learn(different[~known], [text[a:b].decode() for a, b in zip(starts[first[~known]], ends[first[~known]], strict=True)])
             if len(self.keys) < before:  # the table was emptied: learn the rest of this slice too
                 continue
-        where = np.searchsorted(self.keys, keys[short])
+        where = np.searchsorted(self.keys, different)[which]
         at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at[short], n[short] = self.at[where], self.n[where]
         pool = self.ids
