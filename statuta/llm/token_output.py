@@ -41,12 +41,15 @@ def serialise(ids: np.ndarray, wide: bool) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int, sample_docs: int = 2000, sample_chars: int = 4000, size: int = 64 << 10) -> bytes:
-    """A dictionary from at most sample_docs documents (those of the smallest hash of doc_id), of
-    which the training reads sample_chars characters each; both bound what reaches the driver.
-    Empty where there is too little to train on."""
+    """A dictionary from about sample_docs documents (every m-th by hash of doc_id, at most twice as
+    many), of which the training reads sample_chars characters each; both bound what reaches the
+    driver. Empty where there is too little to train on."""
     import zstandard
 
-    rows = corpus(docs).select("doc_id", F.substring("text", 1, sample_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
+    every = max(1, docs.count() // sample_docs)
+    chosen = corpus(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    rows = chosen.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id, r.text))
     encoder = Encoder(tokenizer_file)
     data = [r.text.encode() for r in rows]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in data], dtype=np.int64))).astype(np.int64)
