@@ -106,7 +106,7 @@ def operative_tags(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(p), name) for name, p in OPERATIVE])))
 
 
-def numbered_sections(docs: DataFrame, id_col: str, text_col: str, start: str = r"^\s*(?:SEC(?:TION)?\.?|§+)\s+[0-9A-Za-z]+") -> DataFrame:
+def numbered_sections(docs: DataFrame, id_col: str, text_col: str, start: str = r"(?i)^\s*(?:SEC(?:TION)?\.?|§+)\s+[0-9A-Za-z]+") -> DataFrame:
     """(id, block, heading, text): lines that match `start` open a block that runs to the next one."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("n", "line"))
     w = Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
