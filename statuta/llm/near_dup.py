@@ -11,15 +11,17 @@ Jaccard similarity, so bands of `rows` registers are locality-sensitive.
 2. Bands: representatives that agree on a band share a bucket. Each member is a candidate of its
    bucket's smallest member; of its candidates the likeliest (joint maximum-likelihood estimate from
    the registers) is confirmed on the full sets, and confirmed links give first components.
-3. Whoever shares a bucket but not a component is compared next: in each bucket the members outside
-   the largest component against all members of other components, by the estimate and then on full
-   sets. Pairs within a component are never listed, so a bucket of many near copies costs about as
-   much as it has members, and no link is left out: after this step every two members of a bucket are
-   in one component, or were compared.
+3. Documents that share a bucket but not a component are compared by the exact prefix rule: two sets of
+   at least the threshold share one of the first n - ceil(threshold * n) + 1 shingles of each, in any
+   order that all sets keep, and the first they share must leave enough shingles after it on both
+   sides. Rare shingles come first in the order, so what is left over of a crowd of near copies, whose
+   edits are its own, meets nobody. Only pairs of different components are listed, those that pass are
+   confirmed on the full sets, and no link is left out.
 4. The components of all confirmed links.
 
-The estimate only spares pairs that lie `SLACK` below the threshold, over five standard errors. With 32
-bands of 4 registers a pair at the threshold misses every band with a chance under 1e-7.
+The estimate only chooses among candidates; it drops those `SLACK` below the threshold, over five
+standard errors. With 32 bands of 4 registers a pair at the threshold misses every band with a chance
+under 1e-7.
 
 Null and empty texts have an empty set and link with nothing. Rows of one doc_id are one document to
 the components. A null doc_id has no component and is kept. Repeated rows get equal results; an empty
@@ -40,6 +42,8 @@ from .common import LOWER, corpus, cut, hash_spans, mix, slices, table, utf8, wo
 BANDS, ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SLACK = 0.2
+#: Slots of the table of shingle counts that orders shingles: a bounded size, whatever the corpus.
+SLOTS = 1 << 18
 _EDGE = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -162,6 +166,50 @@ def _confirmed(percent: int):
     return run
 
 
+def _slots(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        if b.num_rows:
+            total += np.bincount(_slots(np.frombuffer(b"".join(b.column("set").to_pylist()), np.uint64)), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.record_batch({"slot": pa.array(some), "n": pa.array(total[some])})
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, component, blob in zip(*(b.column(c).to_pylist() for c in ("id", "component", "set")), strict=True):
+                own = np.frombuffer(blob, np.uint64)
+                own = own[np.lexsort((own, common[_slots(own)]))]
+                n = len(own)
+                first = own[: n + (-percent * n // 100) + 1].view(np.int64)
+                k = len(first)
+                yield pa.record_batch(
+                    {"token": pa.array(first), "id": pa.array(np.full(k, i)), "component": pa.array(np.full(k, component)), "n": pa.array(np.full(k, n)), "place": pa.array(np.arange(k))}
+                )
+
+    return run
+
+
+def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that the prefix rule can't rule out. members: (id, component, set)."""
+    rows = members.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
+    common = np.zeros(SLOTS, np.int64)
+    common[[r.slot for r in rows]] = [r.n for r in rows]
+    prefixes = members.mapInArrow(_prefixes(common, percent), "token long, id long, component long, n long, place long")
+    shares = prefixes.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts"))
+    mixed = prefixes.join(shares.where("parts > 1").select("token", F.col("top.component").alias("largest")), "token")
+    x = mixed.where("component <> largest").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "place")])
+    y = mixed.select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "place")])
+    enough = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * (F.col("n_x") + F.col("n_y"))
+    met = x.join(y, "token").where((F.col("component_x") != F.col("component_y")) & enough)
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(a, b, likeness) of the pairs whose estimate reaches `least`. reps: (id, n, regs)."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
@@ -211,12 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     labels = components(first)
 
     named = crowded.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    shares = named.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("largest"))
-    split = named.join(shares, "bucket")
-    minor = split.where("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = split.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-    met = minor.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = confirmed(likely(met, reps, least), sets, percent)
+    parts = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    apart = named.join(parts, "bucket").select("id", "component").distinct()
+    second = confirmed(prefix_pairs(sets.join(apart, "id"), percent), sets, percent)
     final = components(first.union(second))
 
     placed = classes.select(*same, "id").join(final, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
@@ -230,5 +275,5 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one of the smallest id."""
-    keep = near_duplicates(docs, width=5).where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    keep = near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
