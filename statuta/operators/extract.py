@@ -126,3 +126,10 @@ def line_filter(docs: DataFrame, id_col: str, text_col: str, *needs: str) -> Dat
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, n, href) of every link in page order."""
     return pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit('href="([^"]+)"'), F.lit(1))).alias("n", "href"))
+
+
+def detected(docs: DataFrame, id_col: str, text_col: str, patterns: list[str]) -> DataFrame:
+    """(id, refs): the distinct matches of any pattern, sorted, white space collapsed."""
+    every = F.concat(*[F.regexp_extract_all(text_col, F.lit(p), F.lit(0)) for p in patterns])
+    rows = docs.select(id_col, F.explode(F.transform(every, lambda x: F.regexp_replace(x, r"\s+", " "))).alias("ref"))
+    return rows.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("ref")), ",").alias("refs"))

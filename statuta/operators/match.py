@@ -121,3 +121,17 @@ def neighbours(sections: DataFrame, by: str, order: str, key: str) -> DataFrame:
     """Adds prev_key and next_key within `by` in document order."""
     w = Window.partitionBy(by).orderBy(order)
     return sections.withColumns({"prev_key": F.lag(key).over(w), "next_key": F.lead(key).over(w)})
+
+
+def choose_anchor(laws: DataFrame, cited: DataFrame, sections: DataFrame, general_title: int = 1) -> DataFrame:
+    """(law_id, title, section, cited): where a law's note belongs. The existing section it cites most, of
+    equals the one cited first; failing that the first live section of the general title. cited: (law_id,
+    title, section, ord); subject matches are a further source of rows for it, in their own order."""
+    known = sections.select("title", "section").distinct()
+    counts = cited.join(known, ["title", "section"]).groupBy("law_id", "title", "section").agg(F.count("*").alias("cited"), F.min("ord").alias("_first"))
+    w = Window.partitionBy("law_id").orderBy(F.col("cited").desc(), "_first", "title", "section")
+    best = counts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_first")
+    first = sections.where((F.col("title") == general_title) & ~F.col("reserved")).agg(F.min(F.struct("ord", "title", "section")).alias("f")).select(F.col("f.title").alias("t"), F.col("f.section").alias("s"))
+    # One row at most: the fallback is the same for every law.
+    placed = laws.join(best, "law_id", "left").join(F.broadcast(first), how="left")
+    return placed.select("law_id", F.coalesce("title", "t").alias("title"), F.coalesce("section", "s").alias("section"), F.coalesce("cited", F.lit(0)).alias("cited"))

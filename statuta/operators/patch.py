@@ -69,7 +69,7 @@ def disposition(ready: dict[str, Column]) -> Column:
     """The ordered cascade of dispositions. ready: named conditions and scores of a law."""
     r = ready
     steps = [
-        (r["incorporated"], "ALREADY_INCORPORATED"), (~r["active"], "NONOPERATIVE"), (~r["has_source"], "MISSING_SOURCE"),
+        (r["incorporated"], "ALREADY_INCORPORATED"), (~r["active"], "NONOPERATIVE"), (~r["has_source"], "SOURCE_UNAVAILABLE"),
         ((r["category"] != "") & ~r["direct"] & ~((r["category"] == "appropriation") & r["rider"]), "NON_CODE"),
         (~r["direct"] & (r["temporary"] >= F.greatest(F.lit(8), r["permanent"] + 5)), "NON_CODE"),
         (r["direct"] & (r["supplement"] | r["unresolved"]), "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"), (r["direct"], "DIRECT_CODE_AMENDMENT"),

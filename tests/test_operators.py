@@ -120,7 +120,7 @@ def test_gates(spark):
 def test_six_dispositions(spark):
     base = {"incorporated": False, "active": True, "has_source": True, "category": "", "direct": False, "rider": False, "temporary": 0, "permanent": 5, "supplement": False, "unresolved": False}
     cases = [({"direct": True}, "DIRECT_CODE_AMENDMENT"), ({}, "STATUTORY_NOTE"), ({"category": "private"}, "NON_CODE"), ({"active": False}, "NONOPERATIVE"), ({"incorporated": True}, "ALREADY_INCORPORATED"),
-             ({"direct": True, "supplement": True}, "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"), ({"category": "appropriation", "rider": True}, "STATUTORY_NOTE"), ({"temporary": 10}, "NON_CODE"), ({"has_source": False}, "MISSING_SOURCE")]
+             ({"direct": True, "supplement": True}, "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"), ({"category": "appropriation", "rider": True}, "STATUTORY_NOTE"), ({"temporary": 10}, "NON_CODE"), ({"has_source": False}, "SOURCE_UNAVAILABLE")]
     for change, want in cases:
         columns = {k: F.lit(v) for k, v in (base | change).items()}
         assert spark.range(1).select(patch.disposition(columns).alias("d")).first()["d"] == want
