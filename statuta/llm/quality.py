@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, corpus, cut, hash_spans, mix, row_sums, slices, table, utf8, words
+from .common import corpus, cut, hash_spans, mix, row_sums, slices, table, utf8, words
 
 CUT = 0.7
 _SYMBOL = np.zeros(256, bool)
