@@ -125,7 +125,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(rows.column("text"))
         train = rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8)
         names = [x.split()[0] for x in CHUNKS.split(", ")]
-        values = [[(part << 32) + n], [rows.column("doc_id").to_pylist()], [train.tobytes()], [np.diff(offsets).astype("<i8").tobytes()], [_zip(data.tobytes(), 3)]]
+        values = [[(part << 32) + n], [rows.column("doc_id").to_pylist()], [train.tobytes()], [np.diff(offsets).astype("<i8").tobytes()], [_zip(data.tobytes(), 6)]]
         return pa.record_batch([pa.array(v, k) for v, k in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     for piece in slices(batches):
@@ -159,7 +159,7 @@ def _send(block: int, chunk: Chunk, at: np.ndarray, values: np.ndarray, bits: in
 
 def _count(bits: int, spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunked(batches):  # the same chunks as in the other passes
             for row in batch.to_pylist():
                 chunk, train = _open(row, bits)
                 counted = train[chunk.row]
@@ -236,7 +236,7 @@ class Counts:
 def _gains(bits: int, spread: int, tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 chunk, _ = _open(row, bits)
                 c = Counts(chunk, row["answers"], tokens, types)
                 asked = c.contexts()
@@ -264,7 +264,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(bits: int, tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 chunk, train = _open(row, bits)
                 c = Counts(chunk, row["answers"], tokens, types)
                 asked = c.contexts()
@@ -287,17 +287,17 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = corpus(docs).withColumn("train", F.coalesce(fold(F.col("doc_id"), 5) != 1, F.lit(True)))
     size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first()["n"] or 1
     bits = min(63, int(size).bit_length() - 2 + 22)
-    buckets = max(partitions(docs.sparkSession), size >> 24)
+    buckets = max(partitions(docs.sparkSession), size >> 22)
     spread = min(bits, int(buckets - 1).bit_length())
     chunks = rows.mapInArrow(_chunked, CHUNKS)
 
     def answered(sent: DataFrame, how) -> DataFrame:
-        return cut(sent.groupBy("bucket").applyInPandas(how, ANSWER))
+        return sent.groupBy("bucket").applyInPandas(how, ANSWER)
 
     def told(answers: DataFrame, name: str) -> DataFrame:
         return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias(name))
 
-    counts = answered(chunks.mapInArrow(_count(bits, spread), SENT), _sum_counts(spread))
+    counts = cut(answered(rows.mapInArrow(_count(bits, spread), SENT), _sum_counts(spread)))
     n = counts.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = n["tokens"] or 0, n["types"] or 0
     informed = chunks.join(told(counts, "answers"), "block", "left")
