@@ -17,8 +17,9 @@ out first, without losing a repeat:
    over them finds how far two suffixes agree, so a comparison is logarithmic, and a bottom-up
    mergesort (all segments of a batch at once) orders each segment. Neighbours that agree on 100
    bytes by hash are compared byte by byte; in each class of equal windows all but the earliest are
-   repeats. Anchors that occur over `HOT` times don't meet in one task: their equal stretches are
-   found by partial aggregation on a digest, and the windows of the different ones likewise.
+   repeats. Anchors that occur over `HOT` times don't meet in one task: runs of their stretches
+   without the outermost, then equal stretches of what is left, then equal windows are found by
+   partial aggregation on digests, and only the earliest of each goes on to the next of these.
 4. The repeated windows' spans go back to their documents.
 
 A document whose whole text occurs at a smaller doc_id is removed entirely (from 100 bytes on) and
@@ -39,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, slices, table, utf8
+from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, slices, table, utf8, written
 
 LENGTH, GRAM = 100, 32
 #: Occurrences of an anchor from which its stretches are dealt out; bytes of a batch of whole anchors.
-HOT, BATCH = 2000, 1 << 20
+HOT, BATCH = 2000, 1 << 19
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 18
 TEXT = ["ka", "kb"]
 _B = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -176,7 +179,7 @@ def runs(flags: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text and anchor, with how often it occurs there."""
-    for part in slices(batches):
+    for part in slices(batches, most=SLICE):
         row, anchor, *_ = stretches(*utf8(part.column("text")))
         if len(row):
             order = np.lexsort((anchor, row))
@@ -188,7 +191,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches whose anchors are among the row's `anchors`."""
-    for part in slices(batches):
+    for part in slices(batches, most=SLICE):
         data, offsets = utf8(part.column("text"))
         row, anchor, at, first, last = stretches(data, offsets)
         again, signed = part.column("anchors").to_pylist(), anchor.view(np.int64)
@@ -291,14 +294,57 @@ def _later(rows: DataFrame, keys: list[str], stop: F.Column) -> DataFrame:
     return rows.join(first, keys).where(~F.struct(*_PLACE).eqNullSafe(F.col("first"))).select("ka", "kb", "start", stop.alias("stop"))
 
 
-def _hot_spans(pieces: DataFrame) -> DataFrame:
-    """What _sorted_groups does, for anchors of very many stretches, by partial aggregation."""
-    rows = pieces.withColumn("name", F.unhex(F.md5("bytes"))).withColumn("size", F.octet_length("bytes"))
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of texts, where those that follow one another, but for the outermost two, are joined to
+    one row whose lead is -1."""
+    for batch in _stretches(batches):
+        ka, kb, start = (batch.column(c).to_numpy() for c in ("ka", "kb", "start"))
+        size = np.diff(utf8(batch.column("bytes"))[1])
+        follows = np.zeros(batch.num_rows, bool)
+        follows[1:] = (ka[1:] == ka[:-1]) & (kb[1:] == kb[:-1]) & (start[1:] == start[:-1] + size[:-1] - LENGTH + 1)
+        inner = follows & np.append(follows[1:], False)
+        yield batch.filter(pa.array(~inner))
+        first, last = runs(inner, np.cumsum(~follows))
+        joined = []
+        for a, b in zip(first, last, strict=True):
+            parts = batch.column("bytes").slice(a, b - a + 1).to_pylist()
+            joined.append(b"".join([x[: len(x) - LENGTH + 1] for x in parts[:-1]] + [parts[-1]]))
+        if joined:
+            some = batch.take(pa.array(first))
+            columns = {c: some.column(c) for c in some.schema.names} | {"lead": pa.array(np.full(len(first), -1, np.int32)), "anchor": pa.array(np.zeros(len(first), np.int64)), "bytes": pa.array(joined, pa.binary())}
+            yield pa.record_batch(columns, schema=batch.schema)
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of joined rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offsets = utf8(batch.column("bytes"))
+        row, anchor, at, first, last = stretches(data, offsets)
+        raw, of = data.tobytes(), pa.array(row)
+        begin = batch.column("start").to_numpy()[row]
+        yield pa.record_batch(
+            {"anchor": pa.array(anchor.view(np.int64)), **{c: batch.column(c).take(of) for c in ("doc_id", "ka", "kb")}, "start": pa.array(begin + first - offsets[row]),
+             "lead": pa.array((at - first).astype(np.int32)), "bytes": pa.array([raw[a : b + LENGTH] for a, b in zip(first, last, strict=True)], pa.binary())}
+        )
+
+
+def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of rows that repeat an earlier one whole, and the rows that come first."""
+    rows = rows.withColumn("name", F.unhex(F.md5("bytes"))).withColumn("size", F.octet_length("bytes"))
     keys = ["anchor", "lead", "name"]
-    equal = _later(rows.select(*keys, *_PLACE, "size"), keys, F.col("start") + F.col("size"))
-    apart = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE, "bytes")).alias("first")).select("first.*")
-    windows = apart.mapInArrow(_windows, "window binary, doc_id long, ka long, kb long, start long")
-    return equal.union(_later(windows, ["window"], F.col("start") + LENGTH))
+    spans = _later(rows.select(*keys, *_PLACE, "size"), keys, F.col("start") + F.col("size"))
+    return spans, rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE, "bytes")).alias("first")).select("anchor", "lead", "first.*")
+
+
+def _hot_spans(joined: DataFrame) -> DataFrame:
+    """What _sorted_groups does, for anchors of very many stretches, by partial aggregation."""
+    run_spans, run_first = _equal(joined.where("lead < 0"))
+    single = joined.where("lead >= 0").select(*[c.split()[0] for c in STRETCH.split(", ")])
+    spans, apart = _equal(single.unionByName(run_first.select(single.columns).mapInArrow(_parted, STRETCH)))
+    windows = apart.select("doc_id", "ka", "kb", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, ka long, kb long, start long")
+    return run_spans.union(spans).union(_later(windows, ["window"], F.col("start") + LENGTH))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,14 +383,14 @@ def cleaned_texts(rows: DataFrame, unique: DataFrame) -> DataFrame:
     marked = cut(found.groupBy("ka").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
     keyed = rows.select(*TEXT).distinct().join(marked, "ka")
 
-    def pieces(kind: str) -> DataFrame:
+    def pieces(kind: str, how) -> DataFrame:
         mine = keyed.where(F.size(kind) > 0).select(*TEXT, F.col(kind).alias("anchors"))
-        return unique.join(mine, TEXT).select("doc_id", *TEXT, "text", "anchors").mapInArrow(_stretches, STRETCH)
+        return unique.join(mine, TEXT).select("doc_id", *TEXT, "text", "anchors").mapInArrow(how, STRETCH)
 
-    ordered = pieces("cold").repartition(n, "anchor").sortWithinPartitions("anchor", *_PLACE)
+    ordered = pieces("cold", _stretches).repartition(n, "anchor").sortWithinPartitions("anchor", *_PLACE)
     spans = ordered.mapInArrow(_sorted_groups, SPANS)
     if not marked.where(F.size("hot") > 0).isEmpty():
-        spans = spans.union(_hot_spans(pieces("hot")))
+        spans = spans.union(_hot_spans(written(pieces("hot", _runs))))
     by_text = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return unique.join(by_text, TEXT, "left").select(*TEXT, "doc_id", "text", "spans").mapInArrow(_cleaned, "ka long, kb long, first_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
