@@ -64,6 +64,45 @@ select concat('PL-', lpad(cast(1 + user_id % 50 as varchar(20)), 3, '0'), '-001'
        case event_type when 'error' then 'incomplete' when 'signup' then 'schema-invalid' else 'valid' end as status,
        case when value > 10 then 'note-only' when value > 5 then 'new-section' else '' end as treatment
 from {events}""",
+    "bills": """
+select law_id, min(text) as text from (
+  select concat('PL-', lpad(cast(1 + l_suppkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_orderkey % 999 as varchar(20)), 3, '0')) as law_id,
+         concat('SEC. 1. SHORT TITLE. The ', lower(p_type), ' Act.', chr(10),
+                'SEC. 2. RULES. Chapter ', cast(l_suppkey % 10 as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by adding at the end the following:', chr(10),
+                '"§ ', cast(case when l_orderkey % 4 = 0 then l_partkey else l_partkey + 1000000 end as varchar(20)), '. ', p_name, chr(10),
+                'An agency shall keep a list of every ', lower(p_type), ' and of its makers, and shall print it on the first working day of each year.".', chr(10),
+                'SEC. 3. EDITS. Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), case when l_linenumber % 2 = 0 then '(b)' else '' end,
+                ' of title ', cast(p_size as varchar(20)), ', United States Code, which concerns the lists of items that an agency keeps, is ',
+                case l_linenumber % 3 when 0 then 'hereby repealed.'
+                     when 1 then concat('amended to read as follows: "§ ', cast(l_partkey as varchar(20)), '. ', p_name, chr(10), 'A list shall name every ', lower(p_type), ', its makers, its sellers and the year of its making.".')
+                     else concat('amended by adding at the end the following: "(z) ', p_name, '.".') end, chr(10),
+                'SEC. 4. LAWS. Public Law ', cast(1 + l_partkey % 50 as varchar(20)), '-', cast(1 + l_suppkey % 999 as varchar(20)),
+                case l_orderkey % 3 when 0 then ' shall be postponed.' when 1 then ' is reauthorized.' else ' stays.' end) as text
+  from {lineitem} join {part} on p_partkey = l_partkey) as b
+group by law_id""",
+    "nodes": """
+select file, node_id, law_id, min(part) as part, max(identifier) as identifier, max(tag) as tag, max(said) as text, max(num) as num
+from (select concat('usc', lpad(cast(l_suppkey % 54 as varchar(20)), 2, '0'), '.xml') as file, l_partkey as part,
+             concat('PL-', lpad(cast(1 + l_orderkey % 50 as varchar(20)), 3, '0'), '-001') as law_id,
+             concat('rp-pl', lpad(cast(1 + l_orderkey % 50 as varchar(20)), 3, '0'), '001-', case when l_linenumber = 1 and l_orderkey % 4 = 0 then 'codification' else cast(l_partkey as varchar(20)) end) as node_id,
+             concat('/us/usc/t', cast(l_suppkey % 54 as varchar(20)), '/s', cast(l_partkey as varchar(20))) as identifier,
+             case l_linenumber % 4 when 0 then 'note' when 1 then 'content' when 2 then 'subsection' else 'p' end as tag,
+             case when l_orderkey % 7 = 0 then '' when l_orderkey % 11 = 0 then 'Text: todo' else 'A list shall be kept.' end as said,
+             case when l_orderkey % 3 = 0 then '' else '(a)' end as num
+      from {lineitem}) as n
+group by file, node_id, law_id""",
+    "provisions": """
+select 'final' as side, l_orderkey as law_key, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as pos,
+       case when l_partkey % 5 = 0 then '' else concat('p', cast(l_partkey % 4 as varchar(20))) end as ref, concat(l_returnflag, cast(l_linenumber as varchar(20))) as note
+from {lineitem} where l_returnflag <> 'R'
+union all
+select 'review', l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1,
+       case when l_suppkey % 5 = 0 then '' else concat('p', cast(l_suppkey % 4 as varchar(20))) end, concat(l_returnflag, cast(l_linenumber as varchar(20)))
+from {lineitem} where l_linestatus = 'O'
+union all
+select 'source', l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1,
+       concat('p', cast(l_linenumber % 4 as varchar(20))), concat(l_returnflag, cast(l_linenumber as varchar(20)))
+from {lineitem}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 

@@ -130,3 +130,56 @@ def test_subject_scores_cap_and_order(spark):
     docs = spark.createDataFrame([(1, "bank " * 9 + "coast guard"), (2, "")], "id long, text string")
     table = spark.createDataFrame([("banking", "bank"), ("sea", "coast guard"), ("other", "zzz")], "subject string, keyword string")
     assert [tuple(r) for r in rules.subject_scores(docs, table, "id", "text").orderBy("rank").collect()] == [(1, "banking", 12, 1), (1, "sea", 5, 2)]
+
+
+def test_targets_and_operations(spark):
+    from statuta.operators import edits
+
+    rest = " and so on for a good many words, so that the next heading is far enough from the citation to count"
+    text = (
+        "SEC. 1. A. Section 10 of title 5, United States Code, is hereby repealed" + rest + ".\nSEC. 2. B. Section 11(a)(1) of title 5, United States Code, is repealed" + rest
+        + '.\nSEC. 3. C. 7 U.S.C. § 12 is amended to read as follows: "§ 12. Lists\n' + "A list shall be kept of all the makers and all the sellers of every item there is." + '"\nSEC. 4. D. Section 99 of title 5, United States Code, lists items. It is amended.'
+    )
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text + "\n" + text)], "id int, text string")
+    sections = spark.createDataFrame([(5, "10"), (7, "12"), (5, "11")], "title int, section string")
+    rows = {(r.id, r.kind, r.title, r.section, r.confidence) for r in edits.operations(docs, "id", "text", sections).collect()}
+    assert rows == {(i, k, t, s, c) for i in (1, 4) for k, t, s, c in [("REPEAL_SECTION", 5, "10", "high"), ("REPEAL_PART", 5, "11", "medium"), ("REPLACE_SECTION", 7, "12", "high")]}
+    assert edits.targets(docs.limit(0), "id", "text").count() == 0
+
+
+def test_new_sections_need_the_chapter_formula(spark):
+    from statuta.operators import edits
+
+    body = "chapter 3 of title 9, United States Code, is amended by adding at the end the following:\n“§ 31a. Records.\nEach office shall keep its records for ten years.”"
+    docs = spark.createDataFrame([(1, "The Act. " + body), (2, "§ 31a. Records. No formula."), (3, None)], "id int, text string")
+    chapters = spark.createDataFrame([(9, "3")], "title int, chapter string")
+    none, has = (spark.createDataFrame(rows, "title int, section string") for rows in ([], [(9, "31a")]))
+    got = edits.new_sections(docs, "id", "text", chapters, none).collect()
+    assert [(r.id, r.title, r.section, r.heading, r.confidence) for r in got] == [(1, 9, "31a", "Records", "high")]
+    assert [r.confidence for r in edits.new_sections(docs, "id", "text", chapters, has).collect()] == ["medium"]
+
+
+def test_chronology_keeps_repeats(spark):
+    from statuta.operators import edits
+
+    docs = spark.createDataFrame([("PL-001-002", "Public Law 3-4 is suspended. Public Law 3-4 again. Public Law 1-2 is this one.")], "id string, text string")
+    assert [(r.target, r.verbs) for r in edits.chronology(docs, "id", "text").collect()] == [("PL-003-004", "delay")] * 2
+
+
+def test_breadcrumbs_show_what_they_cannot_reach(spark):
+    from statuta.operators import nodes
+
+    tree = spark.createDataFrame([("a", None, "A"), ("b", "a", ""), ("c", "b", "C"), ("x", "y", "X"), ("y", "x", "Y")], "id string, parent string, label string")
+    got = {r.id: (r.path, r.complete) for r in nodes.breadcrumbs(tree, 3).collect()}
+    assert got["a"] == ("A", True) and got["b"] == ("A", True) and got["c"] == ("A > C", True) and not got["x"][1]
+
+
+def test_notes_descend_the_ladder(spark):
+    from statuta.operators import nodes
+
+    rows = spark.createDataFrame([("n1", "L", "f", "/us/usc/t1/s1"), ("n2", "M", "f", "/us/usc/t1/s1/a"), ("n3", "L", "f", "/us/usc/t1/s8"), ("n4", "M", "f", None), ("n5", "M", "g", None), ("n6", "M", "f", "/us/usc/t1/s8")], "note_id string, law_id string, file string, identifier string")
+    existing = spark.createDataFrame([("n6", "f"), ("n6", "g")], "note_id string, file string")
+    sections = spark.createDataFrame([("f", "/us/usc/t1/s1", None, 2), ("f", "/us/usc/t1/s0", None, 1), ("f", "/us/usc/t1/s5", "L", 5)], "file string, identifier string, law_id string, ord int")
+    got = {r.note_id: (r.how, r.identifier) for r in nodes.placed_notes(rows, existing, sections).collect()}
+    assert got == {"n1": ("exact", "/us/usc/t1/s1"), "n2": ("parent", "/us/usc/t1/s1"), "n3": ("law", "/us/usc/t1/s5"), "n4": ("first", "/us/usc/t1/s0"), "n5": ("unplaced", None), "n6": ("replaced", "/us/usc/t1/s8")}
+    assert [(r.note_id, r.file) for r in nodes.stale_notes(rows, existing).collect()] == [("n6", "g")]
