@@ -18,8 +18,10 @@ out first, without losing a repeat:
    mergesort (all segments of a batch at once) orders each segment. Neighbours that agree on 100
    bytes by hash are compared byte by byte; in each class of equal windows all but the earliest are
    repeats. Anchors that occur over `HOT` times don't meet in one task: runs of their stretches
-   without the outermost, then equal stretches of what is left, then equal windows are found by
-   partial aggregation on digests, and only the earliest of each goes on to the next of these.
+   without the outermost, then equal stretches of what is left, then equal blocks of 16 and of 4
+   windows, laid from the anchor, then equal windows are found by partial aggregation on digests, and
+   only the earliest of each goes on to the next of these. Equal blocks hold equal windows in equal
+   order, so no window loses its earliest place.
 4. The repeated windows' spans go back to their documents.
 
 A document whose whole text occurs at a smaller doc_id is removed entirely (from 100 bytes on) and
@@ -45,6 +47,8 @@ from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, sli
 LENGTH, GRAM = 100, 32
 #: Occurrences of an anchor from which its stretches are dealt out; bytes of a batch of whole anchors.
 HOT, BATCH = 2000, 1 << 19
+#: Windows of a block, for anchors of over HOT occurrences; each size divides the one before.
+BLOCKS = (16, 4)
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 18
 TEXT = ["ka", "kb"]
@@ -330,6 +334,27 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _blocks(size: int):
+    """Cuts stretches into blocks of `size` windows, counted from the anchor, so that equal surroundings of an
+    anchor are cut alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lead, begin = (batch.column(c).to_numpy() for c in ("lead", "start"))
+            n = np.diff(utf8(batch.column("bytes"))[1]) - LENGTH + 1
+            row, inside = np.repeat(np.arange(batch.num_rows), n), ragged(np.zeros(len(n), np.int64), n)
+            first, last = runs(np.ones(len(row), bool), row * (LENGTH + 1) + (lead[row] - inside) // size)
+            of, a, b = row[first], inside[first], inside[last]
+            raw = batch.column("bytes").to_pylist()
+            cuts = [raw[r][i : j + LENGTH] for r, i, j in zip(of, a, b, strict=True)]
+            columns = {c: batch.column(c).take(pa.array(of)) for c in ("anchor", "doc_id", "ka", "kb")}
+            yield pa.record_batch(columns | {"start": pa.array(begin[of] + a), "lead": pa.array((lead[of] - a).astype(np.int32)), "bytes": pa.array(cuts, pa.binary())})
+
+    return run
+
+
 def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans of rows that repeat an earlier one whole, and the rows that come first."""
     rows = rows.withColumn("name", F.unhex(F.md5("bytes"))).withColumn("size", F.octet_length("bytes"))
@@ -341,8 +366,12 @@ def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _hot_spans(joined: DataFrame) -> DataFrame:
     """What _sorted_groups does, for anchors of very many stretches, by partial aggregation."""
     run_spans, run_first = _equal(joined.where("lead < 0"))
-    single = joined.where("lead >= 0").select(*[c.split()[0] for c in STRETCH.split(", ")])
+    names = [c.split()[0] for c in STRETCH.split(", ")]
+    single = joined.where("lead >= 0").select(names)
     spans, apart = _equal(single.unionByName(run_first.select(single.columns).mapInArrow(_parted, STRETCH)))
+    for size in BLOCKS:
+        more, apart = _equal(written(apart.select(names).mapInArrow(_blocks(size), STRETCH)))
+        spans = spans.union(more)
     windows = apart.select("doc_id", "ka", "kb", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, ka long, kb long, start long")
     return run_spans.union(spans).union(_later(windows, ["window"], F.col("start") + LENGTH))
 
