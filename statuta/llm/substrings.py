@@ -21,7 +21,8 @@ out first, without losing a repeat:
    without the outermost, then equal stretches of what is left, then equal blocks of 16 and of 4
    windows, laid from the anchor, then equal windows are found by partial aggregation on digests, and
    only the earliest of each goes on to the next of these. Equal blocks hold equal windows in equal
-   order, so no window loses its earliest place.
+   order, so no window loses its earliest place. Blocks whose shared bytes occur once at their anchor
+   hold no repeat and end there.
 4. The repeated windows' spans go back to their documents.
 
 A document whose whole text occurs at a smaller doc_id is removed entirely (from 100 bytes on) and
@@ -336,7 +337,8 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(size: int):
     """Cuts stretches into blocks of `size` windows, counted from the anchor, so that equal surroundings of an
-    anchor are cut alike."""
+    anchor are cut alike. core: a digest of the bytes that all windows of a whole block share; without its
+    equal, no window of the block has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,8 +351,11 @@ def _blocks(size: int):
             of, a, b = row[first], inside[first], inside[last]
             raw = batch.column("bytes").to_pylist()
             cuts = [raw[r][i : j + LENGTH] for r, i, j in zip(of, a, b, strict=True)]
+            ahead = lead[of] - a
+            part = (lead[of] - b) // size
+            cores = [hashlib.blake2b(x[i : i + LENGTH - size + 1], digest_size=16, salt=bytes([k])).digest() for x, i, k in zip(cuts, ahead - part * size, part, strict=True)]
             columns = {c: batch.column(c).take(pa.array(of)) for c in ("anchor", "doc_id", "ka", "kb")}
-            yield pa.record_batch(columns | {"start": pa.array(begin[of] + a), "lead": pa.array((lead[of] - a).astype(np.int32)), "bytes": pa.array(cuts, pa.binary())})
+            yield pa.record_batch(columns | {"start": pa.array(begin[of] + a), "lead": pa.array(ahead.astype(np.int32)), "bytes": pa.array(cuts, pa.binary()), "core": pa.array(cores, pa.binary())})
 
     return run
 
@@ -370,7 +375,9 @@ def _hot_spans(joined: DataFrame) -> DataFrame:
     single = joined.where("lead >= 0").select(names)
     spans, apart = _equal(single.unionByName(run_first.select(single.columns).mapInArrow(_parted, STRETCH)))
     for size in BLOCKS:
-        more, apart = _equal(written(apart.select(names).mapInArrow(_blocks(size), STRETCH)))
+        cut_up = written(apart.select(names).mapInArrow(_blocks(size), f"{STRETCH}, core binary"))
+        again = cut_up.groupBy("anchor", "core").agg(F.count("*").alias("times")).where("times > 1")
+        more, apart = _equal(cut_up.join(again, ["anchor", "core"], "left_semi").select(names))
         spans = spans.union(more)
     windows = apart.select("doc_id", "ka", "kb", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, ka long, kb long, start long")
     return run_spans.union(spans).union(_later(windows, ["window"], F.col("start") + LENGTH))
