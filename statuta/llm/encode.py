@@ -5,10 +5,14 @@ between two bytes that are no white space, and between an ASCII letter and ASCII
 than the apostrophe. Pieces therefore encode by themselves to the same ids,
 and a worker encodes each different piece once: pieces are found by a 64-bit hash and their length
 in a table of bounded size. Everything else is encoded anew.
+
+Added tokens of the tokenizer (<|endoftext|>) that stand in a text become their own ids, as the
+library has it by default: it splits a text at them before anything else, so each is a piece.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,9 +41,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.marker = re.compile(b"|".join(map(re.escape, self.added)))
+        # Tokens that take in white space, ask for word edges or are sought in normalised text: no cuts at all.
+        self.uncut = any(t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tokenizer.normalizer is not None) for t in added)
         self._forget()
 
+    def _markers(self, text: bytes, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where added tokens stand, within rows."""
+        if any(x in text for x in self.added):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield from (m.span() for m in self.marker.finditer(text, a, b))
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -68,6 +82,15 @@ class Encoder:
         ends_of = offsets[1:][np.diff(offsets) > 0]
         cut[ends_of - 1] = False  # a space at the end of a text isn't followed by a word of it
         cut |= mark
+        text = data.tobytes()
+        if self.uncut:
+            cut[:] = False
+        else:
+            for a, b in self._markers(text, offsets):
+                cut[max(a - 1, 0) : b + 1] = False  # nor is a space before an added token
+                cut[a] = True
+                if b < len(cut):
+                    cut[b] = True
         cut[begins] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
@@ -75,7 +98,6 @@ class Encoder:
         short = ends - starts <= LONGEST
         different, first, which = np.unique(keys[short], return_index=True, return_inverse=True)
         first = np.flatnonzero(short)[first]
-        text = data.tobytes()
         for _ in range(2):
             where = np.searchsorted(self.keys, different)
             known = np.zeros(len(different), bool)
