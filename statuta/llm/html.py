@@ -15,6 +15,10 @@ text is not in menus, headers, footers, sidebars, notices, adverts, forms, scrip
 comments. Pages are read a second time and give the text of their main slot; a page without it falls
 back to the same rules on itself.
 
+Blocks of text are tokens too, by path and digest of the text, and so nest in their elements. Those of
+classes that hold on every page with text are the template's own text and are dropped, wherever they
+stand; what is left fills the slots. A host needs LEAST different pages with text for that.
+
 Text: character references are decoded, white space inside a block becomes one space, ends are
 trimmed, and blocks are joined by two line feeds. Nothing else is dropped.
 
@@ -26,7 +30,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -44,7 +49,12 @@ DROPPED = frozenset("nav header footer aside form script style noscript template
 SIDE = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adslot|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|side|aside|widget\w*|related|share|social|notice\w*|cookie\w*|consent|alert|popup|modal|newsletter|subscribe|signup|login|form|search|comment\w*|reply|replies|disqus|toolbar|pagination|pager|skip|complementary|contentinfo|navigation)(?=$|[^a-z])")
 MAIN = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|body-?text|maintext)(?=$|[^a-z])")
 
+#: Hosts and blocks of their templates.
 BROADCAST_HOSTS = 500_000
+#: Different pages with text from which a host's template takes in blocks of text.
+LEAST = 5
+#: What a token is: an element's path, a block of text, or the page itself.
+PATH, TEXT, PAGE = range(3)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -127,6 +137,10 @@ def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
     return nodes, blocks
 
 
+def block_digest(path: str, said: str) -> str:
+    return xxhash.xxh3_64_hexdigest(f"{path}\0{said}")
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each page and token: its count, hash for the occurrence vector, and its text."""
     for batch in batches:
@@ -142,44 +156,57 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.setdefault(path, [1, 0, nodes[held][1]])[1] += len(said)
                     path = path.rpartition(">")[0]
             mark = xxhash.xxh3_64_hexdigest(html)
-            out += [(host, path, n, (xxhash.xxh3_64_intdigest(f"{mark} {n}") >> 12) & ((1 << 44) - 1), chars, role) for path, (n, chars, role) in seen.items()]
+            tokens = [(PATH, path, n, chars, role) for path, (n, chars, role) in seen.items()]
+            tokens += [(TEXT, digest, n, 0, "") for digest, n in Counter(block_digest(nodes[held][0], said) for held, said in blocks).items()]
+            if blocks:
+                tokens.append((PAGE, mark, 1, 0, ""))
+            out += [(host, kind, path, n, (xxhash.xxh3_64_intdigest(f"{mark} {n}") >> 12) & ((1 << 44) - 1), chars, role) for kind, path, n, chars, role in tokens]
         if out:
             columns = list(zip(*out, strict=True))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "n", "vector", "chars", "role"])
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "kind", "path", "n", "vector", "chars", "role"])
 
 
 def templates(pages: DataFrame, reach: float = 0.2) -> DataFrame:
-    """(host, main): the path of each host's main slot, null where its template has no element that
-    may hold main text. pages: (host, html). A class joins the template if its tokens reach the given
-    share of the host's pages."""
-    tokens = pages.mapInArrow(_occurrences, "host string, path string, n long, vector long, chars long, role string")
-    summed = tokens.groupBy("host", "path").agg(
+    """(host, main, template): the path of each host's main slot, null where its template has no element
+    that may hold main text, and the digests of the template's blocks of text. pages: (host, html). A
+    class of elements joins the template if its tokens reach the given share of the host's pages, a class
+    of blocks if they stand on every page with text; a page bounds how many do."""
+    tokens = pages.mapInArrow(_occurrences, "host string, kind int, path string, n long, vector long, chars long, role string")
+    summed = tokens.groupBy("host", "kind", "path").agg(
         F.sum("vector").alias("vector"), F.count("*").alias("on_pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("role").alias("role"), F.max("role").alias("role_high")
     )
-    sizes = summed.groupBy("host").agg(F.max("on_pages").alias("host_pages"))
-    classes = summed.groupBy("host", "vector", "on_pages").agg(
-        F.count("*").alias("tokens"),
+    is_page = F.col("kind") == PAGE
+    sizes = summed.groupBy("host").agg(
+        F.max(F.when(F.col("kind") == PATH, F.col("on_pages"))).alias("host_pages"), F.sum(F.when(is_page, F.col("on_pages"))).alias("with_text"), F.count_if(is_page).alias("different")
+    )
+    classes = summed.groupBy("host", "kind", "vector", "on_pages").agg(
         # The root-most main element of the class that holds most text, then the deepest of its path.
-        F.max(F.when((F.col("role") == "main") & (F.col("role_high") == "main") & (F.col("n") == F.col("on_pages")), F.struct("chars", (-F.length("path")).alias("shallow"), "path"))).alias("best"),
+        F.max(F.when((F.col("kind") == PATH) & (F.col("role") == "main") & (F.col("role_high") == "main") & (F.col("n") == F.col("on_pages")), F.struct("chars", (-F.length("path")).alias("shallow"), "path"))).alias("best"),
+        F.collect_list(F.when(F.col("kind") == TEXT, F.col("path"))).alias("blocks"),
+    )
+    sized = classes.join(sizes, "host")
+    everywhere = (F.col("kind") == TEXT) & (F.col("on_pages") == F.col("with_text")) & (F.col("different") >= LEAST)
+    chosen = sized.groupBy("host").agg(
+        F.max(F.when(F.col("on_pages") >= reach * F.col("host_pages"), F.col("best"))).alias("best"), F.flatten(F.collect_list(F.when(everywhere, F.col("blocks")))).alias("template")
     )
-    valid = classes.join(sizes, "host").where(F.col("on_pages") >= reach * F.col("host_pages"))
-    return valid.groupBy("host").agg(F.max("best").alias("best")).select("host", F.col("best.path").alias("main"))
+    return chosen.select("host", F.col("best.path").alias("main"), "template")
 
 
-def main_text(html: str, slot: str | None) -> str:
+def main_text(html: str, slot: str | None, template: Collection[str] = ()) -> str:
     nodes, blocks = read(html)
-    inside = [said for held, said in blocks if slot and nodes[held][1] != "side" and (nodes[held][0] + ">").startswith(slot + ">")]
+    inside = [(held, said) for held, said in blocks if slot and nodes[held][1] != "side" and (nodes[held][0] + ">").startswith(slot + ">")]
     if not inside:
-        inside = [said for held, said in blocks if nodes[held][1] == "main"]
+        inside = [(held, said) for held, said in blocks if nodes[held][1] == "main"]
     if not inside:
-        inside = [said for held, said in blocks if nodes[held][1] != "side"]
-    return "\n\n".join(inside)
+        inside = [(held, said) for held, said in blocks if nodes[held][1] != "side"]
+    return "\n\n".join(said for held, said in inside if not template or block_digest(nodes[held][0], said) not in template)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(html, slot) for html, slot in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True)]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "main", "template")), strict=True)
+        texts = [main_text(html, slot, frozenset(template or ())) for html, slot, template in rows]
         yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
 
@@ -189,12 +216,12 @@ def extracted(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"),
     )
-    # One short row a host. Up to BROADCAST_HOSTS of them, which are counted first, go to the pages; beyond
+    # One short row a host. Up to BROADCAST_HOSTS of them and their blocks, counted first, go to the pages; beyond
     # that pages move to their hosts' rows, and Spark splits the side of a host of many pages.
     chosen = cut(templates(rows.select("host", "html")))
-    if chosen.count() <= BROADCAST_HOSTS:
+    if (chosen.agg(F.sum(1 + F.size("template"))).first()[0] or 0) <= BROADCAST_HOSTS:
         chosen = F.broadcast(chosen)
-    return rows.join(chosen, "host", "left").select("page_id", "url", "html", "main").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(chosen, "host", "left").select("page_id", "url", "html", "main", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
