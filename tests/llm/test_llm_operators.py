@@ -272,7 +272,6 @@ def encoded(rows, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [(i, [*e.ids, end]) for (i, _), e in zip(rows, t.encode_batch([x for _, x in rows], add_special_tokens=False), strict=True)]
 
 
