@@ -3,8 +3,9 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts: before an ASCII space that stands
 between two bytes that are no white space, and between an ASCII letter and ASCII punctuation other
 than the apostrophe. Pieces therefore encode by themselves to the same ids,
-and a worker encodes each different piece once: pieces are found by a 64-bit hash and their length
-in a table of bounded size. Everything else is encoded anew.
+and a worker process encodes each different piece once: pieces are found by a 64-bit hash and their
+length in a table of bounded size, which the process keeps for its next tasks. Everything else is
+encoded anew.
 
 Added tokens of the tokenizer (<|endoftext|>) that stand in a text become their own ids, as the
 library has it by default: it splits a text at them before anything else, so each is a piece.
@@ -12,6 +13,7 @@ library has it by default: it splits a text at them before anything else, so eac
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -124,6 +126,12 @@ class Encoder:
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """This process's encoder, with what it has learnt so far."""
+    return Encoder(tokenizer_file)
+
+
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with end_id after each document's."""
     rows = len(at) - 1
@@ -137,23 +145,24 @@ Rows = Callable[[int, pa.Array, np.ndarray, np.ndarray], Iterator[pa.RecordBatch
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, make: Rows, schema: str) -> DataFrame:
-    """What `make` makes of the documents' ids, in ascending doc_id order (then by text; null ids
-    first) within and across partitions. make(partition, doc_ids, ids, offsets) gets slices in order.
+    """What `make` makes of the documents' ids, in ascending doc_id order (null ids first, equal ids by a
+    hash of the text) within and across partitions; the hash also splits an id of very many rows.
+    make(partition) gives a function of (doc_ids, ids, offsets) that gets slices in order, then None.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, partition = Encoder(tokenizer_file), TaskContext.get().partitionId()
+        encoder, partition = encoder_of(tokenizer_file), TaskContext.get().partitionId()
         state = make(partition)
         for part in slices(batches):
             ids, at = with_end(*encoder.encode(*utf8(part.column("text"))), end_id)
             yield from state(part.column("doc_id"), ids, at)
         yield from state(None, None, None)
 
-    rows = corpus(docs)
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, schema)
+    rows = corpus(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return ordered.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def running_totals(df: DataFrame, tokens: str = "n_tokens") -> DataFrame:

@@ -6,8 +6,8 @@ token totals turn that into places in the stream; a second pass cuts the stream
 `length` ids. Every piece of a document in a window is one boundary record; windows are full but for
 the last, so no more than one is padded.
 
-Null and empty texts are documents of the end id alone; repeated rows are repeated documents (equal
-ids in order of their text, null ids first); an empty table gives no pieces.
+Null and empty texts are documents of the end id alone; repeated rows are repeated documents (null ids
+first, equal ids in order of a hash of the text); an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ can write to will do) holds:
 - `counts`: the tokens of each document; `doc_ids`; `payload`; `part`, `shard`: the place in order.
 
 The dictionary is a table of its own beside the shards. Documents come in ascending doc_id order
-(equal ids by text, null first).
+(null first, equal ids by a hash of the text).
 
 Null and empty texts are documents that hold the end id alone. Repeated rows are repeated documents.
 An empty table gives no shards.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import corpus, shared_folder, table
-from .encode import Encoder, encoded, running_totals, with_end
+from .encode import encoded, encoder_of, running_totals, with_end
 
 SHARD_BYTES = 2 << 20
 SHARD = "part int, shard int, dict_hash string, wide boolean, doc_ids array<long>, counts binary, offsets binary, payload binary"
@@ -50,7 +50,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int, sample_d
     chosen = corpus(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     rows = chosen.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()
     rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id, r.text))
-    encoder = Encoder(tokenizer_file)
+    encoder = encoder_of(tokenizer_file)
     data = [r.text.encode() for r in rows]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in data], dtype=np.int64))).astype(np.int64)
     ids, at = with_end(*encoder.encode(np.frombuffer(b"".join(data), np.uint8), offsets), end_id)
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, l
 
         return take
 
-    vocabulary = Encoder(tokenizer_file).tokenizer.get_vocab_size()
+    vocabulary = encoder_of(tokenizer_file).tokenizer.get_vocab_size()
     encoded(docs, tokenizer_file, end_id, make, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
