@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
@@ -44,14 +44,35 @@ def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): what corpus() gives, and each row whole, so that no name clashes with the columns
+    of a table that a stage passes on."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), whole)
+
+
+def unwrapped(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The rows that wrapped() took in, with some columns changed."""
+    names = rows.schema["row"].dataType.fieldNames()
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The documents whose id is among `ids` (doc_id), or with how="left_anti" is not; a null id equals another."""
+    named = ids.select(F.col("doc_id").alias("id")).distinct()
+    return unwrapped(wrapped(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")), how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: what spark.checkpoint.dir says, or one of its
-    own where that is unset (a single machine)."""
+    own where that is unset and Spark runs on this machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at or tempfile.mkdtemp(prefix="statuta-")
 
 

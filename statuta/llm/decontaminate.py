@@ -1,23 +1,25 @@
 """Operator 3, benchmark decontamination with SimHash, in DataFrame functions alone.
 
 Words are runs without ASCII white space, in lower case; an item's shingles are its runs of `width`
-(5) words, all its words where there are fewer. A document leaks an item if one of its windows of as
-many words as the item has weighted shingle similarity (sum of lesser counts over sum of greater
-counts) of at least 0.8 with it.
-
-1. Windows: a window can only be similar to an item if they share a shingle, so windows are laid where
-   a document's shingle is one of an item's, aligned by the two places. Each gets the item's
-   size. Nothing that could reach the threshold is left out by this; windows shifted against the
-   alignment of all their common shingles score no higher.
+(5) words, all its words where there are fewer. A window of a document has as many words as an item, or
+is the whole text where that is shorter. A document leaks an item if one of its windows of the item's
+size has weighted shingle similarity (sum of lesser counts over sum of greater counts) of at least 0.8
+with it.
+
+1. Windows of every item size slide over the texts. One can only be similar to an item of its size if so
+   many of its shingles, `k`, are shingles of items of that size that their common count may reach the
+   threshold; where there are fewer, no fingerprint is made. Of the windows that differ only by shingles
+   of no such item before the first one that counts, the last is made: shifting a window to the right
+   over such shingles takes nothing from what it shares, so the best similarity is that of all windows.
 2. Each window and item has a 64-bit SimHash of its weighted shingles. The index holds, for each of 8
    blocks of 8 bits of an item's fingerprint, all block values within 2 bits. Two fingerprints within
    radius 23 differ by at most floor(23 / 8) = 2 bits in some block, so a lookup of the window's 8
-   blocks finds every item fingerprint within the radius; the whole distance is checked after it. At
-   similarity 0.8 a distance over 23 has a chance of about 1e-6.
+   blocks among the items of its size finds every fingerprint within the radius; the whole distance is
+   checked after it. At similarity 0.8 a distance over 23 has a chance of about 1e-6.
 3. The exact weighted-shingle similarity decides.
 
 The item side is broadcast if it has at most `BROADCAST_ROWS` rows, which is counted first; beyond it Spark
-chooses the join.
+chooses the join. What a document gathers are places of its own shingles.
 
 Null and empty texts leak nothing, and an item without words is leaked by nothing. A null doc_id is a
 document like others; rows of one id give one result for each item. Empty tables give no rows.
@@ -30,12 +32,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus, table
+from .common import corpus, of_ids, table
 
 WIDTH, LEAST = 5, 0.8
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
 BROADCAST_ROWS = 4_000_000
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
 
 
 def word_array(text: Column) -> Column:
@@ -53,16 +55,15 @@ def shingle_array(hashes: Column, width: Column | int) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """The 64 majority bits of an array of hashes. Four bits are counted at once, in lanes of 16 bits, which
-    holds for up to 65,535 shingles."""
+    """The 64 majority bits of an array of hashes. Two bits are counted at once, in lanes of 32 bits."""
     n = F.size(shingles)
     parts = []
     counted = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANES)))
-    for k in range(16):
+    for k in range(32):
         sums = counted(k)
-        for lane in range(4):
-            count = F.shiftrightunsigned(sums, 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            parts.append(F.shiftleft(F.when(count * 2 > n, F.lit(1)).otherwise(F.lit(0)).cast("long"), 16 * lane + k))
+        for lane in range(2):
+            count = F.shiftrightunsigned(sums, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            parts.append(F.shiftleft(F.when(count * 2 > n, F.lit(1)).otherwise(F.lit(0)).cast("long"), 32 * lane + k))
     out = parts[0]
     for part in parts[1:]:
         out = out.bitwiseOR(part)
@@ -80,8 +81,11 @@ def near_values() -> list[int]:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
+    """Sum of lesser counts over sum of greater counts. Where a's elements all differ, the lesser counts are
+    those of a set."""
     count = lambda array, e: F.size(F.filter(array, lambda x: x == e))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, e: s + F.least(count(a, e), count(b, e)))
+    each = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, e: s + F.least(count(a, e), count(b, e)))
+    common = F.when(F.size(F.array_distinct(a)) == F.size(a), F.size(F.array_intersect(a, b))).otherwise(each)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -93,40 +97,51 @@ def item_table(items: DataFrame, item_col: str = "item_id", text_col: str = "tex
     return made.withColumn("item_print", simhash(F.col("item_shingles")))
 
 
+def windows(docs: DataFrame, known: DataFrame, bounded, least: float) -> DataFrame:
+    """(doc_id, length, width, start, own): the words of the windows that may reach the threshold."""
+    widths = [r.width for r in known.select("width").distinct().collect()] or [WIDTH]  # WIDTH of them at most
+    classes = known.select("length", "width", F.explode("item_shingles").alias("shingle")).distinct()
+    rows = corpus(docs)
+    hashed = rows.select("doc_id", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    placed = lambda w: F.transform(shingle_array(F.col("hashes"), w), lambda x, i: F.struct(F.lit(w).alias("own_width"), i.alias("at"), x.alias("own")))
+    if len(widths) == 1:
+        own = hashed.select("doc_id", F.lit(widths[0]).alias("own_width"), F.posexplode(shingle_array(F.col("hashes"), widths[0])).alias("at", "own"))
+    else:
+        own = hashed.select("doc_id", F.inline(F.concat(*map(placed, sorted(widths)))))
+    found = own.join(bounded(classes), (F.col("own") == F.col("shingle")) & (F.col("own_width") == F.col("width")))
+    whole = F.col("length") - F.col("width") + 1  # the item's shingles
+    spots = found.groupBy(F.col("doc_id").alias("spot_id"), "length", "width").agg(F.sort_array(F.collect_set("at")).alias("hits")).where(F.size("hits") >= least * whole)
+
+    met = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))).select("doc_id", "length", "width", "hits", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    sized = met.withColumn("n", F.least(F.col("length"), F.size("hashes"))).where("n >= width").withColumn("last", F.size("hashes") - F.col("n"))
+    enough = sized.withColumn("k", F.ceil(least * (whole + F.col("n") - F.col("width") + 1) / (1 + least) - 1e-9).cast("int")).where("size(hits) >= k")
+    inside = lambda i: (F.get("hits", i + F.col("k") - 1) <= F.get("hits", i) + F.col("n") - F.col("width")) & (F.get("hits", i) <= F.col("last"))
+    at_hits = F.transform(F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("k")), inside), lambda i: F.get("hits", i))
+    at_end = F.when(F.get("hits", F.size("hits") - F.col("k")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    cutouts = F.transform(F.array_union(at_hits, at_end), lambda s: F.struct(s.alias("start"), F.slice(F.col("hashes"), s + 1, F.col("n")).alias("own")))
+    return enough.select("doc_id", "length", "width", F.inline(cutouts))
+
+
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, similarity (of the best window), word_start (its first word, from 0), n_words (its
-    length) and n_windows (how many reach the threshold)."""
+    length) and n_windows (how many of the windows made reach the threshold)."""
     known = item_table(items)
-    small = known.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ROWS
-    bounded = F.broadcast if small else (lambda df: df)
-    widths = [r.width for r in known.select("width").distinct().collect()] or [WIDTH]
-    places = known.select("item_id", "length", "width", F.posexplode("item_shingles").alias("offset", "shingle"))
-    rows = corpus(docs)
-    hashed = rows.select("doc_id", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    found = None
-    for width in sorted(widths):
-        own = hashed.select("doc_id", F.posexplode(shingle_array(F.col("hashes"), width)).alias("at", "shingle"))
-        hit = own.join(bounded(places.where(F.col("width") == width)), "shingle")
-        hit = hit.select("doc_id", "item_id", "length", "width", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"))
-        found = hit if found is None else found.union(hit)
-    spots = found.groupBy(F.col("doc_id").alias("spot_id")).agg(F.collect_set(F.struct("item_id", "length", "width", "start")).alias("spots"))
-
-    met = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id")))
-    worded = met.select("doc_id", "spots", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    cutouts = F.transform("spots", lambda s: F.struct(s["item_id"].alias("item_id"), s["start"].alias("start"), s["width"].alias("width"), F.slice(F.col("hashes"), s["start"] + 1, s["length"]).alias("own")))
-    windows = worded.select("doc_id", F.inline(cutouts))
-    prints = windows.select("doc_id", "item_id", "start", F.size("own").alias("n_words"), shingle_array(F.col("own"), F.col("width")).alias("shingles")).where(F.size("shingles") > 0)
+    masks = near_values()
+    size = known.agg(F.coalesce(F.sum(F.size("item_shingles") + BLOCKS * len(masks)), F.lit(0)).alias("n")).first()["n"]
+    bounded = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
+    made = windows(docs, known, bounded, least)
+    prints = made.select("doc_id", "length", "start", F.size("own").alias("n_words"), shingle_array(F.col("own"), F.col("width")).alias("shingles"))
     prints = prints.withColumn("print", simhash(F.col("shingles")))
 
-    near = F.array(*[F.lit(m) for m in near_values()])
-    index = known.select("item_id", "item_print", "item_shingles", F.posexplode(F.array(*blocks(F.col("item_print")))).alias("block", "value"))
-    index = index.select("item_id", "item_print", "item_shingles", "block", F.explode(F.transform(near, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    near = F.array(*[F.lit(m) for m in masks])
+    index = known.select("item_id", "length", "item_print", F.posexplode(F.array(*blocks(F.col("item_print")))).alias("block", "value"))
+    index = index.select("item_id", "length", "item_print", "block", F.explode(F.transform(near, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     looked = prints.select("*", F.posexplode(F.array(*blocks(F.col("print")))).alias("block", "value"))
-    candidates = looked.join(bounded(index), ["item_id", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    candidates = looked.join(bounded(index), ["length", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     # A window found by several blocks is one candidate: the first that would find it counts.
     closeness = [F.bit_count(x.bitwiseXOR(y)) <= RADIUS // BLOCKS for x, y in zip(blocks(F.col("print")), blocks(F.col("item_print")), strict=True)]
     first = F.coalesce(*[F.when(near_by, F.lit(j)) for j, near_by in enumerate(closeness)])
-    once = candidates.where(F.col("block") == first)
+    once = candidates.where(F.col("block") == first).join(bounded(known.select(F.col("item_id").alias("of_item"), "item_shingles")), F.col("item_id").eqNullSafe(F.col("of_item")))
     scored = once.select("doc_id", "item_id", "start", "n_words", weighted_similarity(F.col("item_shingles"), F.col("shingles")).alias("similarity")).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), "n_words")).alias("best")
     return (
@@ -141,6 +156,6 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")), "left_anti")
+    """Pipeline stage: documents that leak a benchmark item go. Rows of one id, and those without one, have
+    one fate."""
+    return of_ids(docs, leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
