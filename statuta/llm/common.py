@@ -44,23 +44,22 @@ def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def wrapped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): what corpus() gives, and each row whole, so that no name clashes with the columns
-    of a table that a stage passes on."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+def wrapped(docs: DataFrame, *without: str) -> DataFrame:
+    """(doc_id, text, row): what corpus() gives, and each row whole but for some columns, so that no name
+    clashes with the columns of a table that a stage passes on."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("row")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), whole)
 
 
-def unwrapped(rows: DataFrame, **changed: Column) -> DataFrame:
-    """The rows that wrapped() took in, with some columns changed."""
-    names = rows.schema["row"].dataType.fieldNames()
-    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+def unwrapped(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns `names` of what wrapped() took in; some are given anew."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in names])
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The documents whose id is among `ids` (doc_id), or with how="left_anti" is not; a null id equals another."""
     named = ids.select(F.col("doc_id").alias("id")).distinct()
-    return unwrapped(wrapped(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")), how))
+    return unwrapped(wrapped(docs).join(named, F.col("doc_id").eqNullSafe(F.col("id")), how), docs.columns)
 
 
 def partitions(spark: SparkSession) -> int:

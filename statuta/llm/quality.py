@@ -2,12 +2,12 @@
 
 A document of label 1 is preferred to one of label 0. With score s = w·f of a document's features f,
 the model says P(a preferred to b) = 1 / (1 + exp(-(s_a - s_b))), so w is learnt by logistic loss on
-feature differences of preference pairs. The cut is the quantile of the learnt scores that matches
-the share of label 0; scores are mapped so that the cut is 0.7.
+feature differences of preference pairs. The cut is the quantile of the scores of all labelled
+documents that matches the share of label 0; scores are mapped so that the cut is 0.7.
 
-Features come from the text alone. The fit sees at most `fit_rows` labelled documents (those of the
-smallest hash of doc_id) and `pairs_each` pairs for each; both bound what reaches the driver. The
-features and scores of all documents stay on the executors.
+Features come from the text alone. The weights are fit on at most `fit_rows` labelled documents (those of
+the smallest hash of doc_id) and `pairs_each` pairs for each; both bound what reaches the driver. The
+features and scores of all documents stay on the executors, and the cut is taken there.
 
 Null text: the empty text, scored like any other. A label row whose quality is null, and documents
 whose label rows disagree, teach nothing. Without documents of both labels every score is 0.7.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus, cut, hash_spans, mix, row_sums, slices, table, utf8, words
+from .common import corpus, cut, hash_spans, mix, of_ids, row_sums, slices, table, utf8, words
 
 CUT = 0.7
 _SYMBOL = np.zeros(256, bool)
@@ -117,43 +117,48 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, pairs_each: int = 8, ri
     return w
 
 
-def fit(measures: DataFrame, labels: DataFrame, fit_rows: int = 20_000, pairs_each: int = 8) -> tuple[np.ndarray, float]:
-    """Weights, and the cut on their scores. labels: (doc_id, quality)."""
-    clear = (
-        labels.where("doc_id is not null and quality in (0, 1)")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-        .where("low = high")
-        .select("doc_id", F.col("low").alias("y"))
-    )
+def clear_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the documents whose label rows agree. labels: (doc_id, quality)."""
+    sure = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    return sure.agg(F.min("quality").alias("y"), F.max("quality").alias("high")).where("y = high").select("doc_id", "y")
+
+
+def fit(measures: DataFrame, clear: DataFrame, fit_rows: int = 20_000, pairs_each: int = 8) -> np.ndarray:
+    """Weights of the features; none without documents of both labels."""
     sample = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = measures.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "f").limit(fit_rows).collect()
+    rows = measures.join(sample, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("f").alias("f")).collect()  # fit_rows at most
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows])
     if not len(y) or y.min() == y.max():
-        return np.zeros(1), 0.0
+        return np.zeros(0)
     x = np.array([r.f for r in rows])
-    w = bradley_terry(x[y == 1], x[y == 0], pairs_each)
-    s = np.sort(x @ w)
-    k = int((y == 0).sum())
-    return w, float((s[k - 1] + s[k]) / 2)
+    return bradley_terry(x[y == 1], x[y == 0], pairs_each)
 
 
-def score(w: np.ndarray, cut_at: float) -> Column:
-    """The score of the column f, 0 to 1; the quantile cut is at 0.7."""
-    if not w.any():
-        return F.lit(CUT)
+def weighed(w: np.ndarray) -> Column:
     s = F.lit(0.0)
     for i, weight in enumerate(w):
         s = s + F.col("f")[i] * float(weight)
-    return 1 / (1 + F.exp(-(s - cut_at + float(np.log(CUT / (1 - CUT))))))
+    return s
+
+
+def quantile_cut(measures: DataFrame, clear: DataFrame, w: np.ndarray) -> float:
+    """Between the two scores of all labelled documents that part them in the proportion of the labels. The
+    quantiles are good to a 100,000th of the documents."""
+    known = measures.select("doc_id", weighed(w).alias("s")).join(clear, "doc_id")
+    n, bad = known.agg(F.count("*"), F.count_if(F.col("y") == 0)).first()
+    low, high = known.agg(F.percentile_approx("s", [(bad - 0.5) / n, min((bad + 0.5) / n, 1.0)], 100_000)).first()[0]
+    return (low + high) / 2
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     """doc_id, score and predicted (1 from 0.7 on) of every document."""
-    measures = cut(measured(docs))
-    w, at = fit(measures, labels, fit_rows)
-    return measures.select("doc_id", score(w, at).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    measures, clear = cut(measured(docs)), clear_labels(labels)
+    w = fit(measures, clear, fit_rows)
+    score = F.lit(CUT)
+    if len(w):
+        score = 1 / (1 + F.exp(-(weighed(w) - quantile_cut(measures, clear, w) + float(np.log(CUT / (1 - CUT))))))
+    return measures.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -167,7 +172,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go. Rows of one id stay if one of them is good, and
+    so do those without one."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
-    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("good_id")), "left_semi")
+    return of_ids(docs, classify(docs, labels).where("predicted = 1"))
