@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, slices, table, utf8, written
+from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, slices, table, unwrapped, utf8, wrapped, written
 
 LENGTH, GRAM = 100, 32
 #: Occurrences of an anchor from which its stretches are dealt out; bytes of a batch of whole anchors.
@@ -454,9 +454,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     which that leaves nothing. n_chars follows the text."""
     rows, unique = unique_texts(docs)
     done = cleaned_texts(rows, unique).select(*TEXT, "first_id", "kept")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"ka": F.xxhash64(text), "kb": F.xxhash64(text, F.lit(1)), "n_bytes": F.octet_length(text), "short": F.when(F.octet_length(text) < LENGTH, text)})
-    joined = keyed.drop("text", "n_chars").join(done, TEXT)
-    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("first_id"))
-    left = joined.withColumn("text", F.when(copy, F.coalesce("short", F.lit(""))).otherwise(F.col("kept")))
-    return left.where("n_bytes = 0 or text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    size = F.octet_length("text")
+    keyed = wrapped(docs, "text", "n_chars").select("doc_id", F.xxhash64("text").alias("ka"), F.xxhash64("text", F.lit(1)).alias("kb"), size.alias("n_bytes"), F.when(size < LENGTH, F.col("text")).alias("short"), "row")
+    copy = ~F.col("doc_id").eqNullSafe(F.col("first_id"))
+    left = keyed.join(done, TEXT).withColumn("left", F.when(copy, F.coalesce("short", F.lit(""))).otherwise(F.col("kept")))
+    return unwrapped(left.where("n_bytes = 0 or left <> ''"), docs.columns, text=F.col("left"), n_chars=F.length("left").cast("long"))
