@@ -17,7 +17,7 @@ Jaccard similarity, so bands of `rows` registers are locality-sensitive.
    sides. Rare shingles come first in the order, so what is left over of a crowd of near copies, whose
    edits are its own, meets nobody. Only pairs of different components are listed, those that pass are
    confirmed on the full sets, and no link is left out.
-4. The components of all confirmed links.
+4. The components of all confirmed links: those of the second kind join components of the first.
 
 The estimate only chooses among candidates; it drops those `SLACK` below the threshold, over five
 standard errors. With 32 bands of 4 registers a pair at the threshold misses every band with a chance
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, corpus, cut, hash_spans, mix, slices, table, utf8, words, written
+from .common import LOWER, corpus, cut, hash_spans, mix, of_ids, slices, table, utf8, words, written
 
 BANDS, ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
@@ -197,10 +197,10 @@ def _prefixes(common: np.ndarray, percent: int):
 
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that the prefix rule can't rule out. members: (id, component, set)."""
-    rows = members.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
+    counts = members.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     common = np.zeros(SLOTS, np.int64)
-    common[[r.slot for r in rows]] = [r.n for r in rows]
-    prefixes = members.mapInArrow(_prefixes(common, percent), "token long, id long, component long, n long, place long")
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    prefixes = cut(members.mapInArrow(_prefixes(common, percent), "token long, id long, component long, n long, place long"))
     shares = prefixes.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts"))
     mixed = prefixes.join(shares.where("parts > 1").select("token", F.col("top.component").alias("largest")), "token")
     x = mixed.where("component <> largest").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "place")])
@@ -218,11 +218,23 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. sets: (id, set)."""
+    """The different pairs whose full sets reach the threshold. sets: (id, set), where an id may have several."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, component) of a forest (id, parent) in which every id has one parent, a smaller one: each id's
+    label is replaced by its label's label until none has one."""
+    labels = cut(parents.select("id", F.col("parent").alias("component")))
+    while True:
+        above = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        after = cut(labels.join(above, "component", "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        labels = after.select("id", "component")
+        if after.where("moved").isEmpty():
+            return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each vertex of the edges (a, b) reaches. Labels pass to
     neighbours and then jump to their label's label until none changes."""
@@ -255,14 +267,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
 
     stars = likely(crowded.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, least)
     best = stars.groupBy("b").agg(F.max(F.struct("likeness", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), "b")
-    first = cut(confirmed(best, sets, percent))
-    labels = components(first)
+    labels = roots(confirmed(best, sets, percent).select(F.col("b").alias("id"), F.col("a").alias("parent")))
 
     named = crowded.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     parts = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    apart = named.join(parts, "bucket").select("id", "component").distinct()
-    second = confirmed(prefix_pairs(sets.join(apart, "id"), percent), sets, percent)
-    final = components(first.union(second))
+    apart = cut(named.join(parts, "bucket").select("id", "component").distinct())
+    final = labels
+    if not apart.isEmpty():
+        second = confirmed(prefix_pairs(sets.join(apart, "id"), percent), sets, percent)
+        name = lambda c: apart.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
+        met = cut(second.join(name("a"), "a").join(name("b"), "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct())
+        if not met.isEmpty():
+            joined = components(met)  # a component is named by one of its ids, which has no label of its own
+            further = joined.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+            final = labels.join(further, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).union(joined)
 
     placed = classes.select(*same, "id").join(final, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     out = sketched.select("doc_id", *same).join(placed, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
@@ -274,6 +292,6 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one of the smallest id."""
-    keep = near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Pipeline stage: one document of each group stays, the one of the smallest id. Rows of one id have one
+    fate, and those without an id stay."""
+    return of_ids(docs, near_duplicates(docs, width=5).where("kept"))

@@ -19,8 +19,8 @@ out first, without losing a repeat:
    bytes by hash are compared byte by byte; in each class of equal windows all but the earliest are
    repeats. Anchors that occur over `HOT` times don't meet in one task: runs of their stretches
    without the outermost, then equal stretches of what is left, then equal blocks of 16 and of 4
-   windows, laid from the anchor, then equal windows are found by partial aggregation on digests, and
-   only the earliest of each goes on to the next of these. Equal blocks hold equal windows in equal
+   windows, laid from the anchor, then equal windows are found by partial aggregation on their bytes,
+   and only the earliest of each goes on to the next of these. Equal blocks hold equal windows in equal
    order, so no window loses its earliest place. Blocks whose shared bytes occur once at their anchor
    hold no repeat and end there.
 4. The repeated windows' spans go back to their documents.
@@ -47,7 +47,7 @@ from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, sli
 
 LENGTH, GRAM = 100, 32
 #: Occurrences of an anchor from which its stretches are dealt out; bytes of a batch of whole anchors.
-HOT, BATCH = 2000, 1 << 19
+HOT, BATCH = 300, 1 << 19
 #: Windows of a block, for anchors of over HOT occurrences; each size divides the one before.
 BLOCKS = (16, 4)
 #: Bytes of text that are hashed at once.
@@ -280,11 +280,11 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a stretch, named by a digest of its bytes."""
+    """A row for each window of a stretch."""
     for batch in batches:
         for row in batch.to_pylist():
             n = len(row["bytes"]) - LENGTH + 1
-            names = [hashlib.blake2b(row["bytes"][i : i + LENGTH], digest_size=16).digest() for i in range(n)]
+            names = [row["bytes"][i : i + LENGTH] for i in range(n)]
             yield pa.record_batch(
                 {"window": pa.array(names, pa.binary()), **{c: pa.array([row[c]] * n, pa.int64()) for c in ("doc_id", "ka", "kb")}, "start": pa.array(np.arange(row["start"], row["start"] + n))}
             )
@@ -361,11 +361,10 @@ def _blocks(size: int):
 
 
 def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans of rows that repeat an earlier one whole, and the rows that come first."""
-    rows = rows.withColumn("name", F.unhex(F.md5("bytes"))).withColumn("size", F.octet_length("bytes"))
-    keys = ["anchor", "lead", "name"]
-    spans = _later(rows.select(*keys, *_PLACE, "size"), keys, F.col("start") + F.col("size"))
-    return spans, rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE, "bytes")).alias("first")).select("anchor", "lead", "first.*")
+    """Spans of rows that repeat an earlier one byte by byte, and the rows that come first."""
+    keys = ["anchor", "lead", "bytes"]
+    spans = _later(rows.select(*keys, *_PLACE), keys, F.col("start") + F.octet_length("bytes"))
+    return spans, rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first")).select(*keys, "first.*")
 
 
 def _hot_spans(joined: DataFrame) -> DataFrame:

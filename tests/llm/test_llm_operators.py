@@ -343,7 +343,7 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [300, 1])
 def test_repeated_substrings(messy, empty, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
     assert sorted(map(tuple, substrings.deduplicated(messy).collect()), key=repr) == brute_repeats(REPEATED)
