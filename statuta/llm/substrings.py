@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, corpus, cut, hash_spans, mix, partitions, ragged, slices, table, unwrapped, utf8, wrapped, written
+from .common import _BYTE, corpus, hash_spans, mix, partitions, ragged, slices, table, unwrapped, utf8, wrapped, written
 
 LENGTH, GRAM = 100, 32
 #: Occurrences of an anchor from which its stretches are dealt out; bytes of a batch of whole anchors.
@@ -368,18 +368,22 @@ def _equal(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hot_spans(joined: DataFrame) -> DataFrame:
-    """What _sorted_groups does, for anchors of very many stretches, by partial aggregation."""
-    run_spans, run_first = _equal(joined.where("lead < 0"))
+    """What _sorted_groups does, for anchors of very many stretches, by partial aggregation. Each step is written,
+    so that no plan holds them all."""
     names = [c.split()[0] for c in STRETCH.split(", ")]
+    spans, run_first = _equal(joined.where("lead < 0"))
+    found = written(spans)
     single = joined.where("lead >= 0").select(names)
-    spans, apart = _equal(single.unionByName(run_first.select(single.columns).mapInArrow(_parted, STRETCH)))
+    rows = written(single.unionByName(run_first.select(names).mapInArrow(_parted, STRETCH)))
     for size in BLOCKS:
+        spans, apart = _equal(rows)
+        found = found.union(written(spans))
         cut_up = written(apart.select(names).mapInArrow(_blocks(size), f"{STRETCH}, core binary"))
         again = cut_up.groupBy("anchor", "core").agg(F.count("*").alias("times")).where("times > 1")
-        more, apart = _equal(cut_up.join(again, ["anchor", "core"], "left_semi").select(names))
-        spans = spans.union(more)
+        rows = cut_up.join(again, ["anchor", "core"], "left_semi").select(names)
+    spans, apart = _equal(rows)
     windows = apart.select("doc_id", "ka", "kb", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, ka long, kb long, start long")
-    return run_spans.union(spans).union(_later(windows, ["window"], F.col("start") + LENGTH))
+    return found.union(written(spans)).union(written(_later(windows, ["window"], F.col("start") + LENGTH)))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,19 +419,19 @@ def cleaned_texts(rows: DataFrame, unique: DataFrame) -> DataFrame:
     # An anchor is repeated if it occurs in two texts, or twice in one; copies of a text don't count.
     again = anchors.groupBy("anchor").agg(F.min("ka").alias("low"), F.max("ka").alias("high"), F.max("times").alias("most"), F.sum("times").alias("all")).where("low <> high or most > 1")
     found = anchors.join(again.select("anchor", (F.col("all") > HOT).alias("hot")), "anchor")
-    marked = cut(found.groupBy("ka").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
-    keyed = rows.select(*TEXT).distinct().join(marked, "ka")
+    marked = found.groupBy("ka").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    texts = written(unique.join(rows.select(*TEXT).distinct().join(marked, "ka"), TEXT, "left"))
 
     def pieces(kind: str, how) -> DataFrame:
-        mine = keyed.where(F.size(kind) > 0).select(*TEXT, F.col(kind).alias("anchors"))
-        return unique.join(mine, TEXT).select("doc_id", *TEXT, "text", "anchors").mapInArrow(how, STRETCH)
+        return texts.where(F.size(kind) > 0).select("doc_id", *TEXT, "text", F.col(kind).alias("anchors")).mapInArrow(how, STRETCH)
 
     ordered = pieces("cold", _stretches).repartition(n, "anchor").sortWithinPartitions("anchor", *_PLACE)
-    spans = ordered.mapInArrow(_sorted_groups, SPANS)
-    if not marked.where(F.size("hot") > 0).isEmpty():
+    spans = written(ordered.mapInArrow(_sorted_groups, SPANS))
+    if not texts.where(F.size("hot") > 0).isEmpty():
         spans = spans.union(_hot_spans(written(pieces("hot", _runs))))
     by_text = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return unique.join(by_text, TEXT, "left").select(*TEXT, "doc_id", "text", "spans").mapInArrow(_cleaned, "ka long, kb long, first_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = texts.select("doc_id", *TEXT, "text").join(by_text, TEXT, "left").select(*TEXT, "doc_id", "text", "spans")
+    return out.mapInArrow(_cleaned, "ka long, kb long, first_id long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
