@@ -48,6 +48,47 @@ TEMPLATES = [
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted <<opt>>for any purpose<</opt>> provided that the following conditions are met",
     ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of "
+        "source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> this software is "
+        "provided by <<var:1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of "
+        "source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of "
+        "<<var:1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form "
+        "or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<opt>>http<</opt>> "
+        "<<opt>>https<</opt>> <<opt>>www<</opt>> mozilla org mpl 2 0",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var:1-8>> unless "
+        "required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+        "or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version "
+        "<<var:1-1>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+        "of merchantability or fitness for a particular purpose",
+    ),
     ("apache-2.0", "licensed under the apache license version 2 <<opt>>0<</opt>>"),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("gpl-<<var>>", "<<opt>>this work is<</opt>> licensed under the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license version <<var:1-1>>"),
@@ -63,16 +104,14 @@ TEMPLATES = [
     ("spdx", "spdx license identifier <<var:1-6>>"),
 ]
 
-#: Every template and phrase holds one of these; other texts needn't run the automata.
-_HINT = r"rights|licen[sc]e|public|redistribution|permission|copyright|cc[\x00-/:-`{-\x7f]+by"
-
-
 class Automaton:
     """Instructions: ("word", w), ("any",) or ("split", a, b); running off the end accepts."""
 
     def __init__(self, template: str) -> None:
         self.code: list[tuple] = []
         open_: list[int] = []
+        #: Words that every accepted run holds.
+        self.mandatory: list[str] = []
         for item in re.findall(r"<<[^>]*>>|[^\s<]+", template):
             if item == "<<opt>>":
                 open_.append(len(self.code))
@@ -88,7 +127,11 @@ class Automaton:
                     self.code += [("split", len(self.code) + 1, end), ("any",)]
             else:
                 self.code.append(("word", item))
-        self.first = {self.code[i][1] for i in self._follow({0}) if i < len(self.code) and self.code[i][0] == "word"}
+                self.mandatory += [] if open_ else [item]
+        begin = [self.code[i] for i in self._follow({0}) if i < len(self.code)]
+        self.first = {x[1] for x in begin if x[0] == "word"}
+        #: Whether a run may begin with any word.
+        self.anywhere = ("any",) in begin
 
     def _follow(self, states: set[int]) -> set[int]:
         out, todo = set(), list(states)
@@ -116,6 +159,16 @@ class Automaton:
         return end
 
 
+def hint(templates: list[tuple[str, str]]) -> str | None:
+    """A pattern without which a text holds no base phrase and no template: the longest mandatory word of each.
+    None where a template has no mandatory word."""
+    mandatory = [p.split() for p, _ in BASE] + [Automaton(t).mandatory for _, t in templates]
+    if not all(mandatory):
+        return None
+    edge = r"[^a-z0-9\x{80}-\x{10ffff}]"
+    return rf"(?:^|{edge})(?:{'|'.join(sorted({re.escape(max(w, key=len)) for w in mandatory}))})(?:{edge}|$)"
+
+
 def scan(tokens: list[str], automata: list[tuple[str, Automaton]], starts: dict[str, list[int]]) -> tuple[list[int], set[str], set[str]]:
     """Places of base phrases, their labels, and the labels of accepted templates."""
     places, base, found = [], set(), set()
@@ -128,13 +181,14 @@ def scan(tokens: list[str], automata: list[tuple[str, Automaton]], starts: dict[
         hits = [i for i in at_word.get(want[0], ()) if tokens[i : i + len(want)] == want]
         places += hits
         base |= {label} if hits else set()
-    for w, where in at_word.items():
-        for k in starts[w]:
-            label, automaton = automata[k]
-            for i in where:
-                end = automaton.longest(tokens, i)
-                if end > i:
-                    found.add(label.replace("<<var>>", tokens[end - 1]))
+    todo = [(k, where) for w, where in at_word.items() for k in starts[w] if not automata[k][1].anywhere]
+    todo += [(k, range(len(tokens))) for k, (_, a) in enumerate(automata) if a.anywhere]
+    for k, where in todo:
+        label, automaton = automata[k]
+        for i in where:
+            end = automaton.longest(tokens, i)
+            if end > i:
+                found.add(label.replace("<<var>>", tokens[end - 1]))
     return places, base, found
 
 
@@ -148,8 +202,9 @@ def compiled(templates: list[tuple[str, str]]) -> tuple[list[tuple[str, Automato
 
 
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row a document; own templates must hold a word of the usual hints, such as `license`."""
+    """One row a document. templates: (label, template) in lower case; `<<var>>` in a label is the last word."""
     chosen = TEMPLATES if templates is None else templates
+    pattern = hint(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata, starts = compiled(chosen)
@@ -158,7 +213,7 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None) ->
             _, _, at = words(LOWER[data], offsets, ALNUM)
             n = np.diff(at)
             rows = len(n)
-            hit = np.flatnonzero(pc.match_substring_regex(part.column("text"), _HINT, ignore_case=True).to_numpy(zero_copy_only=False))
+            hit = np.arange(rows) if pattern is None else np.flatnonzero(pc.match_substring_regex(part.column("text"), pattern, ignore_case=True).to_numpy(zero_copy_only=False))
             n_base, first, last, base, labels, score = [0] * rows, [None] * rows, [None] * rows, [""] * rows, [""] * rows, [0.0] * rows
             for i in hit:
                 tokens = WORD.findall(part.column("text")[i].as_py().translate(AZ))
