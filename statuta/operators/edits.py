@@ -27,6 +27,8 @@ CHAPTER = (
 FIRST_LINE = r"(?i)(?:§+\s*|SEC(?:TION)?\.?\s+)([0-9A-Za-z][0-9A-Za-z.-]*)\s*[.\-—:]\s*([^\n]{1,180})"
 NEXT_SECTION = r"(?im)^\s*SEC(?:TION)?\.?\s+\d+[A-Za-z]?\s*[.\-—:]"
 VERB = r"(?is)^[^.;]{0,300}?\b(?:is|are)\s+(?:hereby\s+)?(amended|repealed)\b"
+PREFIX = r"(?is)^([^.;]{0,300}?)\b(?:is|are)\s+(?:hereby\s+)?(?:amended|repealed)\b"
+PART_NAMED = r"(?i)^\s*\([A-Za-z0-9]+\)|\b(?:subsection|paragraph|subparagraph|clause|item)\b"
 RESTATED = r"(?is)\b(?:to\s+read|by\s+striking\s+.*?and\s+inserting)\s+as\s+follows\s*[:—-]"
 ADDED = r"(?is)\bby\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?(?:the\s+following|after\s+[^:]{1,300}\s+the\s+following)\s*[:—-]"
 #: Groups of verbs near a reference to another law.
@@ -105,7 +107,8 @@ def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFram
 
 def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, verb, subdivision, window): citations that are followed, within their
-    sentence, by an order to amend or repeal. subdivision: the citation names a part of the section."""
+    sentence, by an order to amend or repeal. subdivision: a part of the section is named, in the citation or
+    between it and the verb."""
     found = windows(docs, id_col, text_col, TARGET, 0, 10_000)
     g = lambda k: F.get("groups", F.lit(k))
     rows = found.select(
@@ -113,7 +116,8 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.concat(g(1), g(5)).alias("part"), "raw", until_next_section(F.concat("raw", "after"), 100).alias("window"),
     )
     after = F.expr("left(substring(window, length(raw) + 1), 700)")
-    return rows.withColumn("verb", F.lower(F.regexp_extract(after, VERB, 1))).where("verb <> ''").select(id_col, "start", "title", "section", "verb", (F.col("part") != "").alias("subdivision"), "window")
+    part = (F.col("part") != "") | F.regexp_extract(after, PREFIX, 1).rlike(PART_NAMED)
+    return rows.withColumn("verb", F.lower(F.regexp_extract(after, VERB, 1))).where("verb <> ''").select(id_col, "start", "title", "section", "verb", part.alias("subdivision"), "window")
 
 
 def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame) -> DataFrame:

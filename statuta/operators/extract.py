@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import edits
 
 #: The three ways to cite the Code, with the groups of title and section.
 CITATIONS = [
@@ -22,8 +23,15 @@ CITATIONS = [
     (r"(?i)title\s+(\d{1,2})\s*,?\s*(?:United\s+States\s+Code|U\.?S\.?C\.?)\s*,?\s*section\s+([0-9A-Za-z][0-9A-Za-z.\-]*)", 1, 2),
 ]
 STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
-#: Relation, and the verbs that must touch a reference, in order of precedence.
-RELATIONS = [("repeals", "repeal"), ("supersedes", "supersed"), ("amends", "amend"), ("overrides", "notwithstanding")]
+#: Fixed values, strongest first: relation, confidence, characters before a law number and the wording that ends them,
+#: characters after it and the wording that begins them.
+RELATIONS = [
+    ("repeals", "high", 180, r"(?:hereby\s+)?(?:repeals?|repealing|repeal\s+of)(?:\s+(?:all|the|titles?|sections?|provisions?|amendments?))*(?:\s+(?:of|made\s+by|contained\s+in))*\s*$",
+     180, r"^\s*[,;]?\s*(?:and\s+)?(?:is|are|shall\s+be)\s+(?:hereby\s+)?repealed\b"),
+    ("supersedes", "high", 120, r"(?:supersedes?|replaces?|replacement\s+for)\s*$", 160, r"^\s*[,;]?\s*(?:is|are)\s+(?:hereby\s+)?(?:superseded|replaced)\b"),
+    ("amends", "medium", 120, r"(?:amends?|amending|amendment\s+to)\s*$", 160, r"^\s*[,;]?\s*(?:is|are)\s+(?:hereby\s+)?amended\b"),
+    ("overrides", "medium", 160, r"notwithstanding(?:\s+any\s+provision\s+of)?\s*$", 0, None),
+]
 #: Names of operative wording.
 OPERATIVE = [
     ("amends", r"is (hereby )?amended"), ("repeals", r"is (hereby )?repealed"), ("strikes", "striking"), ("inserts", "inserting"), ("restates", "to read as follows"),
@@ -61,38 +69,28 @@ def find_all(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pattern string, raw string, groups array<string>, start int, end int")
 
 
-def dependencies(docs: DataFrame, id_col: str, text_col: str, window: int = 160) -> DataFrame:
-    """(id, target, relation) for every law a text refers to, other than itself; the relation is that of
-    the operative verb near the reference, the strongest of all places."""
-    found = find_all(docs, id_col, text_col, {"law": T.LAW_PATTERN})
-    joined = found.select(id_col, "groups", "start", "end").join(docs.select(id_col, text_col), id_col)
-    near = F.lower(F.substring(text_col, F.greatest(F.col("start") - window + 1, F.lit(1)), F.col("end") - F.col("start") + 2 * window))
-    target = T.law_id(F.get("groups", F.lit(0)).cast("int").cast("string"), F.get("groups", F.lit(1)).cast("int").cast("string"))
-    return _strongest(joined.select(id_col, target.alias("target"), relation(near).alias("rank")), id_col)
-
-
-def relation(near: Column) -> Column:
-    """The rank of the first relation whose verb occurs; 4: a mere reference."""
-    out = F.lit(len(RELATIONS))
-    for k, (_, verb) in reversed(list(enumerate(RELATIONS))):
-        out = F.when(near.contains(verb), k).otherwise(out)
+def dependencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, target, relation, confidence, context): every other law that a text names, once for each relation. A
+    relation needs its verb directly before or after the number; a verb elsewhere in the sentence says nothing."""
+    found = edits.windows(docs, id_col, text_col, T.LAW_PATTERN, 260, 260)
+    g = lambda k: F.get("groups", F.lit(k)).cast("int").cast("string")
+    rows = found.select(id_col, "start", "raw", T.law_id(g(0), g(1)).alias("target"), T.normalize_whitespace(F.col("before")).alias("before"), T.normalize_whitespace(F.col("after")).alias("after"))
+    context = F.left(T.normalize_whitespace(F.concat_ws(" ", "before", "raw", "after")), F.lit(700))
+    known = rows.where(F.col(id_col) != F.col("target")).select(id_col, "start", "target", F.explode(F.array(relation(F.lower("before"), F.lower("after")))).alias("r"), context.alias("context"))
+    first = known.groupBy(id_col, "target", F.col("r.relation").alias("relation"), F.col("r.confidence").alias("confidence")).agg(F.min_by("context", "start").alias("context"))
+    return first.select(id_col, "target", "relation", "confidence", "context")
+
+
+def relation(before: Column, after: Column) -> Column:
+    """(relation, confidence) of the first relation whose wording touches the law number, in lower case."""
+    named = lambda name, sure: F.struct(F.lit(name).alias("relation"), F.lit(sure).alias("confidence"))
+    out = named("references", "low")
+    for name, sure, n, ends, m, begins in reversed(RELATIONS):
+        said = F.right(before, F.lit(n)).rlike(ends)
+        out = F.when(said | F.left(after, F.lit(m)).rlike(begins) if begins else said, named(name, sure)).otherwise(out)
     return out
 
 
-def _strongest(edges: DataFrame, id_col: str) -> DataFrame:
-    names = F.array(*[F.lit(n) for n, _ in RELATIONS], F.lit("references"))
-    return edges.where(F.col(id_col) != F.col("target")).groupBy(id_col, "target").agg(F.min("rank").alias("rank")).select(id_col, "target", F.get(names, F.col("rank")).alias("relation"))
-
-
-def references(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As dependencies, without offsets: sentences are the windows. Built-in expressions only."""
-    sentence = docs.select(id_col, F.explode(F.split(text_col, r"(?<=\.)\s+(?=[A-Z])")).alias("s"))
-    pair = F.arrays_zip(F.regexp_extract_all("s", F.lit(T.LAW_PATTERN), F.lit(1)).alias("c"), F.regexp_extract_all("s", F.lit(T.LAW_PATTERN), F.lit(2)).alias("n"))
-    rows = sentence.select(id_col, "s", F.explode(pair).alias("p"))
-    target = T.law_id(F.col("p.c").cast("int").cast("string"), F.col("p.n").cast("int").cast("string"))
-    return _strongest(rows.select(id_col, target.alias("target"), relation(F.lower("s")).alias("rank")), id_col)
-
-
 def strike_inserts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, old_text, new_text) of quoted edits, distinct; empty or over-long ones are skipped."""
     pair = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(STRIKE), F.lit(1)).alias("old"), F.regexp_extract_all(text_col, F.lit(STRIKE), F.lit(2)).alias("new"))

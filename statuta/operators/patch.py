@@ -77,13 +77,45 @@ def disposition(ready: dict[str, Column]) -> Column:
     return reduce(lambda out, s: F.when(s[0], s[1]).otherwise(out), reversed(steps), F.lit("STATUTORY_NOTE"))
 
 
-#: Treatments and the class of action each stands for.
+#: Treatments and the action each stands for.
 TREATMENTS = {
-    "direct_amendment": "code_amendment", "amend": "code_amendment", "new_section": "code_addition", "add_section": "code_addition", "repeal": "code_repeal", "repealed": "code_repeal",
-    "note_only": "note", "statutory_note": "note", "editorial_note": "note", "no_code_action": "no_code", "non_code": "no_code", "superseded": "no_code", "already_incorporated": "no_code",
-}
-
-
-def action_for(treatment: Column) -> Column:
+    "new_section": "insert new section",
+    "new_subsection": "insert new subsection",
+    "amend_existing_text": "amend existing text",
+    "repeal_marking": "repeal or remove project-added text",
+    "redesignation": "redesignate",
+    "transfer": "transfer",
+    "substitution": "substitution",
+    "statutory_note": "add statutory note",
+    "statutory_note_only": "add statutory note",
+    "note_only": "add statutory note",
+    "historical_note_only": "add historical note",
+    "historical_note": "add historical note",
+    "history_only": "add historical note",
+    "source_limited_historical_note": "add historical note",
+    "amendment_note": "add amendment note",
+    "effective_date_note": "add historical note",
+    "savings_note": "add historical note",
+    "transfer_note": "add statutory note",
+    "exclude_from_code": "no Code action",
+    "already_incorporated": "no Code action",
+}
+#: Actions that change the Code's text.
+EXECUTABLE = ("amend existing text", "insert new section", "insert new subsection", "repeal or remove project-added text", "redesignate", "transfer", "substitution")
+
+
+def action_for(treatment: Column, classes: Column | None = None, summary: Column | None = None) -> Column:
+    """The action of a treatment; of an unknown one, that of the provision's classes and summary."""
     known = F.create_map(*[F.lit(x) for pair in TREATMENTS.items() for x in pair])
-    return F.coalesce(known[T.normalize_text(treatment, "runs")], F.lit("no_code"))
+    of = F.coalesce(classes, F.array().cast("array<string>")) if classes is not None else F.array().cast("array<string>")
+    said = F.lower(F.coalesce(summary, F.lit(""))) if summary is not None else F.lit("")
+    general = F.when(said.contains("definition"), "insert new subsection").when(said.rlike("purpose|findings|sense"), "add statutory note").otherwise("insert new section")
+    default = (
+        F.when(F.array_contains(of, "new-permanent-general"), general).when(F.arrays_overlap(of, F.array(F.lit("short-title"), F.lit("findings-or-sense"))), "add statutory note")
+        .when(F.array_contains(of, "effective-date"), "add historical note").otherwise("no Code action")
+    )
+    return F.coalesce(known[T.normalize_text(F.coalesce(treatment, F.lit("")), "runs")], default)
+
+
+def executable(action: Column) -> Column:
+    return action.isin(*EXECUTABLE)

@@ -18,15 +18,15 @@ def ex7_new_sections(bills, sections):
     return out.select("law_id", "title", "section", "chapter", "heading", "confidence", F.length("block").cast("long").alias("n_chars"))
 
 
-_TARGET = r"'Section (\d+)((?:\(b\))?) of title (\d+), United States Code, which[^.;]*, is (?:hereby )?(amended|repealed)'"
+_TARGET = r"'Section (\d+)((?:\(b\))?) of title (\d+), United States Code, ((?:subsection \(c\))?)[^.;]*, is (?:hereby )?(amended|repealed)'"
 
 
-@query(f"select law_id, cast(regexp_extract(text, {_TARGET}, 3) as int) as title, regexp_extract(text, {_TARGET}, 1) as section, regexp_extract(text, {_TARGET}, 4) as verb, regexp_extract(text, {_TARGET}, 2) <> '' as subdivision from {{bills}}")
+@query(f"select law_id, cast(regexp_extract(text, {_TARGET}, 3) as int) as title, regexp_extract(text, {_TARGET}, 1) as section, regexp_extract(text, {_TARGET}, 5) as verb, regexp_extract(text, {_TARGET}, 2) <> '' or regexp_extract(text, {_TARGET}, 4) <> '' as subdivision from {{bills}}")
 def ex8_targets(bills):
     return edits.targets(bills, "law_id", "text").select("law_id", "title", "section", "verb", "subdivision")
 
 
-_ORDERED = """(select law_id, text, regexp_extract(text, 'EDITS\\. Section (\\d+)', 1) as section, regexp_extract(text, 'EDITS\\. Section \\d+(\\(b\\))?', 1) <> '' as part,
+_ORDERED = """(select law_id, text, regexp_extract(text, 'EDITS\\. Section (\\d+)', 1) as section, regexp_extract(text, 'EDITS\\. Section \\d+(\\(b\\))?', 1) <> '' or contains(text, 'Code, subsection (c)') as part,
  cast(regexp_extract(text, 'EDITS\\. Section [^ ]+ of title (\\d+)', 1) as int) as title, regexp_extract(text, '(?s)SEC\\. 3\\. EDITS\\. (.*)\\nSEC\\. 4', 1) as said from {bills})"""
 
 

@@ -57,7 +57,7 @@ from {lineitem}""",
 select concat('ACTION-', cast(l_orderkey * 10 + l_linenumber as varchar(20))) as action_id,
        case l_returnflag when 'A' then 'applied' when 'N' then 'documented-no-code-action' else 'superseded-by-later-action' end as result_status,
        concat('rp-', left(sha1(concat(cast(l_partkey as varchar(20)), '|', cast(l_suppkey as varchar(20)))), 20)) as node_id
-from {lineitem} where l_linenumber < 7""",
+from {lineitem}""",
     "reviews": """
 select concat('PL-', lpad(cast(1 + user_id % 50 as varchar(20)), 3, '0'), '-001') as law_id,
        cast(event_id % 40 as int) as group_index, event_id as ord,
@@ -65,21 +65,36 @@ select concat('PL-', lpad(cast(1 + user_id % 50 as varchar(20)), 3, '0'), '-001'
        case when value > 10 then 'note-only' when value > 5 then 'new-section' else '' end as treatment
 from {events}""",
     "bills": """
-select law_id, min(text) as text from (
-  select concat('PL-', lpad(cast(1 + l_suppkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_orderkey % 999 as varchar(20)), 3, '0')) as law_id,
-         concat('SEC. 1. SHORT TITLE. The ', lower(p_type), ' Act.', chr(10),
-                'SEC. 2. RULES. Chapter ', cast(l_suppkey % 10 as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by adding at the end the following:', chr(10),
-                '"§ ', cast(case when l_orderkey % 4 = 0 then l_partkey else l_partkey + 1000000 end as varchar(20)), '. ', p_name, chr(10),
-                'An agency shall keep a list of every ', lower(p_type), ' and of its makers, and shall print it on the first working day of each year.".', chr(10),
-                'SEC. 3. EDITS. Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), case when l_linenumber % 2 = 0 then '(b)' else '' end,
-                ' of title ', cast(p_size as varchar(20)), ', United States Code, which concerns the lists of items that an agency keeps, is ',
-                case l_linenumber % 3 when 0 then 'hereby repealed.'
-                     when 1 then concat('amended to read as follows: "§ ', cast(l_partkey as varchar(20)), '. ', p_name, chr(10), 'A list shall name every ', lower(p_type), ', its makers, its sellers and the year of its making.".')
-                     else concat('amended by adding at the end the following: "(z) ', p_name, '.".') end, chr(10),
-                'SEC. 4. LAWS. Public Law ', cast(1 + l_partkey % 50 as varchar(20)), '-', cast(1 + l_suppkey % 999 as varchar(20)),
-                case l_orderkey % 3 when 0 then ' shall be postponed.' when 1 then ' is reauthorized.' else ' stays.' end) as text
-  from {lineitem} join {part} on p_partkey = l_partkey) as b
-group by law_id""",
+select distinct concat('B', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as law_id,
+  concat('SEC. 1. SHORT TITLE. The ', lower(p_type), ' Act.', chr(10),
+         'SEC. 2. RULES. Chapter ', cast(l_suppkey % 10 as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by adding at the end the following:', chr(10),
+         '"§ ', cast(case when l_orderkey % 4 = 0 then l_partkey else l_partkey + 1000000 end as varchar(20)), '. ', p_name, chr(10),
+         'An agency shall keep a list of every ', lower(p_type), ' and of its makers, and shall print it on the first working day of each year.".', chr(10),
+         'SEC. 3. EDITS. Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), case when l_linenumber % 2 = 0 then '(b)' else '' end,
+         ' of title ', cast(p_size as varchar(20)), ', United States Code, ', case when l_orderkey % 7 = 2 then 'subsection (c), which concerns the lists, is ' else 'which concerns the lists of items that an agency keeps, is ' end,
+         case l_linenumber % 3 when 0 then 'hereby repealed.'
+              when 1 then concat('amended to read as follows: "§ ', cast(l_partkey as varchar(20)), '. ', p_name, chr(10), 'A list shall name every ', lower(p_type), ', its makers, its sellers and the year of its making.".')
+              else concat('amended by adding at the end the following: "(z) ', p_name, '.".') end, chr(10),
+         'SEC. 4. LAWS. Public Law ', cast(1 + l_partkey % 50 as varchar(20)), '-', cast(1 + l_suppkey % 999 as varchar(20)),
+         case l_orderkey % 3 when 0 then ' shall be postponed.' when 1 then ' is reauthorized.' else ' stays.' end) as text
+from {lineitem} join {part} on p_partkey = l_partkey""",
+    "citings": """
+select concat('PL-', lpad(cast(1 + l_suppkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_orderkey % 999 as varchar(20)), 3, '0')) as law_id,
+       concat('PL-', lpad(cast(1 + l_partkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_suppkey % 999 as varchar(20)), 3, '0')) as named, (l_linenumber + l_partkey) % 9 as form,
+       concat('An agency shall keep a list of every item. ',
+              case (l_linenumber + l_partkey) % 9 when 1 then 'This Act amends ' when 2 then 'A rule that supersedes ' when 3 then 'Notwithstanding any provision of ' when 4 then 'Repealing all the provisions of '
+                   when 5 then 'No provision of ' when 6 then 'An amendment to a rule under ' else '' end,
+              'Public Law ', cast(1 + l_partkey % 50 as varchar(20)), '-', cast(1 + l_suppkey % 999 as varchar(20)),
+              case (l_linenumber + l_partkey) % 9 when 0 then ' is hereby repealed.' when 5 then ' shall be read to repeal another act.' when 7 then ', and is hereby  repealed.' when 8 then ' are superseded.' else ' stands.' end) as text
+from {lineitem}""",
+    "treated": """
+select p_partkey as provision_id,
+       case p_partkey % 24 when 0 then 'new-section' when 1 then 'New Subsection' when 2 then 'amend existing text' when 3 then 'repeal-marking' when 4 then 'redesignation' when 5 then 'transfer' when 6 then 'substitution'
+            when 7 then 'statutory note' when 8 then 'statutory-note-only' when 9 then 'note-only' when 10 then 'historical-note-only' when 11 then 'historical-note' when 12 then 'history-only' when 13 then 'source-limited-historical-note'
+            when 14 then 'amendment-note' when 15 then 'effective-date-note' when 16 then 'savings-note' when 17 then 'transfer-note' when 18 then 'exclude-from-code' when 19 then 'already-incorporated' when 20 then ' Transfer ' else 'other' end as treatment,
+       case p_size % 5 when 0 then 'new-permanent-general' when 1 then 'short-title' when 2 then 'effective-date' when 3 then 'findings-or-sense' else 'temporary' end as class,
+       concat(case p_size % 3 when 0 then 'Definitions of a ' when 1 then 'The purpose of a ' else 'Rules on a ' end, lower(p_type)) as summary
+from {part}""",
     "nodes": """
 select file, node_id, law_id, min(part) as part, max(identifier) as identifier, max(tag) as tag, max(said) as text, max(num) as num
 from (select concat('usc', lpad(cast(l_suppkey % 54 as varchar(20)), 2, '0'), '.xml') as file, l_partkey as part,

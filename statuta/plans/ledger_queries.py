@@ -161,7 +161,7 @@ _EDGES = r"""select law_id as source, 'PL-' || lpad(c, 3, '0') || '-' || lpad(n,
 
 @query(f"select target as law_id, min(source) as superseded_by from ({_EDGES}) where target < source and source in (select law_id from {{enactments}}) and target in (select law_id from {{enactments}}) and right(source, 1) <> '7' group by target")
 def jn4_dependency_overrides(enactments):
-    edges = extract.references(enactments, "law_id", "text").select(F.col("law_id").alias("source"), "target", "relation")
+    edges = extract.dependencies(enactments, "law_id", "text").select(F.col("law_id").alias("source"), "target", "relation")
     laws = enactments.select("law_id", (F.right("law_id", F.lit(1)) != "7").alias("active")).distinct()
     return match.overrides(edges, laws)
 
@@ -300,9 +300,17 @@ def st2_set_difference(documents, labels):
     return documents.select("doc_id").subtract(labels.select("doc_id"))
 
 
-@query("select action_id, ord, case when t in ('direct_amendment') then 'code_amendment' when t = 'note_only' then 'note' when t = 'new_section' then 'code_addition' else 'no_code' end as action, count(*) as n from (select action_id, ord, regexp_replace(lower(trim(treatment)), '[ -]+', '_', 'g') as t from {actions}) group by all")
-def pl2_action_for_treatment(actions):
-    return actions.groupBy("action_id", "ord", patch.action_for(F.col("treatment")).alias("action")).agg(F.count("*").alias("n"))
+@query("""with m(t, action) as (values ('new_section', 'insert new section'), ('new_subsection', 'insert new subsection'), ('amend_existing_text', 'amend existing text'), ('repeal_marking', 'repeal or remove project-added text'), ('redesignation', 'redesignate'),
+ ('transfer', 'transfer'), ('substitution', 'substitution'), ('statutory_note', 'add statutory note'), ('statutory_note_only', 'add statutory note'), ('note_only', 'add statutory note'), ('historical_note_only', 'add historical note'),
+ ('historical_note', 'add historical note'), ('history_only', 'add historical note'), ('source_limited_historical_note', 'add historical note'), ('amendment_note', 'add amendment note'), ('effective_date_note', 'add historical note'),
+ ('savings_note', 'add historical note'), ('transfer_note', 'add statutory note'), ('exclude_from_code', 'no Code action'), ('already_incorporated', 'no Code action'))
+ select provision_id, action, action in ('amend existing text', 'insert new section', 'insert new subsection', 'repeal or remove project-added text', 'redesignate', 'transfer', 'substitution') as executable from (
+ select provision_id, coalesce(m.action, case when class = 'new-permanent-general' then case when starts_with(summary, 'Definitions') then 'insert new subsection' when starts_with(summary, 'The purpose') then 'add statutory note' else 'insert new section' end
+  when class in ('short-title', 'findings-or-sense') then 'add statutory note' when class = 'effective-date' then 'add historical note' else 'no Code action' end) as action
+ from {treated} left join m on m.t = regexp_replace(lower(trim(treatment)), '[ -]+', '_', 'g'))""")
+def pl2_action_for_treatment(treated):
+    action = patch.action_for(F.col("treatment"), F.array("class"), F.col("summary"))
+    return treated.select("provision_id", action.alias("action")).withColumn("executable", patch.executable(F.col("action")))
 
 
 _EDITS = r"""select 's' || s.identifier as k, s.identifier, s.body, e.old_text, e.new_text, e.doc_key * 100 + e.seq as ord from {sections} s join (select doc_key, seq, regexp_extract(text, 'Section ([0-9]+)', 1) as section, regexp_extract(text, 'striking "(.*?)" and', 1) as old_text, regexp_extract(text, 'inserting "(.*?)"', 1) as new_text from {enactments} where contains(text, 'striking')) e on s.section = e.section"""
@@ -417,11 +425,10 @@ def fl10_title_filter(nation):
     return nation.where(F.lower("n_name").contains("1")).select("n_name")
 
 
-@query("select law_id, ord, case when status = 'valid' and treatment <> '' then 'kept' else 'recompute' end as state from {reviews} where ord % 2 = 0")
+@query("select law_id, ord, case when status = 'valid' and treatment <> '' then 'kept' else 'recompute' end as state from {reviews}")
 def sm3_resume_sources(reviews):
     stored = reviews.where("status = 'valid' and treatment <> ''").select("ord").withColumn("_kept", F.lit(True))
-    asked = reviews.where("ord % 2 = 0").join(stored, "ord", "left")
-    return asked.select("law_id", "ord", F.when(F.col("_kept"), "kept").otherwise("recompute").alias("state"))
+    return reviews.join(stored, "ord", "left").select("law_id", "ord", F.when(F.col("_kept"), "kept").otherwise("recompute").alias("state"))
 
 
 @query("select law_id, max(ord) as ord, arg_max(status, ord) as status from {reviews} group by law_id")

@@ -40,9 +40,10 @@ def snk4_location_register(actions):
     return out.where("n > 1")
 
 
-@query("""select law_id, target, relation from (select law_id, 'PL-' || lpad(regexp_extract(text, 'Public Law (\\d+)-(\\d+)', 1), 3, '0') || '-' || lpad(regexp_extract(text, 'Public Law (\\d+)-(\\d+)', 2), 3, '0') as target, 'repeals' as relation from {enactments} where regexp_matches(text, 'Public Law \\d+-\\d+')) where law_id <> target group by all""")
-def snk5_dependency_export(enactments):
-    return extract.references(enactments, "law_id", "text")
+@query("""select law_id as source, named as target, string_agg(distinct relation, ',' order by relation) as relations, count(distinct relation) as n from (select law_id, named, case form when 0 then 'repeals' when 4 then 'repeals' when 7 then 'repeals' when 2 then 'supersedes' when 8 then 'supersedes' when 1 then 'amends' when 3 then 'overrides' else 'references' end as relation from {citings}) where law_id <> named group by all""")
+def snk5_dependency_export(citings):
+    edges = extract.dependencies(citings, "law_id", "text").groupBy(F.col("law_id").alias("source"), "target")
+    return edges.agg(F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"), F.countDistinct("relation").alias("n"))
 
 
 @query("select law_id, to_json(struct_pack(n := count(*), types := list_sort(list(distinct action_type)))) as said from {actions} group by law_id")
@@ -100,11 +101,10 @@ def pl22_completeness_gate(reviews):
     return publish.completeness(laws, 200, 10)
 
 
-@query("select law_id, case when invalid then 'schema-invalid' when no_treatment > 0 then 'incomplete' else 'valid' end as status from (select law_id, bool_or(status = 'schema-invalid') as invalid, count(*) filter (where treatment = '') as no_treatment from {reviews} where ord % 37 = 0 group by law_id)")
+@query("select law_id, case when invalid then 'schema-invalid' when no_treatment > 0 then 'incomplete' else 'valid' end as status from (select law_id, bool_or(status = 'schema-invalid') as invalid, count(*) filter (where treatment = '') as no_treatment from {reviews} group by law_id)")
 def pl9_report_status(reviews):
-    part = reviews.where("ord % 37 = 0")
     issues = F.array_compact(F.array(F.when(F.col("status") == "schema-invalid", "schema-invalid"), F.when(F.col("treatment") == "", "no treatment")))
-    found = part.groupBy("law_id").agg(F.array_distinct(F.flatten(F.collect_list(issues))).alias("issues"))
+    found = reviews.groupBy("law_id").agg(F.array_distinct(F.flatten(F.collect_list(issues))).alias("issues"))
     return found.select("law_id", publish.report_status(F.col("issues")).alias("status"))
 
 
@@ -155,10 +155,10 @@ def jn11_manifest_vs_files(sections, part):
     return sections.join(files, "section", "left").select("identifier", F.when(F.col("found"), "ok").otherwise("missing").alias("state"))
 
 
-@query("select law_id, coalesce(m, 0) as manifest, coalesce(r, 0) as report, case when m is null then 'extra' when r is null then 'missing' when m > 1 or r > 1 then 'duplicated' else 'ok' end as state from (select law_id, count(*) as m from {reviews} where ord % 100 = 1 group by 1) full join (select law_id, count(*) as r from {reviews} where ord % 90 = 1 group by 1) using (law_id)")
-def jn13_law_set_compare(reviews):
-    a = reviews.where("ord % 100 = 1").groupBy("law_id").agg(F.count("*").alias("manifest"))
-    b = reviews.where("ord % 90 = 1").groupBy("law_id").agg(F.count("*").alias("report"))
+@query("select law_id, coalesce(m, 0) as manifest, coalesce(r, 0) as report, case when m is null then 'extra' when r is null then 'missing' when m > 1 or r > 1 then 'duplicated' else 'ok' end as state from (select law_id, count(*) as m from {enactments} group by 1) full join (select law_id, count(*) as r from {actions} where action_type = 'repeal' group by 1) using (law_id)")
+def jn13_law_set_compare(enactments, actions):
+    a = enactments.groupBy("law_id").agg(F.count("*").alias("manifest"))
+    b = actions.where("action_type = 'repeal'").groupBy("law_id").agg(F.count("*").alias("report"))
     state = F.when(F.col("manifest").isNull(), "extra").when(F.col("report").isNull(), "missing").when((F.col("manifest") > 1) | (F.col("report") > 1), "duplicated").otherwise("ok")
     return a.join(b, "law_id", "full_outer").withColumn("state", state).na.fill(0, ["manifest", "report"])
 
@@ -169,9 +169,9 @@ def jn15_implementation_details(actions, results):
     return joined.groupBy("law_id").agg(F.array_join(F.array_sort(F.collect_set("node_id")), ",").alias("nodes"), F.countDistinct("identifier").alias("placements"))
 
 
-@query("select law_id, ord, r.status is not null as validated from {reviews} v left join (select law_id, max(status) as status from {reviews} where status = 'valid' and ord % 50 = 0 group by law_id) r using (law_id)")
+@query("select law_id, ord, r.status is not null as validated from {reviews} v left join (select law_id, max(status) as status from {reviews} where status = 'valid' group by law_id) r using (law_id)")
 def jn18_candidate_validation(reviews):
-    valid = reviews.where("status = 'valid' and ord % 50 = 0").select("law_id").distinct().withColumn("v", F.lit(True))
+    valid = reviews.where("status = 'valid'").select("law_id").distinct().withColumn("v", F.lit(True))
     return reviews.join(valid, "law_id", "left").select("law_id", "ord", F.coalesce("v", F.lit(False)).alias("validated"))
 
 

@@ -170,10 +170,9 @@ def ex1_citations(enactments):
     return extract.citations(enactments, "doc_key", "text")
 
 
-@query(r"""select law_id, target, relation from (select law_id, 'PL-' || lpad(c, 3, '0') || '-' || lpad(n, 3, '0') as target, 'repeals' as relation from
- (select law_id, regexp_extract(text, 'Public Law (\d+)-(\d+)', 1) as c, regexp_extract(text, 'Public Law (\d+)-(\d+)', 2) as n from {enactments}) where c <> '') where law_id <> target group by all""")
-def ex2_references(enactments):
-    return extract.references(enactments, "law_id", "text")
+@query("""select distinct law_id, named as target, r.relation, r.confidence from {citings} join (values (0, 'repeals', 'high'), (1, 'amends', 'medium'), (2, 'supersedes', 'high'), (3, 'overrides', 'medium'), (4, 'repeals', 'high'), (5, 'references', 'low'), (6, 'references', 'low'), (7, 'repeals', 'high'), (8, 'supersedes', 'high')) as r(form, relation, confidence) using (form) where law_id <> named""")
+def ex2_dependencies(citings):
+    return extract.dependencies(citings, "law_id", "text").drop("context")
 
 
 _CHARACTER = " + ".join(f"least(20, cast((length(t) - length(replace(t, '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.PERMANENT)

@@ -72,10 +72,25 @@ def test_citations_with_and_without_offsets(spark):
 
 
 def test_dependencies(spark):
-    said = "Public Law 1-2 is hereby repealed. " + "x " * 200 + "As amended, Public Law 3-4 stands. " + "y " * 200 + "See Public Law 9-9 and Public Law 5-5."
-    df = spark.createDataFrame([("PL-009-009", said)], "law_id string, text string")
-    want = {("PL-001-002", "repeals"), ("PL-003-004", "amends"), ("PL-005-005", "references")}
-    assert {(r.target, r.relation) for r in extract.dependencies(df, "law_id", "text").collect()} == want
+    said = (
+        "Public Law 1-2 is hereby repealed. As amended, Public Law 3-4 stands. See Public Law 9-9 and Public Law 5-5. No provision of Public Law 2-2 shall be read to repeal another act. "
+        "This act supersedes Public Law 6-1, amends Public Law 6-2 and, notwithstanding any provision of Public Law 6-3, goes on repealing the provisions of Public Law 6-4. Public Law 6-5, and are hereby\n repealed. Public Law 6-2 is repealed."
+    )
+    df = spark.createDataFrame([("PL-009-009", said), ("PL-001-001", None), ("PL-001-003", "")], "law_id string, text string")
+    want = {
+        ("PL-001-002", "repeals", "high"), ("PL-003-004", "references", "low"), ("PL-005-005", "references", "low"), ("PL-002-002", "references", "low"), ("PL-006-001", "supersedes", "high"), ("PL-006-002", "amends", "medium"),
+        ("PL-006-003", "overrides", "medium"), ("PL-006-004", "repeals", "high"), ("PL-006-005", "repeals", "high"), ("PL-006-002", "repeals", "high"),
+    }
+    assert {(r.target, r.relation, r.confidence) for r in extract.dependencies(df, "law_id", "text").collect()} == want
+
+
+def test_a_part_named_after_the_citation_is_no_whole_repeal(spark):
+    from statuta.operators import edits
+
+    said = ["Section 10 of title 5, United States Code, subsection (b), is repealed.", "Section 10 of title 5, United States Code, is repealed, and subsection (b) stays.", "Section 10 of title 5, United States Code (c) is hereby repealed."]
+    docs = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    sections = spark.createDataFrame([(5, "10")], "title int, section string")
+    assert {(r.id, r.kind) for r in edits.operations(docs, "id", "text", sections).collect()} == {(0, "REPEAL_PART"), (1, "REPEAL_SECTION"), (2, "REPEAL_PART")}
 
 
 def test_blocks_and_edits(spark):
