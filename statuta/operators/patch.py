@@ -60,6 +60,55 @@ def insert(sections: DataFrame, new: DataFrame) -> DataFrame:
     return sections.unionByName(fresh.select(sections.columns))
 
 
+def apply_manifest(sections: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Applies the operations of many laws in law order, then in the order of their ids. sections: (identifier,
+    heading, body, notes). ops: (op_id, law_id, law_order, identifier, title, kind, old_text, new_text, marker,
+    confidence).
+
+    Gives the sections as they stand at the end, with new ones, and (op_id, law_id, identifier, kind, status) of each
+    operation. A section's operations are folded in its own row, so each sees what those before it left.
+    An operation without a title is skipped, a destructive one of less than high confidence is withheld, an
+    edit whose old text doesn't stand exactly once becomes a note, and a note whose marker is there is kept once.
+    """
+    fields = ["law_order", "op_id", "law_id", "title", "kind", "old_text", "new_text", "marker", "confidence"]
+    grouped = ops.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ops"))
+    joined = sections.select("identifier", "heading", "body", "notes", F.lit(True).alias("there")).join(grouped, "identifier", "full_outer")
+    zero = F.struct(
+        F.coalesce("there", F.lit(False)).alias("there"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("notes", F.lit("")).alias("notes"),
+        F.array().cast("array<string>").alias("status"),
+    )
+
+    def step(s: Column, op: Column) -> Column:
+        kind = op["kind"]
+        note = F.concat(F.lit("["), op["marker"], F.lit("] "), op["new_text"], F.lit("\n"))
+        noted = F.instr(s["notes"], F.concat(F.lit("["), op["marker"], F.lit("]"))) > 0
+        once = T.count_text(s["body"], op["old_text"]) == 1
+        status = (
+            F.when(op["title"].isNull(), "skipped-no-title").when(withheld(kind, op["confidence"]) != "planned", withheld(kind, op["confidence"]))
+            .when(kind == "ADD_NEW_SECTION", F.when(s["there"], "already-present").otherwise("executed"))
+            .when(~kind.isin("STRIKE_INSERT", "REPEAL_SECTION", "REPLACE_SECTION", "APPEND_TEXT", "STATUTORY_NOTE"), "unsupported")
+            .when(~s["there"], "target-not-found")
+            .when(kind == "STRIKE_INSERT", F.when(once, "executed").when(noted, "fallback-note:already-present").otherwise("fallback-note:executed"))
+            .when(kind == "REPEAL_SECTION", F.when(s["heading"] == "Repealed", "already-present").otherwise("executed"))
+            .when(kind.isin("APPEND_TEXT", "STATUTORY_NOTE") & noted, "already-present").otherwise("executed")
+        )
+        done = F.struct(status.alias("status"))["status"]
+        runs = done == "executed"
+        texts = runs & kind.isin("REPLACE_SECTION", "ADD_NEW_SECTION")
+        body = F.when(runs & (kind == "STRIKE_INSERT"), F.replace(s["body"], op["old_text"], op["new_text"])).when(runs & (kind == "REPEAL_SECTION"), "").when(texts, op["new_text"]).otherwise(s["body"])
+        heading = F.when(runs & (kind == "REPEAL_SECTION"), "Repealed").when(texts, F.left(op["new_text"], F.lit(20))).otherwise(s["heading"])
+        repealed = F.concat(F.lit("[repeal] Repealed by "), op["law_id"], F.lit("\n"))
+        notes = F.concat(s["notes"], F.when(runs & (kind == "REPEAL_SECTION"), repealed).when((runs & kind.isin("APPEND_TEXT", "STATUTORY_NOTE")) | (done == "fallback-note:executed"), note).otherwise(""))
+        return F.struct(
+            (s["there"] | (runs & (kind == "ADD_NEW_SECTION"))).alias("there"), heading.alias("heading"), body.alias("body"), notes.alias("notes"), F.concat(s["status"], F.array(done)).alias("status"),
+        )
+
+    folded = joined.withColumn("s", F.aggregate(F.coalesce("ops", F.array().cast(grouped.schema["ops"].dataType)), zero, step))
+    after = folded.where("s.there").select("identifier", "s.heading", "s.body", "s.notes")
+    told = folded.where("ops is not null").select("identifier", F.explode(F.arrays_zip("ops", F.col("s.status").alias("status"))).alias("x"))
+    return after, told.select("x.ops.op_id", "x.ops.law_id", "identifier", "x.ops.kind", "x.status")
+
+
 def withheld(kind: Column, confidence: Column) -> Column:
     """Destructive operations of less than high confidence are preserved by a note instead."""
     return F.when(kind.isin("STRIKE_INSERT", "REPEAL_SECTION", "REPLACE_SECTION", "ADD_NEW_SECTION") & (confidence != "high"), "withheld-preserved-by-note").otherwise("planned")

@@ -95,6 +95,16 @@ select p_partkey as provision_id,
        case p_size % 5 when 0 then 'new-permanent-general' when 1 then 'short-title' when 2 then 'effective-date' when 3 then 'findings-or-sense' else 'temporary' end as class,
        concat(case p_size % 3 when 0 then 'Definitions of a ' when 1 then 'The purpose of a ' else 'Rules on a ' end, lower(p_type)) as summary
 from {part}""",
+    "operations": """
+select distinct concat('O', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as op_id,
+       concat('PL-', lpad(cast(1 + l_suppkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_orderkey % 999 as varchar(20)), 3, '0')) as law_id, (1 + l_suppkey % 50) * 10000 + 1 + l_orderkey % 999 as law_order,
+       concat('/us/usc/t', cast(p_size as varchar(20)), '/s', cast(p_partkey as varchar(20)), case when (l_orderkey + l_linenumber) % 8 = 4 or l_orderkey % 5 = 0 then '/n' else '' end) as identifier,
+       case when l_orderkey % 13 = 0 then null else p_size end as title,
+       case (l_orderkey + l_linenumber) % 8 when 0 then 'STRIKE_INSERT' when 1 then 'APPEND_TEXT' when 2 then 'REPEAL_SECTION' when 3 then 'REPLACE_SECTION' when 4 then 'ADD_NEW_SECTION' when 5 then 'STATUTORY_NOTE' when 6 then 'STRIKE_INSERT' else 'MOVE' end as kind,
+       case when l_linenumber % 2 = 0 then 'kept' else lower(p_type) end as old_text,
+       concat('A list of ', lower(p_type), ' shall be kept by ', cast(l_suppkey as varchar(20))) as new_text, concat('M', cast(l_suppkey % 5 as varchar(20))) as marker,
+       case when l_suppkey % 3 = 0 then 'medium' else 'high' end as confidence
+from {lineitem} join {part} on p_partkey = l_partkey""",
     "nodes": """
 select file, node_id, law_id, min(part) as part, max(identifier) as identifier, max(tag) as tag, max(said) as text, max(num) as num
 from (select concat('usc', lpad(cast(l_suppkey % 54 as varchar(20)), 2, '0'), '.xml') as file, l_partkey as part,
@@ -142,4 +152,6 @@ def oracle(sql: str) -> str:
         return plain(sql)
     ctes = ", ".join(f"{n} as ({plain(FIXTURES[n])})" for n in used)
     body = plain(sql).strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
     return f"with {ctes}, {body[5:]}" if body.lower().startswith("with ") else f"with {ctes} {body}"

@@ -353,6 +353,45 @@ def pl14_insert_section(sections):
     return patch.insert(sections, new).agg(F.count("*").alias("n"))
 
 
+_MANIFEST = """with recursive o as (select *, row_number() over (partition by identifier order by law_order, op_id) as k from {operations}),
+ st as (select coalesce(s.identifier, t.identifier) as identifier, 0 as k, s.identifier is not null as there, coalesce(s.heading, '') as heading, coalesce(s.body, '') as body, '' as notes, '' as op_id, '' as law_id, '' as kind, '' as status
+   from {sections} s full join (select distinct identifier from o) t on s.identifier = t.identifier
+  union all select identifier, k, there or (kind = 'ADD_NEW_SECTION' and status = 'executed'),
+   case when status <> 'executed' then heading when kind = 'REPEAL_SECTION' then 'Repealed' when kind in ('REPLACE_SECTION', 'ADD_NEW_SECTION') then left(new_text, 20) else heading end,
+   case when status <> 'executed' then body when kind = 'STRIKE_INSERT' then replace(body, old_text, new_text) when kind = 'REPEAL_SECTION' then '' when kind in ('REPLACE_SECTION', 'ADD_NEW_SECTION') then new_text else body end,
+   notes || case when status = 'executed' and kind = 'REPEAL_SECTION' then '[repeal] Repealed by ' || law_id || chr(10)
+     when status = 'fallback-note:executed' or (status = 'executed' and kind in ('APPEND_TEXT', 'STATUTORY_NOTE')) then '[' || marker || '] ' || new_text || chr(10) else '' end,
+   op_id, law_id, kind, status
+  from (select st.identifier, o.k, st.there, st.heading, st.body, st.notes, o.op_id, o.law_id, o.kind, o.old_text, o.new_text, o.marker,
+   case when o.title is null then 'skipped-no-title' when o.kind in ('STRIKE_INSERT', 'REPEAL_SECTION', 'REPLACE_SECTION', 'ADD_NEW_SECTION') and o.confidence <> 'high' then 'withheld-preserved-by-note'
+    when o.kind = 'ADD_NEW_SECTION' then case when st.there then 'already-present' else 'executed' end when o.kind = 'MOVE' then 'unsupported' when not st.there then 'target-not-found'
+    when o.kind = 'STRIKE_INSERT' then case when (length(st.body) - length(replace(st.body, o.old_text, ''))) = length(o.old_text) then 'executed' when contains(st.notes, '[' || o.marker || ']') then 'fallback-note:already-present' else 'fallback-note:executed' end
+    when o.kind = 'REPEAL_SECTION' then case when st.heading = 'Repealed' then 'already-present' else 'executed' end
+    when o.kind in ('APPEND_TEXT', 'STATUTORY_NOTE') and contains(st.notes, '[' || o.marker || ']') then 'already-present' else 'executed' end as status
+   from st join o on o.identifier = st.identifier and o.k = st.k + 1))"""
+
+
+def _noteless(sections):
+    return sections.select("identifier", "heading", "body", F.lit("").alias("notes"))
+
+
+@query(f"{_MANIFEST} select identifier, heading, body, notes from st where there qualify row_number() over (partition by identifier order by k desc) = 1")
+def pl16_sections_after_manifest(sections, operations):
+    return patch.apply_manifest(_noteless(sections), operations)[0]
+
+
+@query(f"{_MANIFEST} select op_id, law_id, identifier, kind, status from st where k > 0")
+def pl16_operation_statuses(sections, operations):
+    return patch.apply_manifest(_noteless(sections), operations)[1]
+
+
+@query(f"{_MANIFEST} select law_id, bool_or(done) as applied, count(*) as n_operations, count(*) filter (where done) as n_done, coalesce(string_agg(distinct identifier, ',' order by identifier) filter (where done), '') as changed from (select *, status = 'executed' or status = 'fallback-note:executed' as done from st where k > 0) group by law_id")
+def pl16_manifest_by_law(sections, operations):
+    told = patch.apply_manifest(_noteless(sections), operations)[1].withColumn("done", F.col("status").isin("executed", "fallback-note:executed"))
+    changed = F.array_join(F.array_sort(F.collect_set(F.when(F.col("done"), F.col("identifier")))), ",")
+    return told.groupBy("law_id").agg(F.bool_or("done").alias("applied"), F.count("*").alias("n_operations"), F.count_if("done").alias("n_done"), changed.alias("changed"))
+
+
 @query("""select disposition, count(*) as n from (select case when right(law_id, 2) = '03' then 'ALREADY_INCORPORATED' when right(law_id, 1) = '7' then 'NONOPERATIVE'
  when contains(lower(text), 'appropriated, out of') and not direct and not (rider >= 2) then 'NON_CODE' when direct and (seq % 3 = 2) then 'HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE' when direct then 'DIRECT_CODE_AMENDMENT' when temporary >= greatest(8, permanent + 5) then 'NON_CODE' else 'STATUTORY_NOTE' end as disposition
  from (select *, """ + " + ".join(f"cast(contains(lower(text), '{p}') as int)" for p in rules.RIDER) + " as rider, seq % 3 <> 0 as direct, " + " + ".join(f"least(20, cast((length(text) - length(replace(lower(text), '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.PERMANENT) + " as permanent, " + " + ".join(f"least(20, cast((length(text) - length(replace(lower(text), '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.TEMPORARY) + " as temporary from {enactments})) group by disposition")
