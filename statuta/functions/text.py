@@ -212,6 +212,12 @@ def excerpt(c: Column, limit: int = 420) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit - 3))), F.lit("...")))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value is computed once however often `use` refers to it: Catalyst writes a plain
+    column out at every place instead."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def count_text(c: Column, phrase: Column) -> Column:
     """How often phrase occurs, without overlaps."""
     return ((F.length(c) - F.length(F.replace(c, phrase, F.lit("")))) / F.length(phrase)).cast("int")

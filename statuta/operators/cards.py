@@ -11,7 +11,7 @@ from . import rules
 
 def identified(cards: DataFrame) -> DataFrame:
     """Adds law_id, congress, number, title and status to cards (name, description, list_name, label)."""
-    law = T.extract_law_number(F.col("name"), F.col("description"))
+    law = T.bound(F.struct("name", "description"), lambda c: T.extract_law_number(c["name"], c["description"]))
     out = cards.withColumn("_law", law)
     return out.select(
         *cards.columns, "_law.law_id", "_law.congress", "_law.number", T.title_from_card_name(F.col("name")).alias("title"),

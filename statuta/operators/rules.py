@@ -83,24 +83,28 @@ def subject_scores(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str
 
 def character_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds permanent_score, temporary_score and non_code_score."""
-    low = F.lower(text_col)
     every = [p for _, phrases in NON_CODE for p in phrases]
-    return docs.withColumns({"permanent_score": weighted(low, PERMANENT), "temporary_score": weighted(low, TEMPORARY), "non_code_score": present(low, every) * 5})
+    scores = T.bound(F.lower(text_col), lambda low: F.struct(weighted(low, PERMANENT).alias("permanent"), weighted(low, TEMPORARY).alias("temporary"), (present(low, every) * 5).alias("non_code")))
+    scored = docs.withColumn("_scores", scores)
+    return scored.select(*docs.columns, *[F.col(f"_scores.{x}").alias(f"{x}_score") for x in ("permanent", "temporary", "non_code")])
 
 
 def non_code_category(text_col: str = "text") -> Column:
     """The first category any of whose phrases occurs; an appropriation also needs money or a fiscal year."""
-    low = F.lower(text_col)
-    money = F.col(text_col).rlike(r"\$\s*\d") | low.contains("fiscal year") | low.contains("appropriated, out of")
-    out = F.lit("")
-    for category, phrases in reversed(NON_CODE):
-        hit = present(low, phrases) > 0
-        out = F.when(hit & money if category == "appropriation" else hit, category).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        money = low.rlike(r"\$\s*\d") | low.contains("fiscal year") | low.contains("appropriated, out of")
+        out = F.lit("")
+        for category, phrases in reversed(NON_CODE):
+            hit = reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
+            out = F.when(hit & money if category == "appropriation" else hit, category).otherwise(out)
+        return out
+
+    return T.bound(F.lower(text_col), first)
 
 
 def permanent_rider(text_col: str = "text") -> Column:
-    return present(F.lower(text_col), RIDER) >= 2
+    return T.bound(F.lower(text_col), lambda low: present(low, RIDER) >= 2)
 
 
 def needs_supplement(text: Column, operations: Column, represented: Column) -> Column:
@@ -116,13 +120,17 @@ def status(list_name: Column, labels: Column, name: Column, description: Column)
     metadata = F.lower(F.concat_ws(" | ", list_name, labels))
     head = F.lower(F.array_join(F.slice(F.split(description, "\n"), 1, 8), "\n"))
     marked = F.lower(name)
-    branches = [(metadata.contains(t), s) for t, s in NEGATIVE_STATUS]
-    branches += [(marked.rlike(rf"(?:^|[\[(|:—-]\s*)(?:status\s*[:=-]\s*)?{t}(?:\s*[\])|:—-]|$)"), s) for t, s in NEGATIVE_STATUS]
-    branches += [(head.rlike(rf"(^|[^a-z0-9_])status\s*[:=-]\s*{t}($|[^a-z0-9_])"), s) for t, s in NEGATIVE_STATUS]
-    out = F.lit("active")
-    for condition, s in reversed(branches):
-        out = F.when(condition, s).otherwise(out)
-    return out
+
+    def first(c: Column) -> Column:
+        branches = [(c["metadata"].contains(t), s) for t, s in NEGATIVE_STATUS]
+        branches += [(c["marked"].rlike(rf"(?:^|[\[(|:—-]\s*)(?:status\s*[:=-]\s*)?{t}(?:\s*[\])|:—-]|$)"), s) for t, s in NEGATIVE_STATUS]
+        branches += [(c["head"].rlike(rf"(^|[^a-z0-9_])status\s*[:=-]\s*{t}($|[^a-z0-9_])"), s) for t, s in NEGATIVE_STATUS]
+        out = F.lit("active")
+        for condition, s in reversed(branches):
+            out = F.when(condition, s).otherwise(out)
+        return out
+
+    return T.bound(F.struct(metadata.alias("metadata"), marked.alias("marked"), head.alias("head")), first)
 
 
 def status_rank(c: Column) -> Column:

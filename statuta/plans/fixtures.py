@@ -104,6 +104,23 @@ select distinct concat('O', cast(l_orderkey as varchar(20)), '.', cast(l_linenum
        case when l_linenumber % 2 = 0 then 'kept' else lower(p_type) end as old_text,
        concat('A list of ', lower(p_type), ' shall be kept by ', cast(l_suppkey as varchar(20))) as new_text, concat('M', cast(l_suppkey % 5 as varchar(20))) as marker,
        case when l_suppkey % 3 = 0 then 'medium' else 'high' end as confidence
+from {lineitem} join {part} on p_partkey = l_partkey""",
+    "acts": """
+select distinct concat('B', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as law_id,
+  (l_orderkey + l_linenumber) % 9 as form, l_partkey % 4 as variant, p_size as title, cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)) as section,
+  case when l_suppkey % 11 = 0 then 'repealed' when l_suppkey % 11 = 1 then 'pending' else 'active' end as status, l_orderkey % 10 = 3 as incorporated,
+  case when (l_orderkey + l_linenumber) % 9 = 8 and l_partkey % 4 = 0 then '' else concat('An Act on every ', lower(p_type), '. ',
+    case (l_orderkey + l_linenumber) % 9
+      when 0 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is hereby repealed.')
+      when 1 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by adding at the end the following: "(z) A list shall be kept.".')
+      when 2 then 'There is established an office. The office shall report.'
+      when 3 then 'There is appropriated, out of the Treasury, a sum for fiscal year 2026.'
+      when 4 then 'A commemorative coin shall be struck.'
+      when 5 then 'An act for the relief of a maker.'
+      when 6 then 'This temporary act shall expire in one year, and the temporary office shall terminate within 90 days of the expiration of this temporary act.'
+      when 7 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is hereby repealed. There is appropriated, out of the Treasury, a sum for fiscal year 2026.')
+      else 'There is appropriated, out of the Treasury, a sum for fiscal year 2026. There is established an office, and no person may not report.' end,
+    case l_partkey % 4 when 1 then ' The agency shall issue regulations.' else '' end) end as text
 from {lineitem} join {part} on p_partkey = l_partkey""",
     "nodes": """
 select file, node_id, law_id, min(part) as part, max(identifier) as identifier, max(tag) as tag, max(said) as text, max(num) as num

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cards as C
+from ..operators import cards as C, classify
 from ..operators import checks, extract, ledger, match, patch, publish, rules
 from .base import query
 from .text_queries import _LAW_ID
@@ -392,17 +392,19 @@ def pl16_manifest_by_law(sections, operations):
     return told.groupBy("law_id").agg(F.bool_or("done").alias("applied"), F.count("*").alias("n_operations"), F.count_if("done").alias("n_done"), changed.alias("changed"))
 
 
-@query("""select disposition, count(*) as n from (select case when right(law_id, 2) = '03' then 'ALREADY_INCORPORATED' when right(law_id, 1) = '7' then 'NONOPERATIVE'
- when contains(lower(text), 'appropriated, out of') and not direct and not (rider >= 2) then 'NON_CODE' when direct and (seq % 3 = 2) then 'HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE' when direct then 'DIRECT_CODE_AMENDMENT' when temporary >= greatest(8, permanent + 5) then 'NON_CODE' else 'STATUTORY_NOTE' end as disposition
- from (select *, """ + " + ".join(f"cast(contains(lower(text), '{p}') as int)" for p in rules.RIDER) + " as rider, seq % 3 <> 0 as direct, " + " + ".join(f"least(20, cast((length(text) - length(replace(lower(text), '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.PERMANENT) + " as permanent, " + " + ".join(f"least(20, cast((length(text) - length(replace(lower(text), '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.TEMPORARY) + " as temporary from {enactments})) group by disposition")
-def pl1_classify_laws(enactments):
-    scored = rules.character_scores(enactments)
-    direct = F.col("seq") % 3 != 0
-    d = patch.disposition({
-        "incorporated": F.right("law_id", F.lit(2)) == "03", "active": F.right("law_id", F.lit(1)) != "7", "has_source": F.col("text") != "", "category": rules.non_code_category(), "direct": direct,
-        "rider": rules.permanent_rider(), "temporary": F.col("temporary_score"), "permanent": F.col("permanent_score"), "supplement": F.col("seq") % 3 == 2, "unresolved": F.lit(False),
-    })
-    return scored.select(d.alias("disposition")).groupBy("disposition").agg(F.count("*").alias("n"))
+_SCORED = {name: " + ".join(f"least(20, cast((length(t) - length(replace(t, '{p}', ''))) / {len(p)} as int) * {w})" for p, w in phrases) for name, phrases in (("permanent", rules.PERMANENT), ("temporary", rules.TEMPORARY))}
+_RIDER = " + ".join(f"cast(contains(t, '{p}') as int)" for p in rules.RIDER)
+
+
+# The oracle knows by `form` what each act orders.
+@query(f"""select law_id, d as disposition, case when d = 'NONOPERATIVE' and status <> 'repealed' then 'medium' when d = 'NON_CODE' and (form in (4, 6)) then 'medium' when d = 'STATUTORY_NOTE' and permanent < temporary then 'medium' else 'high' end as confidence,
+ case when form in (0, 1, 7) then 1 else 0 end as n_direct, case when form in (0, 7) and there then 1 else 0 end as n_safe, case when form in (0, 7) and not there then 1 else 0 end as n_unresolved from (
+ select *, case when incorporated then 'ALREADY_INCORPORATED' when status <> 'active' then 'NONOPERATIVE' when text = '' then 'SOURCE_UNAVAILABLE' when form in (3, 4, 5) then 'NON_CODE' when form = 8 and not (rider >= 2) then 'NON_CODE'
+  when form in (0, 7) and there and variant <> 1 then 'DIRECT_CODE_AMENDMENT' when form in (0, 1, 7) then 'HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE' when temporary >= greatest(8, permanent + 5) then 'NON_CODE' else 'STATUTORY_NOTE' end as d
+ from (select a.*, e.section is not null as there, {_SCORED['permanent']} as permanent, {_SCORED['temporary']} as temporary, {_RIDER} as rider from (select *, lower(text) as t from {{acts}}) a left join (select distinct title, section from {{sections}}) e using (title, section)))""")
+def pl1_classify_laws(acts, sections):
+    chapters = sections.select("title", (F.col("section").cast("long") % 10).cast("string").alias("chapter")).distinct()
+    return classify.classify(acts.select("law_id", "text", "status", "incorporated"), sections, chapters)
 
 
 @query("select rule, cast(broken as bigint) as broken, broken = 0 as passed from (select unnest(['has evidence', 'known type', 'valid target']) as rule, unnest([sum(case when evidence <> '' then 0 else 1 end), sum(case when action_type in ('amendment', 'statutory_note', 'repeal') then 0 else 1 end), sum(case when starts_with(identifier, '/us/usc/t') then 0 else 1 end)]) as broken from {actions})")
