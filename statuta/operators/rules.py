@@ -123,8 +123,8 @@ def status(list_name: Column, labels: Column, name: Column, description: Column)
 
     def first(c: Column) -> Column:
         branches = [(c["metadata"].contains(t), s) for t, s in NEGATIVE_STATUS]
-        branches += [(c["marked"].rlike(rf"(?:^|[\[(|:—-]\s*)(?:status\s*[:=-]\s*)?{t}(?:\s*[\])|:—-]|$)"), s) for t, s in NEGATIVE_STATUS]
-        branches += [(c["head"].rlike(rf"(^|[^a-z0-9_])status\s*[:=-]\s*{t}($|[^a-z0-9_])"), s) for t, s in NEGATIVE_STATUS]
+        branches += [(c["marked"].contains(t) & c["marked"].rlike(rf"(?:^|[\[(|:—-]\s*)(?:status\s*[:=-]\s*)?{t}(?:\s*[\])|:—-]|$)"), s) for t, s in NEGATIVE_STATUS]
+        branches += [(c["head"].contains(t) & c["head"].rlike(rf"(^|[^a-z0-9_])status\s*[:=-]\s*{t}($|[^a-z0-9_])"), s) for t, s in NEGATIVE_STATUS]
         out = F.lit("active")
         for condition, s in reversed(branches):
             out = F.when(condition, s).otherwise(out)
