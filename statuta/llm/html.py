@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, table, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe"))
@@ -213,9 +213,10 @@ def templates(pages: DataFrame, reach: float = 0.2) -> DataFrame:
     the given share of the host's pages (of all with text, for menus), a class of blocks if they stand on
     every page with text; a page bounds how many do."""
     tokens = pages.mapInArrow(_occurrences, TOKENS)
-    summed = tokens.groupBy("host", "kind", "path").agg(
+    summed = written(tokens.groupBy("host", "kind", "path").agg(
+        # Written, since two aggregations read it and pages are read only once for both.
         F.sum("vector").alias("vector"), F.count("*").alias("on_pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("role").alias("role"), F.max("role").alias("role_high")
-    )
+    ))
     is_page = F.col("kind") == PAGE
     sizes = summed.groupBy("host").agg(
         F.max(F.when(F.col("kind") == PATH, F.col("on_pages"))).alias("host_pages"), F.sum(F.when(is_page, F.col("on_pages"))).alias("with_text"), F.count_if(is_page).alias("different")
