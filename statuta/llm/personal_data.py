@@ -67,13 +67,22 @@ def emails(data: np.ndarray) -> list[tuple[int, int]]:
         return []
     local_start, local_end = _runs(LOCAL[data])
     label_start, label_end = _runs(LABEL[data])
-    starts, ends = dict(zip(local_end.tolist(), local_start.tolist(), strict=True)), dict(zip(label_start.tolist(), label_end.tolist(), strict=True))
+
+    def label(p: int) -> int:
+        """The end of the label that begins at p, or 0."""
+        i = int(np.searchsorted(label_start, p))
+        return int(label_end[i]) if i < len(label_start) and label_start[i] == p else 0
+
     out, done = [], 0
-    for p in at.tolist():
-        start, end, labels = max(starts.get(p, p), done), ends.get(p + 1), 1
-        while start < p and end and data[end] == 46 and end + 1 in ends:
-            end, labels = ends[end + 1], labels + 1
-        if start < p and end and labels > 1:
+    run = np.minimum(np.searchsorted(local_end, at), max(len(local_end) - 1, 0))
+    starts = np.where(local_end[run] == at, local_start[run], at) if len(local_end) else at
+    for p, start in zip(at.tolist(), starts.tolist(), strict=True):
+        start, end, labels = max(start, done), 0, 0
+        while start < p and (after := label((end or p) + 1)):
+            end, labels = after, labels + 1
+            if data[end] != 46:
+                break
+        if labels > 1:
             out.append((start, end))
             done = end
     return out
@@ -188,23 +197,29 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not any(s.spans):
             continue
         free = np.flatnonzero(s.free())
-        starts, ends, row, hashes = s.starts[free], s.ends[free], s.row[free], s.hashes[free]
-        seen: dict[tuple[int, int, int], list] = {}
-        counts: dict[tuple[int, int, int], int] = {}
+        starts, ends, row = s.starts[free], s.ends[free], s.row[free]
+        around = []  # kind, mention, row, and the terms before and after it
         for kind, found in enumerate(s.spans):
             for a, b in found:
-                r, e = int(np.searchsorted(s.at, a, "right") - 1), int(_entity(kind, s.data[a:b].tobytes()))
+                r = int(np.searchsorted(s.at, a, "right") - 1)
                 left, right = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
                 low, high = max(left - REACH, int(np.searchsorted(row, r))), min(right + REACH, int(np.searchsorted(row, r, "right")))
-                near = np.concatenate((hashes[low:left], hashes[right:high]))
-                context = int(np.bitwise_xor.reduce(mix(near.view(np.uint64) + np.arange(len(near), dtype=np.uint64))).view(np.int64)) if len(near) else 0
-                if (r, e, _SELF) not in seen:
-                    seen[r, e, _SELF] = True
-                    counts[e, _SELF, 0] = counts.get((e, _SELF, 0), 0) + 1
-                for t in dict.fromkeys(near.tolist()):
-                    new = (r, e, t) not in seen  # the first context in a document counts it
-                    seen[r, e, t] = True
-                    counts[e, t, context] = counts.get((e, t, context), 0) + new
+                around.append((kind, a, b, r, np.concatenate((np.arange(low, left), np.arange(right, high)))))
+        near_some = np.unique(np.concatenate([x[4] for x in around]))
+        hashes = np.zeros(len(starts), np.int64)
+        hashes[near_some] = hash_spans(s.low, starts[near_some], ends[near_some]).view(np.int64)
+        seen: dict[tuple[int, int, int], list] = {}
+        counts: dict[tuple[int, int, int], int] = {}
+        for kind, a, b, r, which in around:
+            e, near = int(_entity(kind, s.data[a:b].tobytes())), hashes[which]
+            context = int(np.bitwise_xor.reduce(mix(near.view(np.uint64) + np.arange(len(near), dtype=np.uint64))).view(np.int64)) if len(near) else 0
+            if (r, e, _SELF) not in seen:
+                seen[r, e, _SELF] = True
+                counts[e, _SELF, 0] = counts.get((e, _SELF, 0), 0) + 1
+            for t in dict.fromkeys(near.tolist()):
+                new = (r, e, t) not in seen  # the first context in a document counts it
+                seen[r, e, t] = True
+                counts[e, t, context] = counts.get((e, t, context), 0) + new
         keys = np.array(list(counts), np.int64).reshape(-1, 3)
         yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(keys[:, 2]), pa.array(list(counts.values()), pa.int64())], names=[x.split()[0] for x in MENTIONS.split(", ")])
 
