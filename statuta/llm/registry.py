@@ -15,6 +15,7 @@ _QUERIES = {
     "op9_substrings": "substrings",
     "op8_token_output": "token_output",
     "op10_packing": "packing",
+    "op11_collocations": "collocations",
     "op12_personal_data": "personal_data",
     "op13_centroids": "centroids",
 }
