@@ -29,7 +29,7 @@ RESIDUAL = [
 NON_CODE = [
     ("constitutional", ["constitutional amendment", "amendment to the constitution", "proposal to amend the constitution"]),
     ("appropriation", ["appropriation for fiscal year", "supplemental appropriation", "continuing resolution", "shall remain available until expended", "appropriates $", "appropriated, out of"]),
-    ("commemorative", ["congressional gold medal", "commemorative coin", "commemorative", "honorary designation", "posthumous award", "commendation"]),
+    ("commemorative", ["congressional gold medal", "commemorative coin", "commemorative", "honorary designation", "posthumous award", "commendation", "national day of", "national week of", "national month of"]),
     ("appointment", ["confirmation of", "nomination of", "resolution confirming", "consent to the appointment of"]),
     ("treaty", ["ratification of the treaty", "resolution of ratification", "consent to ratification"]),
     ("private", ["for the relief of", "private law", "individual relief"]),
@@ -65,22 +65,6 @@ def points(text: Column, terms: list[tuple[str, int]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(text.contains(t), w).otherwise(0) for t, w in terms])
 
 
-def subject_scores(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str, top: int = 8, chars: int = 16_000) -> DataFrame:
-    """(id, subject, score, rank) of the best subjects of each document. rules: (subject, keyword). A rule
-    table has a few hundred rows; it goes into the plan as literals, so documents meet it in one
-    projection and nothing is joined."""
-    rows = [(r.subject, r.keyword.lower()) for r in rules.select("subject", "keyword").limit(10_000).collect()]
-    low = F.lower(F.left(text_col, F.lit(chars)))
-    by_subject: dict[str, list[Column]] = {}
-    for subject, keyword in rows:
-        by_subject.setdefault(subject, []).append(F.least(F.lit(12), T.count_text(F.col("_low"), F.lit(keyword)) * (5 if " " in keyword else 3)))
-    scores = F.array(*[F.struct(reduce(lambda a, b: a + b, cols).alias("score"), F.lit(s).alias("subject")) for s, cols in by_subject.items()])
-    hit = docs.select(id_col, low.alias("_low")).select(id_col, F.filter(scores, lambda s: s["score"] > 0).alias("_s"))
-    best = F.slice(F.array_sort(F.transform("_s", lambda s: F.struct((-s["score"]).alias("minus"), s["subject"].alias("subject")))), 1, top)
-    out = hit.select(id_col, F.posexplode(best).alias("rank", "s"))
-    return out.select(id_col, F.col("s.subject").alias("subject"), (-F.col("s.minus")).alias("score"), (F.col("rank") + 1).alias("rank"))
-
-
 def character_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds permanent_score, temporary_score and non_code_score."""
     every = [p for _, phrases in NON_CODE for p in phrases]

@@ -122,6 +122,18 @@ select distinct concat('B', cast(l_orderkey as varchar(20)), '.', cast(l_linenum
       else 'There is appropriated, out of the Treasury, a sum for fiscal year 2026. There is established an office, and no person may not report.' end,
     case l_partkey % 4 when 1 then ' The agency shall issue regulations.' else '' end) end as text
 from {lineitem} join {part} on p_partkey = l_partkey""",
+    "tempered": """
+select p_partkey as law_id, concat('An Act on every ', lower(p_type), '. ',
+  case p_partkey % 20 when 0 then 'A constitutional amendment is proposed.' when 1 then 'A supplemental appropriation of $ 500 is made.' when 2 then 'A supplemental appropriation is made.' when 3 then 'The sum is appropriated, out of the Treasury.'
+    when 4 then 'A commemorative coin and a Congressional Gold Medal.' when 5 then 'The confirmation of a judge.' when 6 then 'Consent to ratification is given.' when 7 then 'An act for the relief of a maker, a private law.'
+    when 8 then 'The Rules of the House are set.' when 9 then 'A single payment is made.' when 10 then 'A continuing resolution for fiscal year 2026, which shall remain available until expended.'
+    when 11 then 'A continuing resolution and a commendation.' when 12 then 'A nomination of a judge for the relief of a maker.' else 'An agency shall keep a list.' end) as text
+from {part}""",
+    "configs": """
+select p_partkey as config_id, case when p_partkey % 13 = 0 then 'not a configuration' else concat(chr(123), '"', lower(p_type), '": ', chr(123), '"titles": [', cast(p_size as varchar(20)), case when p_size % 2 = 0 then ', 54' else '' end, ']',
+       case when p_size % 3 = 0 then concat(', "defaults": ["', cast(p_partkey as varchar(20)), '"]') else '' end, case when p_size % 5 = 0 then ', "non_code": true' else '' end,
+       case when p_partkey % 7 = 0 then '' else concat(', "keywords": ["', p_name, '", "', p_brand, '"]') end, chr(125), ', "', lower(p_brand), '": ', chr(123), '"titles": [], "keywords": ["', p_name, '"]', chr(125), chr(125)) end as text
+from {part}""",
     "nodes": """
 select file, node_id, law_id, min(part) as part, max(identifier) as identifier, max(tag) as tag, max(said) as text, max(num) as num
 from (select concat('usc', lpad(cast(l_suppkey % 54 as varchar(20)), 2, '0'), '.xml') as file, l_partkey as part,

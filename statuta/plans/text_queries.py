@@ -175,30 +175,6 @@ def ex2_dependencies(citings):
     return extract.dependencies(citings, "law_id", "text").drop("context")
 
 
-_CHARACTER = " + ".join(f"least(20, cast((length(t) - length(replace(t, '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.PERMANENT)
-_TEMPORARY = " + ".join(f"least(20, cast((length(t) - length(replace(t, '{p}', ''))) / {len(p)} as int) * {w})" for p, w in rules.TEMPORARY)
-_NONCODE = " + ".join(f"cast(contains(t, '{p}') as int)" for _, ps in rules.NON_CODE for p in ps)
-
-
-@query(f"select doc_key, seq, count(*) as n, sum({_CHARACTER})::bigint as permanent, sum({_TEMPORARY})::bigint as temporary, sum(5 * ({_NONCODE}))::bigint as non_code from (select doc_key, seq, lower(text) as t from {{enactments}}) group by doc_key, seq")
-def ex4_character_scores(enactments):
-    scored = rules.character_scores(enactments)
-    return scored.groupBy("doc_key", "seq").agg(F.count("*").alias("n"), F.sum("permanent_score").alias("permanent"), F.sum("temporary_score").alias("temporary"), F.sum("non_code_score").alias("non_code"))
-
-
-@query("select category, count(*) as n from (select case when contains(lower(text), 'appropriated, out of') then 'appropriation' else '' end as category from {enactments}) group by category")
-def ex5_non_code_category(enactments):
-    return enactments.select(rules.non_code_category().alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-
-
-_RIDER = " + ".join(f"cast(contains(lower(text), '{p}') as int)" for p in rules.RIDER)
-
-
-@query(f"select ({_RIDER}) >= 2 as rider, count(*) as n from {{enactments}} group by 1")
-def ex6_permanent_rider(enactments):
-    return enactments.select(rules.permanent_rider().alias("rider")).groupBy("rider").agg(F.count("*").alias("n"))
-
-
 @query(r"""select distinct doc_key, regexp_extract(text, 'striking "(.*?)" and inserting "(.*?)"', 1) as old_text, regexp_extract(text, 'striking "(.*?)" and inserting "(.*?)"', 2) as new_text from {enactments} where regexp_matches(text, 'striking "(.*?)" and inserting')""")
 def ex9_strike_inserts(enactments):
     return extract.strike_inserts(enactments, "doc_key", "text")
@@ -223,11 +199,6 @@ def ex19_license_lines(documents):
     return extract.line_filter(documents, "doc_id", "text", "(?i)licen[sc]e", "(?i)under").select("doc_id", F.col("n").cast("long").alias("n"), "line")
 
 
-@query("select doc_id, (cast(contains(lower(text), ' the ') as int) + cast(contains(lower(text), 'license') as int) + cast(contains(lower(text), ' and ') as int)) >= 2 as enough from {documents}")
-def ex24_source_gates(documents):
-    return documents.select("doc_id", (rules.present(F.lower("text"), [" the ", "license", " and "]) >= 2).alias("enough"))
-
-
 @query("select doc_id, count(distinct w) < 20 as low_variety, min(debris) as debris from (select doc_id, unnest(string_split(text, ' ')) as w, regexp_matches(left(text, 1000), '(?i)sign in|access denied|<html') as debris from {documents}) group by doc_id")
 def ex25_debris(documents):
     return documents.select("doc_id", (F.size(F.array_distinct(F.split("text", " "))) < 20).alias("low_variety"), F.left("text", F.lit(1000)).rlike("(?i)sign in|access denied|<html").alias("debris"))
@@ -253,9 +224,3 @@ def ag6_encoding_audit(documents):
 @query("select doc_id, cast(instr(lower(text), ' the ') as bigint) as spot from {documents} where instr(lower(text), ' the ') > 0")
 def fl6_keyword_search(documents):
     return documents.select("doc_id", F.instr(F.lower("text"), F.lit(" the ")).cast("long").alias("spot")).where("spot > 0")
-
-
-@query("select doc_id, subject, score, rank from (select *, row_number() over (partition by doc_id order by score desc, subject) as rank from (select doc_id, subject, sum(least(12, cast((length(t) - length(replace(t, k, ''))) / length(k) as int) * (case when contains(k, ' ') then 5 else 3 end)))::int as score from (select doc_id, lower(left(text, 16000)) as t from {documents}), (values ('english', 'the'), ('english', 'of the'), ('spanish', 'ción'), ('german', 'heit'), ('french', 'eau'), ('licence', 'license')) r(subject, k) group by doc_id, subject) where score > 0)".replace("as rank from (select doc_id, subject", "::int as rank from (select doc_id, subject"))
-def ex3_subject_scores(documents):
-    pairs = [("english", "the"), ("english", "of the"), ("spanish", "ción"), ("german", "heit"), ("french", "eau"), ("licence", "license")]
-    return rules.subject_scores(documents, documents.sparkSession.createDataFrame(pairs, "subject string, keyword string"), "doc_id", "text")

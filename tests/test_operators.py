@@ -141,12 +141,6 @@ def test_six_dispositions(spark):
         assert spark.range(1).select(patch.disposition(columns).alias("d")).first()["d"] == want
 
 
-def test_subject_scores_cap_and_order(spark):
-    docs = spark.createDataFrame([(1, "bank " * 9 + "coast guard"), (2, "")], "id long, text string")
-    table = spark.createDataFrame([("banking", "bank"), ("sea", "coast guard"), ("other", "zzz")], "subject string, keyword string")
-    assert [tuple(r) for r in rules.subject_scores(docs, table, "id", "text").orderBy("rank").collect()] == [(1, "banking", 12, 1), (1, "sea", 5, 2)]
-
-
 def test_targets_and_operations(spark):
     from statuta.operators import edits
 
