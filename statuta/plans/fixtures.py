@@ -129,6 +129,41 @@ select p_partkey as law_id, concat('An Act on every ', lower(p_type), '. ',
     when 8 then 'The Rules of the House are set.' when 9 then 'A single payment is made.' when 10 then 'A continuing resolution for fiscal year 2026, which shall remain available until expended.'
     when 11 then 'A continuing resolution and a commendation.' when 12 then 'A nomination of a judge for the relief of a maker.' else 'An agency shall keep a list.' end) as text
 from {part}""",
+    "drafts": """
+select p_partkey as provision_id,
+       case p_partkey % 9 when 0 then 'short-title' when 1 then 'effective-date' when 5 then 'findings-or-sense,new-permanent-general' when 6 then '' when 7 then 'direct-amendment' when 8 then 'new-permanent-general,effective-date' else 'new-permanent-general' end as classes,
+       case p_size % 4 when 0 then 'effective-date' when 1 then 'new-permanent-general' when 2 then 'short-title,effective-date' else '' end as source_classes,
+       case p_partkey % 5 when 0 then 'Definitions of an item' when 1 then 'The PURPOSE of an item' when 2 then '' else p_name end as summary, case when p_partkey % 2 = 0 then 'A definition' else 'A rule' end as source_summary,
+       case when p_partkey % 4 = 0 then '' else 'own-treatment' end as treatment, case when p_partkey % 7 < 3 then concat('s', cast(p_partkey as varchar(20))) else '' end as target, case when p_partkey % 11 < 4 then p_brand else '' end as source_target,
+       case when p_partkey % 6 = 0 then concat('change to ', p_name) else '' end as exact_change, case when p_partkey % 13 = 1 then 'source change' else '' end as source_change,
+       case p_size % 6 when 0 then 'Repealed' when 1 then 'fully-repealed' when 2 then 'historical-note-only' else 'active' end as law_status,
+       case p_size % 11 when 0 then 'operative-text-required' when 1 then 'Amend-existing-text' when 2 then 'new-section' when 3 then 'new-subsection' when 4 then 'repeal-marking' when 5 then 'transfer' when 6 then 'redesignation' when 7 then 'substitution' when 8 then '' else 'note-only' end as law_treatment,
+       case when p_partkey % 3 = 0 then 'title 28' else '' end as law_target, case when p_partkey % 8 = 3 then 'by command' else '' end as law_command, case when p_partkey % 10 = 4 then 'by review' else '' end as law_change
+from {part}""",
+    "report_laws": """
+select 1 + o_custkey % 40 as idx, o_orderkey as ord, case when o_orderkey % 97 = 5 then '' else concat('PL-', lpad(cast(1 + o_orderkey % 300 as varchar(20)), 3, '0'), '-', lpad(cast(1 + o_custkey % 40 as varchar(20)), 3, '0')) end as law_id,
+       not (o_orderkey % 401 = 7) as is_object,
+       case when o_custkey % 4 = 1 then 'active' when o_orderkey % 37 = 0 then '' when o_orderkey % 37 = 1 then 'N-A' when o_orderkey % 37 = 2 then 'Unknown' when o_orderkey % 37 = 3 then 'unresolved' when o_orderkey % 37 = 4 then 'source defect-unresolved'
+            when o_orderkey % 37 = 5 and o_custkey % 3 = 0 then 'source unavailable' when o_orderkey % 37 = 6 and o_custkey % 3 = 1 then 'unsupported-source' when o_orderkey % 37 = 7 then 'operative-text-required-but-target-unresolved' else 'active' end as status,
+       case when o_custkey % 4 <> 1 and o_orderkey % 29 = 1 then '' else 'by date' end as chronology, case when o_custkey % 4 <> 1 and o_orderkey % 31 = 2 then ' ' else 'note' end as treatment, case when o_custkey % 4 <> 1 and o_orderkey % 41 = 3 then '' else 'keep' end as recommendation,
+       case when o_custkey % 4 <> 1 and o_orderkey % 43 = 4 then '' else 'page 1' end as evidence, case when o_custkey % 4 <> 1 and o_orderkey % 47 = 5 then '' else 'same' end as comparison, case when o_custkey % 4 <> 1 and o_orderkey % 53 = 6 then '' else 'high' end as confidence
+from {orders}""",
+    "report_provisions": """
+select 1 + o_custkey % 40 as idx, o_orderkey as ord, not (o_custkey % 4 = 2 and l_partkey % 211 = 9) as is_object,
+       case when o_custkey % 4 = 1 then 'short-title' else case l_partkey % 8 when 0 then 'direct-amendment' when 1 then 'repeal' when 2 then 'transfer,short-title' when 3 then 'redesignation' when 4 then 'new-permanent-general' when 5 then 'substitution' when 6 then '' else 'short-title' end end as classes,
+       case when o_custkey % 4 = 1 then 'note' when l_suppkey % 5 = 0 then '' when l_suppkey % 5 = 1 then 'Statutory-note' when l_suppkey % 5 = 2 then 'historical preservation' else 'new-section' end as treatment,
+       case when l_partkey % 3 = 0 then '' else 's1' end as target, case when o_custkey % 4 <> 1 and l_partkey % 17 = 0 then '' else 'page 2' end as evidence, case when l_partkey % 7 = 0 then '' else 'strike' end as change
+from {lineitem} join {orders} on o_orderkey = l_orderkey""",
+    "manifest_laws": """
+select 1 + o_custkey % 40 as idx, concat('PL-', lpad(cast(1 + o_orderkey % 300 as varchar(20)), 3, '0'), '-', lpad(cast(1 + o_custkey % 40 as varchar(20)), 3, '0')) as law_id
+from {orders} where not (o_custkey % 8 = 3 and o_orderkey % 19 = 0) and o_orderkey % 97 <> 5 and o_orderkey % 401 <> 7 group by 1, 2
+union all select 1 + o_custkey % 40, concat('PL-900-', cast(min(o_orderkey) as varchar(20))) from {orders} where o_custkey % 8 = 7 group by 1""",
+    "reports": """
+select 1 + o_custkey % 40 as idx, case when 1 + o_custkey % 40 = 14 then 0 else count(*) end as law_count, case when 1 + o_custkey % 40 = 18 then 'same' else 'report' end as digest from {orders} where 1 + o_custkey % 40 <> 7 group by 1
+union all select 90, 0, 'report' from {orders} group by 1, 2, 3""",
+    "manifests": """
+select 1 + o_custkey % 40 as idx, count(*) as law_count, case when 1 + o_custkey % 40 = 18 then 'same' else 'manifest' end as digest from {orders} where 1 + o_custkey % 40 <> 9 group by 1
+union all select 91, 0, 'manifest' from {orders} group by 1, 2, 3""",
     "configs": """
 select p_partkey as config_id, case when p_partkey % 13 = 0 then 'not a configuration' else concat(chr(123), '"', lower(p_type), '": ', chr(123), '"titles": [', cast(p_size as varchar(20)), case when p_size % 2 = 0 then ', 54' else '' end, ']',
        case when p_size % 3 = 0 then concat(', "defaults": ["', cast(p_partkey as varchar(20)), '"]') else '' end, case when p_size % 5 = 0 then ', "non_code": true' else '' end,
