@@ -164,6 +164,26 @@ union all select 90, 0, 'report' from {orders} group by 1, 2, 3""",
     "manifests": """
 select 1 + o_custkey % 40 as idx, count(*) as law_count, case when 1 + o_custkey % 40 = 18 then 'same' else 'manifest' end as digest from {orders} where 1 + o_custkey % 40 <> 9 group by 1
 union all select 91, 0, 'manifest' from {orders} group by 1, 2, 3""",
+    "outlines": """
+select p_partkey as act_id, p_partkey % 7 as variant, case p_partkey % 5 when 0 then '' when 1 then '1' when 2 then '1,2' when 3 then '2,1' else '2,9' end as wanted, p_name as said,
+  case p_partkey % 7
+    when 0 then concat('An Act', chr(10), 'SEC. 1. Title', chr(10), 'On ', p_name, chr(10), 'SEC. 2. Rules', chr(10), 'Body two')
+    when 1 then concat('Section I - Title', chr(10), 'On ', p_name, chr(10), chr(10), '§ 2. Rules', chr(10), 'Body two', chr(10))
+    when 2 then concat('SEC. 1. Title', chr(10), 'x', chr(10), 'SEC. 1. Title again', chr(10), 'On ', p_name, chr(10), 'SEC 3: Other', chr(10), 'Body three')
+    when 3 then concat('Just text on ', p_name, ' of sec. 1. of an act')
+    when 4 then concat('  sec. ii. Rules', chr(10), 'Body two', chr(10), 'SECTION 1.', chr(10), chr(10), 'On ', p_name, chr(10))
+    when 5 then ''
+    else concat('SEC. IX. Ninth', chr(10), 'Body nine', chr(10), 'SEC. 2) Rules', chr(10), 'Body two', chr(10), 'SEC. 2A. More', chr(10), p_name) end as text
+from {part}""",
+    "bodies": """
+select p_partkey as act_id, p_partkey % 5 as variant,
+  case p_partkey % 5
+    when 0 then concat('Lead', chr(10), chr(10), '(a) A one', chr(10), 'goes on', chr(10), chr(10), '(1) n one', chr(10), chr(10), '(2) n two', chr(10), chr(10), 'more', chr(10), chr(10), '(b) ', p_name)
+    when 1 then concat('(g) x', chr(10), chr(10), '(h) y', chr(10), ' ', chr(10), '(i) z', chr(10), chr(10), '(j) ', p_name)
+    when 2 then concat('(h) y', chr(10), chr(10), '(i) one', chr(10), chr(10), '(ii) two', chr(10), chr(10), '(i) ', p_name)
+    when 3 then concat('(a) x', chr(10), chr(10), '(1) y', chr(10), chr(10), '(A) z', chr(10), chr(10), '(i) r', chr(10), chr(10), '(I) R', chr(10), chr(10), '(II) S', chr(10), chr(10), '(B) t', chr(10), chr(10), '(2) ', p_name)
+    else '' end as text
+from {part}""",
     "configs": """
 select p_partkey as config_id, case when p_partkey % 13 = 0 then 'not a configuration' else concat(chr(123), '"', lower(p_type), '": ', chr(123), '"titles": [', cast(p_size as varchar(20)), case when p_size % 2 = 0 then ', 54' else '' end, ']',
        case when p_size % 3 = 0 then concat(', "defaults": ["', cast(p_partkey as varchar(20)), '"]') else '' end, case when p_size % 5 = 0 then ', "non_code": true' else '' end,

@@ -195,12 +195,6 @@ def ag16_source_completeness(actions):
     return actions.agg(F.count_if(F.col("evidence") == "").alias("without_evidence"), F.count_if((F.col("evidence") != "") & (F.col("treatment") == "no_code_action")).alias("without_text"), F.min(F.when(F.col("evidence") == "", F.col("action_id"))).alias("first_key"))
 
 
-@query("select doc_id, n, count(*) as words from (select doc_id, generate_subscripts(l, 1)::int as n, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from {documents})) where line <> '' group by doc_id, n")
-def ex26_line_rows(documents):
-    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("line <> ''")
-    return rows.select("doc_id", (F.col("n") + 1).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("words"))
-
-
 @query("select doc_key, string_agg(distinct m, ',' order by m) as refs from (select doc_key, unnest(regexp_extract_all(text, 'Public Law \\d+-\\d+') || regexp_extract_all(text, 'Section \\d+ of title \\d+')) as m from {enactments}) group by doc_key")
 def ex14_detect_references(enactments):
     return extract.detected(enactments, "doc_key", "text", [r"Public Law \d+-\d+", r"Section \d+ of title \d+"])

@@ -188,12 +188,6 @@ def ex13_operative_tags(enactments):
     return enactments.select(F.array_join(extract.operative_tags(F.col("text")), ",").alias("tags")).groupBy("tags").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, cast(count(*) as bigint) as n_lines, cast(sum(case when contains(line, ' ') then 1 else 0 end) as bigint) as n_worded from (select doc_id, unnest(string_split(text, chr(10))) as line from {documents}) group by doc_id")
-def ex17_lines(documents):
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("line").contains(" ").cast("long")).alias("n_worded"))
-
-
 @query(r"select doc_id, n, trim(line) as line from (select doc_id, generate_subscripts(l, 1) as n, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from {documents})) where regexp_matches(line, '(?i)licen[sc]e') and regexp_matches(line, '(?i)under')")
 def ex19_license_lines(documents):
     return extract.line_filter(documents, "doc_id", "text", "(?i)licen[sc]e", "(?i)under").select("doc_id", F.col("n").cast("long").alias("n"), "line")
