@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import edits, patch, rules
+from ..functions import text as T
+from . import edits, match, patch, rules
 
 #: Operations that change existing text, statuses and categories that are certain.
 DESTRUCTIVE = ("STRIKE_INSERT", "REPEAL_SECTION", "REPLACE_SECTION", "ADD_NEW_SECTION")
@@ -14,31 +15,54 @@ CERTAIN_CATEGORY = ("constitutional", "appropriation", "appointment", "treaty",
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(id, kind, title, section, block, confidence) of every operation that a text orders: sections added to
-    chapters, sections repealed or restated, parts repealed and texts added."""
-    added = edits.new_sections(docs, id_col, text_col, chapters, sections).select(id_col, F.lit("ADD_NEW_SECTION").alias("kind"), "title", "section", "block", "confidence")
+    """(id, kind, title, section, block, old_text, new_text, confidence) of every operation that a text orders: sections
+    added to chapters, sections repealed or restated, quoted edits, parts repealed and texts added."""
+    added = edits.new_sections(docs, id_col, text_col, chapters, sections).select(id_col, F.lit("ADD_NEW_SECTION").alias("kind"), "title", "section", "block", F.lit("").alias("old_text"), F.lit("").alias("new_text"), "confidence")
     return added.unionByName(edits.operations(docs, id_col, text_col, sections))
 
 
-def classify(docs: DataFrame, sections: DataFrame, chapters: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, sections: DataFrame, chapters: DataFrame, name_col: str | None = None) -> DataFrame:
     """(law_id, disposition, confidence, n_direct, n_safe, n_unresolved) of every law. docs: (law_id, text, status,
-    incorporated), one row a law. A null or empty text is a law without a source."""
+    incorporated), one row a law. A null or empty text is a law without a source. The words of its name, where
+    there is one, count for its category as those of its text."""
     ops = parsed(docs.where("text <> ''"), "law_id", "text", sections, chapters)
     hard, high = F.col("kind").isin(*DESTRUCTIVE), F.col("confidence") == "high"
     counts = ops.groupBy("law_id").agg(
-        F.count("*").alias("n_direct"), F.count_if(hard & high).alias("n_safe"), F.count_if(hard & ~high).alias("n_unresolved"), F.count_if(~hard).alias("n_notes"), F.sum(F.length("block")).alias("represented")
+        F.count("*").alias("n_direct"), F.count_if(hard & high).alias("n_safe"), F.count_if(hard & ~high).alias("n_unresolved"), F.count_if(~hard).alias("n_notes"), F.sum(F.length("block") + F.length("old_text") + F.length("new_text")).alias("represented")
     )
     numbers = ["n_direct", "n_safe", "n_unresolved", "n_notes", "represented"]
     said = rules.character_scores(docs.withColumn("text", F.coalesce("text", F.lit("")))).join(counts, "law_id", "left").na.fill(0, numbers)
     direct = F.col("n_direct") > 0
-    known = said.withColumns({"category": rules.non_code_category(), "rider": rules.permanent_rider(), "more": rules.needs_supplement(F.col("text"), F.col("n_direct"), F.col("represented"))})
+    known = said.withColumns({"category": rules.non_code_category(F.concat_ws("\n", name_col, "text") if name_col else "text"), "rider": rules.permanent_rider(), "more": rules.needs_supplement(F.col("text"), F.col("n_direct"), F.col("represented"))})
     disposition = patch.disposition({
         "incorporated": F.col("incorporated"), "active": F.col("status") == "active", "has_source": F.col("text") != "", "category": F.col("category"), "direct": direct, "rider": F.col("rider"),
         "temporary": F.col("temporary_score"), "permanent": F.col("permanent_score"), "supplement": F.col("more"), "unresolved": (F.col("n_unresolved") > 0) | (F.col("n_notes") > 0),
     })
     d = F.col("disposition")
     certain = (
-        F.when(d == "NONOPERATIVE", F.col("status").isin(*CERTAIN_STATUS)).when(d == "NON_CODE", F.col("category").isin(*CERTAIN_CATEGORY) & ~((F.col("category") == "appropriation") & F.col("rider")))
+        F.when(d == "NONOPERATIVE_OR_REPEALED", F.col("status").isin(*CERTAIN_STATUS)).when(d == "NON_CODE", F.col("category").isin(*CERTAIN_CATEGORY) & ~((F.col("category") == "appropriation") & F.col("rider")))
         .when(d == "STATUTORY_NOTE", F.col("permanent_score") >= F.col("temporary_score")).otherwise(F.lit(True))
     )
     return known.withColumn("disposition", disposition).select("law_id", "disposition", F.when(certain, "high").otherwise("medium").alias("confidence"), "n_direct", "n_safe", "n_unresolved")
+
+
+def superseded(classified: DataFrame, edges: DataFrame) -> DataFrame:
+    """classified with SUPERSEDED_BEFORE_CODIFICATION, the edge's confidence and `superseded_by` for laws that a later law in
+    force repeals or supersedes, and `warnings`: edges to laws that aren't earlier (of the law that has them), and later laws that undo one
+    that is incorporated already, which stays so. classified: (law_id, status, disposition, confidence), edges: (source, target, relation,
+    confidence). A superseded law still overrides others; of several laws the earliest counts."""
+    force = classified.select("law_id", ((F.col("status") == "active") & ~F.col("disposition").isin("NONOPERATIVE_OR_REPEALED", "SOURCE_UNAVAILABLE")).alias("active"))
+    key = T.law_sort_key
+    strong = edges.where("relation in ('repeals', 'supersedes')").join(force.where("active").select(F.col("law_id").alias("source")), "source", "left_semi").join(force.select(F.col("law_id").alias("target")), "target", "left_semi")
+    later = key(F.col("source")) > key(F.col("target"))
+    by = match.overrides(edges, force).join(strong.select(F.col("source").alias("superseded_by"), F.col("target").alias("law_id"), F.col("confidence").alias("sure")).groupBy("superseded_by", "law_id").agg(F.min("sure").alias("sure")), ["law_id", "superseded_by"])
+    not_earlier = strong.where(~later).select(F.col("source").alias("law_id"), F.concat(F.lit("not earlier: "), "relation", F.lit(" "), "target").alias("warning"))
+    done = classified.where("disposition = 'ALREADY_INCORPORATED'").select(F.col("law_id").alias("target"))
+    undone = strong.where(later).join(done, "target", "left_semi").select(F.col("target").alias("law_id"), F.concat(F.lit("incorporated, but "), "source", F.lit(" "), "relation", F.lit(" it")).alias("warning"))
+    warnings = not_earlier.unionByName(undone).groupBy("law_id").agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
+    out = classified.join(by, "law_id", "left").join(warnings, "law_id", "left")
+    hit = F.col("superseded_by").isNotNull() & (F.col("disposition") != "ALREADY_INCORPORATED")
+    return out.withColumns({
+        "superseded_by": F.when(hit, F.col("superseded_by")), "confidence": F.when(hit, F.col("sure")).otherwise(F.col("confidence")),
+        "disposition": F.when(hit, "SUPERSEDED_BEFORE_CODIFICATION").otherwise(F.col("disposition")), "warnings": F.coalesce("warnings", F.array().cast("array<string>")),
+    }).drop("sure")

@@ -31,6 +31,7 @@ PREFIX = r"(?is)^([^.;]{0,300}?)\b(?:is|are)\s+(?:hereby\s+)?(?:amended|repealed
 PART_NAMED = r"(?i)^\s*\([A-Za-z0-9]+\)|\b(?:subsection|paragraph|subparagraph|clause|item)\b"
 RESTATED = r"(?is)\b(?:to\s+read|by\s+striking\s+.*?and\s+inserting)\s+as\s+follows\s*[:—-]"
 ADDED = r"(?is)\bby\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?(?:the\s+following|after\s+[^:]{1,300}\s+the\s+following)\s*[:—-]"
+STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
 #: Groups of verbs near a reference to another law.
 EDGE_VERBS = {"amend": "amend", "delay": "delay|postpone|suspend", "extend": "extend|reauthoriz", "repeal": "repeal", "revive": "reviv|reinstat|restor", "supersede": "supersed"}
 
@@ -121,10 +122,13 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame) -> DataFrame:
-    """(id, kind, title, section, block, confidence) of what targets order. A repealed section is repealed
-    whole only if no part is named; a restated one is replaced; text added to it, and a repealed part, become
-    notes. First of each (id, kind, title, section); of added texts, of each different text."""
+    """(id, kind, title, section, block, old_text, new_text, confidence) of what targets order. A repealed section is
+    repealed whole only if no part is named; a restated one is replaced; text added to it, and a repealed part, become
+    notes; each quoted pair of texts to strike and to insert is an edit of its own, also in a part. First of each (id,
+    kind, title, section); of added texts and of edits, of each different one. Edits without an old text, or over 4,000
+    characters of it or 8,000 of the new one, don't count."""
     rows = _known(targets(docs, id_col, text_col), sections)
+    edits_of = strikes(rows, id_col)
     whole = ~F.col("subdivision")
     kind = (
         F.when((F.col("verb") == "repealed") & whole, "REPEAL_SECTION").when(F.col("verb") == "repealed", "REPEAL_PART")
@@ -138,7 +142,17 @@ def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame)
     named = F.rtrim(F.regexp_extract(F.left("block", F.lit(700)), FIRST_LINE, 1), F.lit(".")) == F.col("section")
     restated = (F.col("kind") == "REPLACE_SECTION") & named & F.length("block").between(80, 30_000)
     sure = F.col("section_exists") & (restated | (F.col("kind") == "REPEAL_SECTION"))
-    return first.select(id_col, "kind", "title", "section", "block", F.when(sure, "high").otherwise("medium").alias("confidence"))
+    whole_ones = first.select(id_col, "kind", "title", "section", "block", F.lit("").alias("old_text"), F.lit("").alias("new_text"), F.when(sure, "high").otherwise("medium").alias("confidence"))
+    return whole_ones.unionByName(edits_of)
+
+
+def strikes(rows: DataFrame, id_col: str) -> DataFrame:
+    """The STRIKE_INSERT operations of targets with section_exists."""
+    groups = [F.regexp_extract_all("window", F.lit(STRIKE), F.lit(k)) for k in (1, 2)]
+    pairs = rows.where("verb = 'amended'").select(id_col, "title", "section", "section_exists", F.explode(F.arrays_zip(groups[0].alias("old"), groups[1].alias("new"))).alias("p"))
+    said = pairs.select(id_col, "title", "section", "section_exists", T.normalize_whitespace(F.col("p.old")).alias("old_text"), T.normalize_whitespace(F.col("p.new")).alias("new_text"))
+    usable = said.where("old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000").distinct()
+    return usable.select(id_col, F.lit("STRIKE_INSERT").alias("kind"), "title", "section", F.lit("").alias("block"), "old_text", "new_text", F.when(F.col("section_exists"), "high").otherwise("medium").alias("confidence"))
 
 
 def chronology(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

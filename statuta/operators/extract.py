@@ -22,7 +22,6 @@ CITATIONS = [
     (r"(?i)(\d{1,2})\s+U\.?\s*S\.?\s*C\.?\s*(?:§+|sections?|secs?\.?|s\.)?\s*([0-9A-Za-z][0-9A-Za-z.\-]*)", 1, 2),
     (r"(?i)title\s+(\d{1,2})\s*,?\s*(?:United\s+States\s+Code|U\.?S\.?C\.?)\s*,?\s*section\s+([0-9A-Za-z][0-9A-Za-z.\-]*)", 1, 2),
 ]
-STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
 #: Fixed values, strongest first: relation, confidence, characters before a law number and the wording that ends them,
 #: characters after it and the wording that begins them.
 RELATIONS = [
@@ -93,7 +92,7 @@ def relation(before: Column, after: Column) -> Column:
 
 def strike_inserts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, old_text, new_text) of quoted edits, distinct; empty or over-long ones are skipped."""
-    pair = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(STRIKE), F.lit(1)).alias("old"), F.regexp_extract_all(text_col, F.lit(STRIKE), F.lit(2)).alias("new"))
+    pair = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(edits.STRIKE), F.lit(1)).alias("old"), F.regexp_extract_all(text_col, F.lit(edits.STRIKE), F.lit(2)).alias("new"))
     rows = docs.select(id_col, F.explode(pair).alias("p")).select(id_col, T.normalize_whitespace(F.col("p.old")).alias("old_text"), T.normalize_whitespace(F.col("p.new")).alias("new_text"))
     return rows.where("old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000").distinct()
 

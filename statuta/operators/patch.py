@@ -61,8 +61,8 @@ def insert(sections: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_manifest(sections: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Applies the operations of many laws in law order, then in the order of their ids. sections: (identifier,
-    heading, body, notes). ops: (op_id, law_id, law_order, identifier, title, kind, old_text, new_text, marker,
+    """Applies the operations of many laws in law order, then by their number in the law. sections: (identifier,
+    heading, body, notes). ops: (op_id, op_no, law_id, law_order, identifier, title, kind, old_text, new_text, marker,
     confidence).
 
     Gives the sections as they stand at the end, with new ones, and (op_id, law_id, identifier, kind, status) of each
@@ -70,7 +70,7 @@ def apply_manifest(sections: DataFrame, ops: DataFrame) -> tuple[DataFrame, Data
     An operation without a title is skipped, a destructive one of less than high confidence is withheld, an
     edit whose old text doesn't stand exactly once becomes a note, and a note whose marker is there is kept once.
     """
-    fields = ["law_order", "op_id", "law_id", "title", "kind", "old_text", "new_text", "marker", "confidence"]
+    fields = ["law_order", "op_no", "op_id", "law_id", "title", "kind", "old_text", "new_text", "marker", "confidence"]
     grouped = ops.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ops"))
     joined = sections.select("identifier", "heading", "body", "notes", F.lit(True).alias("there")).join(grouped, "identifier", "full_outer")
     zero = F.struct(
@@ -118,7 +118,7 @@ def disposition(ready: dict[str, Column]) -> Column:
     """The ordered cascade of dispositions. ready: named conditions and scores of a law."""
     r = ready
     steps = [
-        (r["incorporated"], "ALREADY_INCORPORATED"), (~r["active"], "NONOPERATIVE"), (~r["has_source"], "SOURCE_UNAVAILABLE"),
+        (r["incorporated"], "ALREADY_INCORPORATED"), (~r["active"], "NONOPERATIVE_OR_REPEALED"), (~r["has_source"], "SOURCE_UNAVAILABLE"),
         ((r["category"] != "") & ~r["direct"] & ~((r["category"] == "appropriation") & r["rider"]), "NON_CODE"),
         (~r["direct"] & (r["temporary"] >= F.greatest(F.lit(8), r["permanent"] + 5)), "NON_CODE"),
         (r["direct"] & (r["supplement"] | r["unresolved"]), "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"), (r["direct"], "DIRECT_CODE_AMENDMENT"),

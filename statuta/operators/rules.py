@@ -73,7 +73,7 @@ def character_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return scored.select(*docs.columns, *[F.col(f"_scores.{x}").alias(f"{x}_score") for x in ("permanent", "temporary", "non_code")])
 
 
-def non_code_category(text_col: str = "text") -> Column:
+def non_code_category(text_col: str | Column = "text") -> Column:
     """The first category any of whose phrases occurs; an appropriation also needs money or a fiscal year."""
 
     def first(low: Column) -> Column:

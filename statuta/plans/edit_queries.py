@@ -161,3 +161,10 @@ def pl31_candidate_gate(part):
     plans = of.selectExpr("law_id", "if(k % 6 = 0, 'final', 'draft') as status", "if(k % 7 = 0, '', 'Said') as summary", "case when k % 10 = 0 then null when k % 11 = 0 then 'other' else 'replace_element_xml' end as op", "k as fragment")
     fragments = of.where("k % 4 <> 0").selectExpr("k as fragment", "k % 9 <> 0 as parses", "if(k % 13 = 0, 'Other', concat('The Act ', law_id, '. Text')) as text", "array(concat('rp-', k div 2), 'x') as ids")
     return N.candidate_gate(laws, plans, fragments)
+
+
+@query("""select distinct law_id, title, section, case form when 9 then 'old item' else 'one' end as old_text, case form when 9 then 'new item' else 'two' end as new_text, case when e.s is not null then 'high' else 'medium' end as confidence
+ from {acts} a left join (select distinct title as t, section as s from {sections}) e on e.t = a.title and e.s = a.section where form in (9, 10)""")
+def ex9_ordered_edits(acts, sections):
+    out = edits.operations(acts, "law_id", "text", sections).where("kind = 'STRIKE_INSERT'")
+    return out.select("law_id", "title", "section", "old_text", "new_text", "confidence")

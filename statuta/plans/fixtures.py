@@ -96,7 +96,7 @@ select p_partkey as provision_id,
        concat(case p_size % 3 when 0 then 'Definitions of a ' when 1 then 'The purpose of a ' else 'Rules on a ' end, lower(p_type)) as summary
 from {part}""",
     "operations": """
-select distinct concat('O', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as op_id,
+select distinct concat('O', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as op_id, l_linenumber as op_no,
        concat('PL-', lpad(cast(1 + l_suppkey % 50 as varchar(20)), 3, '0'), '-', lpad(cast(1 + l_orderkey % 999 as varchar(20)), 3, '0')) as law_id, (1 + l_suppkey % 50) * 10000 + 1 + l_orderkey % 999 as law_order,
        concat('/us/usc/t', cast(p_size as varchar(20)), '/s', cast(p_partkey as varchar(20)), case when (l_orderkey + l_linenumber) % 8 = 4 or l_orderkey % 5 = 0 then '/n' else '' end) as identifier,
        case when l_orderkey % 13 = 0 then null else p_size end as title,
@@ -107,10 +107,10 @@ select distinct concat('O', cast(l_orderkey as varchar(20)), '.', cast(l_linenum
 from {lineitem} join {part} on p_partkey = l_partkey""",
     "acts": """
 select distinct concat('B', cast(l_orderkey as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_partkey as varchar(20)), '.', cast(l_suppkey as varchar(20))) as law_id,
-  (l_orderkey + l_linenumber) % 9 as form, l_partkey % 4 as variant, p_size as title, cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)) as section,
+  (l_orderkey + l_linenumber) % 11 as form, l_partkey % 4 as variant, case when l_suppkey % 13 = 3 then 'A commemorative act' else p_name end as name, p_size as title, cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)) as section,
   case when l_suppkey % 11 = 0 then 'repealed' when l_suppkey % 11 = 1 then 'pending' else 'active' end as status, l_orderkey % 10 = 3 as incorporated,
-  case when (l_orderkey + l_linenumber) % 9 = 8 and l_partkey % 4 = 0 then '' else concat('An Act on every ', lower(p_type), '. ',
-    case (l_orderkey + l_linenumber) % 9
+  case when (l_orderkey + l_linenumber) % 11 = 8 and l_partkey % 4 = 0 then '' else concat('An Act on every ', lower(p_type), '. ',
+    case (l_orderkey + l_linenumber) % 11
       when 0 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is hereby repealed.')
       when 1 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by adding at the end the following: "(z) A list shall be kept.".')
       when 2 then 'There is established an office. The office shall report.'
@@ -119,6 +119,8 @@ select distinct concat('B', cast(l_orderkey as varchar(20)), '.', cast(l_linenum
       when 5 then 'An act for the relief of a maker.'
       when 6 then 'This temporary act shall expire in one year, and the temporary office shall terminate within 90 days of the expiration of this temporary act.'
       when 7 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is hereby repealed. There is appropriated, out of the Treasury, a sum for fiscal year 2026.')
+      when 9 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), ' of title ', cast(p_size as varchar(20)), ', United States Code, is amended by striking "old item" and inserting "new item".')
+      when 10 then concat('Section ', cast(case when l_orderkey % 5 = 0 then l_partkey + 1000000 else l_partkey end as varchar(20)), '(b) of title ', cast(p_size as varchar(20)), ', United States Code, is amended by striking “one” and inserting in lieu thereof “two”, by striking "one" and inserting "two", and by striking "" and inserting "x".')
       else 'There is appropriated, out of the Treasury, a sum for fiscal year 2026. There is established an office, and no person may not report.' end,
     case l_partkey % 4 when 1 then ' The agency shall issue regulations.' else '' end) end as text
 from {lineitem} join {part} on p_partkey = l_partkey""",

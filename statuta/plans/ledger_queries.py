@@ -353,7 +353,7 @@ def pl14_insert_section(sections):
     return patch.insert(sections, new).agg(F.count("*").alias("n"))
 
 
-_MANIFEST = """with recursive o as (select *, row_number() over (partition by identifier order by law_order, op_id) as k from {operations}),
+_MANIFEST = """with recursive o as (select *, row_number() over (partition by identifier order by law_order, op_no, op_id) as k from {operations}),
  st as (select coalesce(s.identifier, t.identifier) as identifier, 0 as k, s.identifier is not null as there, coalesce(s.heading, '') as heading, coalesce(s.body, '') as body, '' as notes, '' as op_id, '' as law_id, '' as kind, '' as status
    from {sections} s full join (select distinct identifier from o) t on s.identifier = t.identifier
   union all select identifier, k, there or (kind = 'ADD_NEW_SECTION' and status = 'executed'),
@@ -397,14 +397,14 @@ _RIDER = " + ".join(f"cast(contains(t, '{p}') as int)" for p in rules.RIDER)
 
 
 # The oracle knows by `form` what each act orders.
-@query(f"""select law_id, d as disposition, case when d = 'NONOPERATIVE' and status <> 'repealed' then 'medium' when d = 'NON_CODE' and (form in (4, 6)) then 'medium' when d = 'STATUTORY_NOTE' and permanent < temporary then 'medium' else 'high' end as confidence,
- case when form in (0, 1, 7) then 1 else 0 end as n_direct, case when form in (0, 7) and there then 1 else 0 end as n_safe, case when form in (0, 7) and not there then 1 else 0 end as n_unresolved from (
- select *, case when incorporated then 'ALREADY_INCORPORATED' when status <> 'active' then 'NONOPERATIVE' when text = '' then 'SOURCE_UNAVAILABLE' when form in (3, 4, 5) then 'NON_CODE' when form = 8 and not (rider >= 2) then 'NON_CODE'
-  when form in (0, 7) and there and variant <> 1 then 'DIRECT_CODE_AMENDMENT' when form in (0, 1, 7) then 'HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE' when temporary >= greatest(8, permanent + 5) then 'NON_CODE' else 'STATUTORY_NOTE' end as d
- from (select a.*, e.section is not null as there, {_SCORED['permanent']} as permanent, {_SCORED['temporary']} as temporary, {_RIDER} as rider from (select *, lower(text) as t from {{acts}}) a left join (select distinct title, section from {{sections}}) e using (title, section)))""")
+@query(f"""select law_id, d as disposition, case when d = 'NONOPERATIVE_OR_REPEALED' and status <> 'repealed' then 'medium' when d = 'NON_CODE' and (form in (4, 6) or coin and form in (2, 5)) then 'medium' when d = 'STATUTORY_NOTE' and permanent < temporary then 'medium' else 'high' end as confidence,
+ case when form in (0, 1, 7, 9, 10) then 1 else 0 end as n_direct, case when form in (0, 7, 9, 10) and there then 1 else 0 end as n_safe, case when form in (0, 7, 9, 10) and not there then 1 else 0 end as n_unresolved from (
+ select *, case when incorporated then 'ALREADY_INCORPORATED' when status <> 'active' then 'NONOPERATIVE_OR_REPEALED' when text = '' then 'SOURCE_UNAVAILABLE' when form in (3, 4, 5) or coin and form in (2, 6) then 'NON_CODE' when form = 8 and not (rider >= 2) then 'NON_CODE'
+  when form in (0, 7, 9, 10) and there and variant <> 1 then 'DIRECT_CODE_AMENDMENT' when form in (0, 1, 7, 9, 10) then 'HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE' when temporary >= greatest(8, permanent + 5) then 'NON_CODE' else 'STATUTORY_NOTE' end as d
+ from (select a.*, a.name = 'A commemorative act' as coin, e.section is not null as there, {_SCORED['permanent']} as permanent, {_SCORED['temporary']} as temporary, {_RIDER} as rider from (select *, lower(text) as t from {{acts}}) a left join (select distinct title, section from {{sections}}) e using (title, section)))""")
 def pl1_classify_laws(acts, sections):
     chapters = sections.select("title", (F.col("section").cast("long") % 10).cast("string").alias("chapter")).distinct()
-    return classify.classify(acts.select("law_id", "text", "status", "incorporated"), sections, chapters)
+    return classify.classify(acts.select("law_id", "name", "text", "status", "incorporated"), sections, chapters, "name")
 
 
 @query("select rule, cast(broken as bigint) as broken, broken = 0 as passed from (select unnest(['has evidence', 'known type', 'valid target']) as rule, unnest([sum(case when evidence <> '' then 0 else 1 end), sum(case when action_type in ('amendment', 'statutory_note', 'repeal') then 0 else 1 end), sum(case when starts_with(identifier, '/us/usc/t') then 0 else 1 end)]) as broken from {actions})")
@@ -476,3 +476,19 @@ def sm3_resume_sources(reviews):
 def sm4_run_state(reviews):
     old, new = reviews.where("ord < 5000").select("law_id", "ord", "status"), reviews.where("ord >= 5000").select("law_id", "ord", "status")
     return ledger.merged_runs(old.groupBy("law_id").agg(F.max_by("status", "ord").alias("status"), F.max("ord").alias("ord")).select("law_id", "ord", "status"), new, "law_id", "ord")
+
+
+_STAND = "case when right(law_id, 1) = '3' then 'ALREADY_INCORPORATED' when right(law_id, 1) = '7' then 'NONOPERATIVE_OR_REPEALED' else 'STATUTORY_NOTE' end"
+
+
+@query(f"""with laws as (select distinct law_id, {_STAND} as d from {{citings}}), edges as (select distinct law_id as source, named as target, case when form in (0, 4, 7) then 'repeals' else 'supersedes' end as relation from {{citings}} where form in (0, 2, 4, 7, 8) and law_id <> named),
+ strong as (select e.* from edges e where source in (select law_id from laws where d <> 'NONOPERATIVE_OR_REPEALED') and target in (select law_id from laws)),
+ told as (select source as law_id, 'not earlier: ' || relation || ' ' || target as w from strong where source <= target union select target, 'incorporated, but ' || source || ' ' || relation || ' it' from strong where source > target and target in (select law_id from laws where d = 'ALREADY_INCORPORATED')),
+ hit as (select target as law_id, min(source) as who from strong where source > target group by 1)
+ select law_id, case when who is not null and d <> 'ALREADY_INCORPORATED' then 'SUPERSEDED_BEFORE_CODIFICATION' else d end as disposition, case when who is not null and d <> 'ALREADY_INCORPORATED' then 'high' else 'medium' end as confidence, case when d <> 'ALREADY_INCORPORATED' then who end as superseded_by,
+ coalesce((select string_agg(w, '; ' order by w) from told t where t.law_id = laws.law_id), '') as warnings from laws left join hit using (law_id)""")
+def pl1_superseded_laws(citings):
+    stand = F.when(F.right("law_id", F.lit(1)) == "3", "ALREADY_INCORPORATED").when(F.right("law_id", F.lit(1)) == "7", "NONOPERATIVE_OR_REPEALED").otherwise("STATUTORY_NOTE")
+    laws = citings.select("law_id", stand.alias("disposition"), F.lit("active").alias("status"), F.lit("medium").alias("confidence")).distinct()
+    edges = extract.dependencies(citings, "law_id", "text").select(F.col("law_id").alias("source"), "target", "relation", "confidence").distinct()
+    return classify.superseded(laws, edges).drop("status").withColumn("warnings", F.array_join("warnings", "; "))

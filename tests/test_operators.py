@@ -134,7 +134,7 @@ def test_gates(spark):
 
 def test_six_dispositions(spark):
     base = {"incorporated": False, "active": True, "has_source": True, "category": "", "direct": False, "rider": False, "temporary": 0, "permanent": 5, "supplement": False, "unresolved": False}
-    cases = [({"direct": True}, "DIRECT_CODE_AMENDMENT"), ({}, "STATUTORY_NOTE"), ({"category": "private"}, "NON_CODE"), ({"active": False}, "NONOPERATIVE"), ({"incorporated": True}, "ALREADY_INCORPORATED"),
+    cases = [({"direct": True}, "DIRECT_CODE_AMENDMENT"), ({}, "STATUTORY_NOTE"), ({"category": "private"}, "NON_CODE"), ({"active": False}, "NONOPERATIVE_OR_REPEALED"), ({"incorporated": True}, "ALREADY_INCORPORATED"),
              ({"direct": True, "supplement": True}, "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"), ({"category": "appropriation", "rider": True}, "STATUTORY_NOTE"), ({"temporary": 10}, "NON_CODE"), ({"has_source": False}, "SOURCE_UNAVAILABLE")]
     for change, want in cases:
         columns = {k: F.lit(v) for k, v in (base | change).items()}
@@ -192,3 +192,21 @@ def test_notes_descend_the_ladder(spark):
     got = {r.note_id: (r.how, r.identifier) for r in nodes.placed_notes(rows, existing, sections).collect()}
     assert got == {"n1": ("exact", "/us/usc/t1/s1"), "n2": ("parent", "/us/usc/t1/s1"), "n3": ("law", "/us/usc/t1/s5"), "n4": ("first", "/us/usc/t1/s0"), "n5": ("unplaced", None), "n6": ("replaced", "/us/usc/t1/s8")}
     assert [(r.note_id, r.file) for r in nodes.stale_notes(rows, existing).collect()] == [("n6", "g")]
+
+
+def test_strike_and_insert_is_a_direct_amendment(spark):
+    from statuta.operators import classify
+
+    text = 'Section 10 of title 5, United States Code, is amended by striking "old words" and inserting "new words".'
+    docs = spark.createDataFrame([("PL-001-001", text, "active", False), ("PL-001-002", text.replace("10", "11"), "active", False)], "law_id string, text string, status string, incorporated boolean")
+    sections, chapters = spark.createDataFrame([(5, "10")], "title int, section string"), spark.createDataFrame([], "title int, chapter string")
+    got = {r.law_id: (r.disposition, r.confidence, r.n_direct, r.n_safe) for r in classify.classify(docs, sections, chapters).collect()}
+    assert got == {"PL-001-001": ("DIRECT_CODE_AMENDMENT", "high", 1, 1), "PL-001-002": ("HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE", "high", 1, 0)}
+
+
+def test_operations_run_by_their_number(spark):
+    sections = spark.createDataFrame([("s", "h", "a b", "")], "identifier string, heading string, body string, notes string")
+    rows = [("L-10", 10, "L", 1, "s", 1, "STRIKE_INSERT", "c", "d", "m", "high"), ("L-2", 2, "L", 1, "s", 1, "STRIKE_INSERT", "a", "c", "m", "high")]
+    ops = spark.createDataFrame(rows, "op_id string, op_no int, law_id string, law_order int, identifier string, title int, kind string, old_text string, new_text string, marker string, confidence string")
+    after, told = patch.apply_manifest(sections, ops)
+    assert after.first().body == "d b" and {r.status for r in told.collect()} == {"executed"}
