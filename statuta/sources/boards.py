@@ -19,18 +19,29 @@ def board(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOARD).option("multiLine", True).json(path)
 
 
-def cards_from_board(boards: DataFrame) -> DataFrame:
+def cards_from_board(boards: DataFrame, *more: str) -> DataFrame:
     """One row a card: list id to list name (missing: UNKNOWN), blank labels dropped."""
     lists = F.map_from_entries(F.transform("lists", lambda x: F.struct(x["id"], x["name"])))
-    rows = boards.select(lists.alias("names"), F.explode("cards").alias("c"))
+    rows = boards.select(*more, lists.alias("names"), F.explode("cards").alias("c"))
     labels = F.filter(F.transform("c.labels", lambda x: x["name"]), lambda n: F.trim(n) != "")
     return rows.select(
         F.col("c.id").alias("card_id"), F.col("c.name").alias("name"), F.coalesce(F.col("names")[F.col("c.idList")], F.lit("UNKNOWN")).alias("list_name"), F.array_join(F.coalesce(labels, F.array().cast("array<string>")), " | ").alias("label"),
         F.left("c.dateLastActivity", F.lit(10)).try_cast("date").alias("last_activity"), F.coalesce("c.desc", F.lit("")).alias("description"),
-        F.coalesce(F.nullif(F.col("c.url"), F.lit("")), F.concat(F.lit("https://example.test/c/"), "c.shortLink")).alias("url"),
+        F.coalesce(F.nullif(F.col("c.url"), F.lit("")), F.concat(F.lit("https://example.test/c/"), "c.shortLink")).alias("url"), *more,
     )
 
 
+def counted_cards(boards: DataFrame) -> DataFrame:
+    """What cards_from_board gives, with the number of a card's different attachment addresses, counted in the export's own row, so that it
+    works on a stream."""
+    rows = boards.select("*", F.posexplode("cards").alias("_n", "_c"))
+    own = F.transform("_c.attachments", lambda a: a["url"])
+    later = F.transform(F.filter("actions", lambda a: (a["type"] == "addAttachmentToCard") & (a["data"]["card"]["id"] == F.col("_c.id"))), lambda a: a["data"]["attachment"]["url"])
+    none = F.array().cast("array<string>")
+    n = F.size(F.array_distinct(F.filter(F.concat(F.coalesce(own, none), F.coalesce(later, none)), lambda u: u != ""))).cast("long")
+    return cards_from_board(rows.select("lists", F.array("_c").alias("cards"), n.alias("n_attachments")), "n_attachments")
+
+
 def board_attachments(boards: DataFrame) -> DataFrame:
     """(card_id, ordinal, name, url, source): a card's own attachments, then those of its events."""
     own = boards.select(F.explode("cards").alias("c")).select(F.col("c.id").alias("card_id"), F.posexplode("c.attachments").alias("ordinal", "a"), F.lit("board").alias("source"))

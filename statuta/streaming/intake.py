@@ -1,4 +1,4 @@
-"""Intake of board exports and an outbox that says each thing once, as Structured Streaming jobs."""
+"""Intake of board exports and windowed counts, as Structured Streaming jobs."""
 
 from __future__ import annotations
 
@@ -6,41 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import cards as C
 from ..sources import boards
+from . import keyed
 
 
-def intake(spark: SparkSession, exports: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Reads board exports as they land and keeps, for each law they touch, its canonical card. A batch
-    writes the rows of its laws under its own number; `current_cards` picks the last of each law."""
+def intake(spark: SparkSession, exports: str, target: str, checkpoint: str, seen: DataFrame | None = None) -> StreamingQuery:
+    """Reads board exports as they land and keeps, for each law they touch, its canonical card among all that were seen; `keyed.current` picks
+    the last of each law."""
     landed = spark.readStream.schema(boards.BOARD).option("multiLine", True).json(exports)
-
-    def apply(batch: DataFrame, number: int) -> None:
-        found = C.identified(boards.cards_from_board(batch))
-        n = C.first_url_wins(boards.board_attachments(batch).withColumns({"added": F.lit(None).cast("date"), "part_no": F.lit(0)})).groupBy("card_id").agg(F.count("*").alias("n_attachments"))
-        rows = C.canonical(found.join(n, "card_id", "left").na.fill(0, ["n_attachments"]))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return landed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_cards(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
-    return rows.groupBy("law_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("law_id",)]), "batch").alias("r")).select("law_id", "r.*")
-
-
-def outbox(comments: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Writes each comment once. comments: a stream with at least (marker, text); a marker written by an
-    earlier batch, or twice in one, is skipped."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["marker"])
-        if number:
-            fresh = fresh.join(spark.read.parquet(f"{target}/batch=*").select("marker"), "marker", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return comments.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return keyed.competing_cards(boards.counted_cards(landed), target, checkpoint, seen)
 
 
 def windowed_counts(events: DataFrame, time_col: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

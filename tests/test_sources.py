@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statuta.sources import boards
-from statuta.streaming import intake
+from statuta.streaming import intake, keyed
 
 BOARD = {
     "lists": [{"id": "l1", "name": "Current Laws"}, {"id": "l2", "name": "Repealed Laws"}],
@@ -67,7 +67,7 @@ def test_a_failing_check_publishes_nothing(spark, tmp_path):
     assert boards.published(spark, at).count() == 3
 
 
-def test_intake_and_outbox(spark, tmp_path):
+def test_intake_keeps_the_best_card(spark, tmp_path):
     exports, target = tmp_path / "in", str(tmp_path / "cards")
     exports.mkdir()
     (exports / "one.json").write_text(json.dumps(BOARD))
@@ -76,15 +76,30 @@ def test_intake_and_outbox(spark, tmp_path):
     later["cards"] = [c | {"desc": "A longer text than before"} for c in later["cards"][:1]]
     (exports / "two.json").write_text(json.dumps(later))
     intake.intake(spark, str(exports), target, str(tmp_path / "ck")).awaitTermination()
-    rows = intake.current_cards(spark, target).collect()
-    assert [(r.law_id, r.card_id, r.description, r.n_attachments) for r in rows] == [("PL-041-007", "c1", "A longer text than before", 2)]
-
-    said = tmp_path / "said"
-    for n, markers in enumerate((["a", "b", "a"], ["b", "c"])):
-        spark.createDataFrame([(m, "t") for m in markers], "marker string, text string").coalesce(1).write.mode("append").parquet(str(said))
-        stream = spark.readStream.schema("marker string, text string").parquet(str(said))
-        intake.outbox(stream, str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination()
-    assert sorted(r.marker for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    rows = keyed.current(spark, target).collect()
+    assert [(r.law_id, r.card_id, r.description, r.n_attachments, r.duplicates) for r in rows] == [("PL-041-007", "c1", "A longer text than before", 2, 1)]
+
+    # A lesser card of a later export doesn't displace the stored one; nor does it after a new checkpoint that begins with what was seen.
+    lesser = json.loads(json.dumps(BOARD))
+    lesser["cards"] = [c | {"id": "c9"} for c in lesser["cards"][1:2]]
+    (exports / "three.json").write_text(json.dumps(lesser))
+    intake.intake(spark, str(exports), target, str(tmp_path / "ck")).awaitTermination()
+    assert [(r.card_id, r.duplicates) for r in keyed.current(spark, target).collect()] == [("c1", 2)]
+    seen = keyed.current(spark, target).drop("duplicates")
+    fresh = tmp_path / "fresh"
+    fresh.mkdir()
+    (fresh / "four.json").write_text(json.dumps(lesser))
+    intake.intake(spark, str(fresh), str(tmp_path / "again"), str(tmp_path / "ck3"), seen).awaitTermination()
+    assert [(r.card_id, r.duplicates) for r in keyed.current(spark, str(tmp_path / "again")).collect()] == [("c1", 1)]
+
+
+def test_each_comment_is_said_once(spark, tmp_path):
+    folder, out = tmp_path / "said", str(tmp_path / "out")
+    for n, markers in enumerate((["a", "b", "a", None], ["b", "c"], ["a", "d"])):
+        spark.createDataFrame([(m, f"t{n}") for m in markers], "marker string, text string").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("marker string, text string").parquet(str(folder))
+        keyed.say_once(stream, out, str(tmp_path / f"ck{n // 2}")).awaitTermination()  # the last turn has a new checkpoint and reads all again
+    assert sorted((r.marker, r.text) for r in keyed.said(spark, out).collect()) == [("a", "t0"), ("b", "t0"), ("c", "t1"), ("d", "t2")]
 
 
 def test_windowed_counts_of_a_stream(spark, tmp_path):
