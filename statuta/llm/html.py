@@ -215,7 +215,8 @@ def templates(pages: DataFrame, reach: float = 0.2) -> DataFrame:
     tokens = pages.mapInArrow(_occurrences, TOKENS)
     summed = written(tokens.groupBy("host", "kind", "path").agg(
         # Written, since two aggregations read it and pages are read only once for both.
-        F.sum("vector").alias("vector"), F.count("*").alias("on_pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("role").alias("role"), F.max("role").alias("role_high")
+        # The entries' halves are summed apart: 2^41 pages of a host fit 64 bits.
+        F.struct(F.sum(F.col("vector").bitwiseAND(F.lit((1 << 22) - 1))).alias("low"), F.sum(F.shiftright("vector", 22)).alias("high")).alias("vector"), F.count("*").alias("on_pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("role").alias("role"), F.max("role").alias("role_high")
     ))
     is_page = F.col("kind") == PAGE
     sizes = summed.groupBy("host").agg(
