@@ -407,7 +407,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unique_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with their text's two hashes, and (ka, kb, doc_id, text) of each text at its smallest id."""
-    rows = corpus(docs).withColumn("ka", F.xxhash64("text")).withColumn("kb", F.xxhash64("text", F.lit(1)))
+    rows = corpus(docs).withColumn("ka", F.xxhash64("text")).withColumn("kb", F.xxhash64(F.lit(1), F.col("text")))
     unique = rows.groupBy(*TEXT).agg(F.min(F.struct("doc_id", "text")).alias("first")).select(*TEXT, "first.doc_id", "first.text")
     return rows, unique
 
@@ -458,7 +458,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows, unique = unique_texts(docs)
     done = cleaned_texts(rows, unique).select(*TEXT, "first_id", "kept")
     size = F.octet_length("text")
-    keyed = wrapped(docs, "text", "n_chars").select("doc_id", F.xxhash64("text").alias("ka"), F.xxhash64("text", F.lit(1)).alias("kb"), size.alias("n_bytes"), F.when(size < LENGTH, F.col("text")).alias("short"), "row")
+    keyed = wrapped(docs, "text", "n_chars").select("doc_id", F.xxhash64("text").alias("ka"), F.xxhash64(F.lit(1), F.col("text")).alias("kb"), size.alias("n_bytes"), F.when(size < LENGTH, F.col("text")).alias("short"), "row")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     left = keyed.join(done, TEXT).withColumn("left", F.when(copy, F.coalesce("short", F.lit(""))).otherwise(F.col("kept")))
     return unwrapped(left.where("n_bytes = 0 or left <> ''"), docs.columns, text=F.col("left"), n_chars=F.length("left").cast("long"))
