@@ -14,29 +14,6 @@ def with_existence(ops: DataFrame, sections: DataFrame) -> DataFrame:
     return ops.join(known, ["title", "section"], "left").withColumn("section_exists", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def best_section(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, title, section, score): for each query (query_id, title, query) the section of its title
-    whose heading fits best: 12 for every shared token occurrence, min(5, length / 2) for each shared
-    token, 20 if one text holds the other. Without any overlap the title's first section that isn't
-    reserved, at 0. Ties go to the earlier section (ord).
-
-    Tokens are counted on both sides before the join, so it is an equi join on (title, token).
-    """
-    live = sections.where("not reserved")
-    heading = live.select("title", "section", "ord", F.lower("heading").alias("heading"), F.explode(T.tokenize(F.col("heading"))).alias("token")).groupBy("title", "section", "ord", "heading", "token").agg(F.count("*").alias("n_heading"))
-    asked = queries.select("query_id", "title", F.lower("query").alias("query"), F.explode(T.tokenize(F.col("query"))).alias("token")).groupBy("query_id", "title", "query", "token").agg(F.count("*").alias("n_query"))
-    shared = asked.join(heading, ["title", "token"])
-    holds = F.col("query").contains(F.col("heading")) | F.col("heading").contains(F.col("query"))
-    scored = shared.groupBy("query_id", "title", "section", "ord").agg(
-        (F.sum(F.least("n_query", "n_heading")) * 12 + F.sum(F.least(F.lit(5.0), F.length("token") / 2)) + F.max(F.when(holds, 20).otherwise(0))).alias("score")
-    )
-    first = live.groupBy("title").agg(F.min(F.struct("ord", "section")).alias("first"))
-    fallback = queries.join(first, "title").select("query_id", "title", "first.section", "first.ord", F.lit(0.0).alias("score"))
-    every = scored.unionByName(fallback)
-    best = every.groupBy("query_id", "title").agg(F.max(F.struct("score", (-F.col("ord")).alias("early"), "section")).alias("best"))
-    return best.select("query_id", "title", "best.section", "best.score")
-
-
 def resolve_section(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     """(want_id, title, asked, section): the section asked for, or without its last `-part`s one after
     another, in the spelling the statute book has; null where none is known."""
@@ -121,17 +98,3 @@ def neighbours(sections: DataFrame, by: str, order: str, key: str) -> DataFrame:
     """Adds prev_key and next_key within `by` in document order."""
     w = Window.partitionBy(by).orderBy(order)
     return sections.withColumns({"prev_key": F.lag(key).over(w), "next_key": F.lead(key).over(w)})
-
-
-def choose_anchor(laws: DataFrame, cited: DataFrame, sections: DataFrame, general_title: int = 1) -> DataFrame:
-    """(law_id, title, section, cited): where a law's note belongs. The existing section it cites most, of
-    equals the one cited first; failing that the first live section of the general title. cited: (law_id,
-    title, section, ord); subject matches are a further source of rows for it, in their own order."""
-    known = sections.select("title", "section").distinct()
-    counts = cited.join(known, ["title", "section"]).groupBy("law_id", "title", "section").agg(F.count("*").alias("cited"), F.min("ord").alias("_first"))
-    w = Window.partitionBy("law_id").orderBy(F.col("cited").desc(), "_first", "title", "section")
-    best = counts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_first")
-    first = sections.where((F.col("title") == general_title) & ~F.col("reserved")).agg(F.min(F.struct("ord", "title", "section")).alias("f")).select(F.col("f.title").alias("t"), F.col("f.section").alias("s"))
-    # One row at most: the fallback is the same for every law.
-    placed = laws.join(best, "law_id", "left").join(F.broadcast(first), how="left")
-    return placed.select("law_id", F.coalesce("title", "t").alias("title"), F.coalesce("section", "s").alias("section"), F.coalesce("cited", F.lit(0)).alias("cited"))

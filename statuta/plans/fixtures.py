@@ -185,6 +185,11 @@ select p_partkey as act_id, p_partkey % 5 as variant,
     when 2 then concat('(h) y', chr(10), chr(10), '(i) one', chr(10), chr(10), '(ii) two', chr(10), chr(10), '(i) ', p_name)
     when 3 then concat('(a) x', chr(10), chr(10), '(1) y', chr(10), chr(10), '(A) z', chr(10), chr(10), '(i) r', chr(10), chr(10), '(I) R', chr(10), chr(10), '(II) S', chr(10), chr(10), '(B) t', chr(10), chr(10), '(2) ', p_name)
     else '' end as text
+from {part}""",
+    "petitions": """
+select p_partkey as law_id, case when p_partkey % 3 = 0 then p_name else 'An Act' end as name,
+       concat('On every ', lower(p_type), ' ', p_name, ' and bolt. ', case when p_partkey % 5 = 0 then concat('Section ', cast(p_partkey as varchar(20)), ' of title ', cast(p_size as varchar(20)), ' and Section ', cast(p_partkey as varchar(20)), ' of title ', cast(p_size as varchar(20)), ' and Section 1 of title 1.')
+         when p_partkey % 5 = 1 then 'Section 99999999 of title 2 stays.' when p_partkey % 5 = 2 and p_partkey % 2 = 0 then 'A rule for promo and economy goods.' else 'No section is named.' end) as text
 from {part}""",
     "configs": """
 select p_partkey as config_id, case when p_partkey % 13 = 0 then 'not a configuration' else concat(chr(123), '"', lower(p_type), '": ', chr(123), '"titles": [', cast(p_size as varchar(20)), case when p_size % 2 = 0 then ', 54' else '' end, ']',

@@ -140,22 +140,6 @@ def jn1_section_exists(enactments, sections):
     return match.with_existence(extract.citations(enactments, "doc_key", "text"), sections).select("doc_key", "title", "section", "section_exists")
 
 
-_TOKENS = "list_filter(regexp_extract_all(lower(%s), '[a-z][a-z0-9''-]{2,}'), lambda w: w not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
-_BEST = f"""with live as (select title, section, cast(section as bigint) as ord, lower(heading) as heading, unnest({_TOKENS % 'heading'}) as token from {{sections}} where not reserved),
- h as (select title, section, ord, heading, token, count(*) as nh from live group by all),
- asked as (select query_id, title, query, token, count(*) as nq from (select identifier as query_id, title, lower(heading) as query, unnest({_TOKENS % 'heading'}) as token from {{sections}}) group by all),
- scored as (select query_id, asked.title, section, ord, sum(least(nq, nh)) * 12 + sum(least(5.0, length(token) / 2)) + max(case when contains(query, heading) or contains(heading, query) then 20 else 0 end) as score from asked join h using (title, token) group by query_id, asked.title, section, ord),
- fallback as (select identifier as query_id, s.title, f.section, f.ord, 0.0 as score from {{sections}} s join (select title, min(cast(section as bigint)) as ord, arg_min(section, cast(section as bigint)) as section from {{sections}} where not reserved group by title) f on s.title = f.title)
- select query_id, title, section, cast(score as double) as score from (select *, row_number() over (partition by query_id, title order by score desc, ord) as r from (select * from scored union all select * from fallback)) where r = 1"""
-
-
-@query(_BEST)
-def jn2_best_section(sections):
-    ordered = sections.withColumn("ord", F.col("section").cast("long"))
-    asked = sections.select(F.col("identifier").alias("query_id"), "title", F.col("heading").alias("query"))
-    return match.best_section(asked, ordered)
-
-
 _EDGES = r"""select law_id as source, 'PL-' || lpad(c, 3, '0') || '-' || lpad(n, 3, '0') as target from (select law_id, regexp_extract(text, 'Public Law (\d+)-(\d+)', 1) as c, regexp_extract(text, 'Public Law (\d+)-(\d+)', 2) as n from {enactments}) where c <> '' group by all"""
 
 

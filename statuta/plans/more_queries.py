@@ -303,13 +303,3 @@ def pl28_index_gate(sections):
 @query("select law_id, ord, number from (select law_id, ord, row_number() over (order by law_id, ord) as number from {reviews} where status = 'valid')")
 def pl3_plan_numbers(reviews):
     return ledger.numbered(reviews.where("status = 'valid'"), "law_id", ["ord"]).select("law_id", "ord", "number")
-
-
-@query(r"""with c as (select law_id, cast(regexp_extract(text, 'title ([0-9]+)', 1) as int) as title, regexp_extract(text, 'Section ([0-9]+)', 1) as section, doc_key * 10 + seq as ord from {enactments}),
- n as (select law_id, c.title, c.section, count(*) as n, min(ord) as first from c join {sections} s on s.title = c.title and s.section = c.section group by all)
- select l.law_id, coalesce(b.title, f.title) as title, coalesce(b.section, f.section) as section, coalesce(b.n, 0) as cited from (select distinct law_id from {enactments}) l
- left join (select * from n qualify row_number() over (partition by law_id order by n desc, first, title, section) = 1) b on l.law_id = b.law_id
- cross join (select title, section from {sections} where title = 1 and not reserved order by cast(section as bigint) limit 1) f""")
-def jn3_choose_anchor(enactments, sections):
-    cited = enactments.select("law_id", F.regexp_extract("text", "title ([0-9]+)", 1).cast("int").alias("title"), F.regexp_extract("text", "Section ([0-9]+)", 1).alias("section"), (F.col("doc_key") * 10 + F.col("seq")).alias("ord"))
-    return match.choose_anchor(enactments.select("law_id").distinct(), cited, sections.withColumn("ord", F.col("section").cast("long")))

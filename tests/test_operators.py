@@ -105,12 +105,6 @@ def test_overrides_need_a_later_active_law(spark):
     assert [tuple(r) for r in match.overrides(edges, laws).collect()] == [("PL-009-001", "PL-010-001")]
 
 
-def test_best_section_falls_back_to_the_first(spark):
-    sections = spark.createDataFrame([(1, "1", 1, "Reserved words", True), (1, "2", 2, "Fair pay rules", False), (1, "3", 3, "Crop aid", False)], "title int, section string, ord long, heading string, reserved boolean")
-    asked = spark.createDataFrame([("a", 1, "crop insurance"), ("b", 1, "zzz"), ("c", 2, "crop")], "query_id string, title int, query string")
-    assert {r.query_id: r.section for r in match.best_section(asked, sections).collect()} == {"a": "3", "b": "2"}
-
-
 def test_strike_needs_exactly_one_place(spark):
     sections = spark.createDataFrame([("s1", "red and blue"), ("s2", "red red"), ("s3", "x")], "identifier string, body string")
     ops = spark.createDataFrame([("s1", 1, "red", "green"), ("s1", 2, "green", "grey"), ("s2", 1, "red", "green")], "identifier string, ord long, old_text string, new_text string")
