@@ -5,7 +5,7 @@ All are built-in expressions. `\\s` is ASCII in Spark's regular expressions, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no subject.
@@ -234,3 +234,33 @@ def friendly_status(c: Column) -> Column:
 
 def valid_node_id(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z_][A-Za-z0-9_.-]*$") & ~c.endswith(".xml")
+
+
+def percent_encoded(c: Column, safe: str = "") -> Column:
+    """Percent encoding of all but letters, digits, `_.-~` and the characters of `safe`."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, sign in (("%7E", "~"), *((f"%{ord(s):02X}", s) for s in safe)):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return F.replace(out, F.lit("*"), F.lit("%2A")) if "*" not in safe else out
+
+
+def make_target(title: Column, section: Column, rest: Column, repealed: Column, identifier: Column, inferred: Column | None = None) -> Column:
+    """(identifier, title, section, citation, href, historical, inferred) of a place in the Code. A title loses its leading zeros; without a section the
+    whole title is meant. Only a section of a law in force has a link, with the pinpoint where its identifier is known."""
+    number = F.coalesce(F.nullif(F.ltrim(title, F.lit("0")), F.lit("")), F.when(title != "", F.lit("0")), title)
+    part, more = F.nullif(F.trim(section), F.lit("")), F.coalesce(rest, F.lit(""))
+    pinpoint = F.array_join(F.transform(F.filter(F.split(more, "/"), lambda p: p != ""), lambda p: F.concat(F.lit("("), p, F.lit(")"))), "")
+    named, gone = F.nullif(identifier, F.lit("")), F.coalesce(repealed, F.lit(False))
+    query = F.when(named.isNotNull() & (more != ""), F.concat(F.lit("?p="), percent_encoded(named))).otherwise("")
+    link = F.concat(F.lit("cite/"), percent_encoded(number, "/"), F.lit("/"), percent_encoded(part, "/"), F.lit("/"), query)
+    return F.struct(
+        F.coalesce(named, F.concat(F.lit("/us/usc/t"), number, F.coalesce(F.concat(F.lit("/s"), part, more), F.lit("")))).alias("identifier"), number.alias("title"), part.alias("section"),
+        F.when(part.isNotNull(), F.concat(number, F.lit(" U.S.C. § "), part, pinpoint)).otherwise(F.concat(F.lit("Title "), number, F.lit(", United States Code (title-wide material)"))).alias("citation"),
+        F.when(part.isNotNull() & ~gone, link).alias("href"), gone.alias("historical"), (inferred if inferred is not None else F.lit(False)).alias("inferred"),
+    )
+
+
+def stamp_defaults(reports: DataFrame, reviewer: Column, manifest: Column, output: Column, also: list[str]) -> DataFrame:
+    """Reports with reviewer, source_manifest and output_path as given, and `reviewed_against` where it is empty: the manifest and `also`."""
+    kept = F.when(F.size("reviewed_against") > 0, F.col("reviewed_against")).otherwise(F.array(manifest, *[F.lit(x) for x in also]))
+    return reports.withColumns({"reviewer": reviewer, "source_manifest": manifest, "output_path": output, "reviewed_against": kept})

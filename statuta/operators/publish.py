@@ -50,20 +50,6 @@ def lookup(sections: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(asked, ["title", "key"], "left_semi").select("identifier", "heading")
 
 
-def source_score(text: Column, phrases: dict[str, int]) -> Column:
-    """How much a text looks like an enactment's full source: length, phrases, no login page, variety."""
-    low = F.lower(text)
-    out = F.when(F.length(text) >= 500, 10).when(F.length(text) >= 180, 4).otherwise(-12)
-    for phrase, points in phrases.items():
-        out = out + F.when(low.contains(phrase), points).otherwise(0)
-    out = out - F.when(low.contains("sign in") | low.contains("access denied"), 60).otherwise(0)
-    return out - F.when(F.size(F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))) < 20, 20).otherwise(0)
-
-
-def usable(characters: Column, score: Column, identity: Column) -> Column:
-    return (characters >= 120) & (score >= 8) & (identity | (score >= 45))
-
-
 def unambiguous(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys no other row has."""
     w = Window.partitionBy(*keys)

@@ -191,6 +191,24 @@ select p_partkey as law_id, case when p_partkey % 3 = 0 then p_name else 'An Act
        concat('On every ', lower(p_type), ' ', p_name, ' and bolt. ', case when p_partkey % 5 = 0 then concat('Section ', cast(p_partkey as varchar(20)), ' of title ', cast(p_size as varchar(20)), ' and Section ', cast(p_partkey as varchar(20)), ' of title ', cast(p_size as varchar(20)), ' and Section 1 of title 1.')
          when p_partkey % 5 = 1 then 'Section 99999999 of title 2 stays.' when p_partkey % 5 = 2 and p_partkey % 2 = 0 then 'A rule for promo and economy goods.' else 'No section is named.' end) as text
 from {part}""",
+    "sourced": """
+select concat('PL-', cast(p_partkey as varchar(20))) as law_id, 1 + p_partkey % 50 as congress, p_partkey as number, concat(p_name, ' keeping act on every ', lower(p_type), ' ', p_name) as title, case when p_partkey % 9 = 0 then 'repealed' else 'active' end as status,
+  concat('https://example.test/c/', cast(p_partkey as varchar(20))) as url, p_partkey % 8 as variant,
+  case p_partkey % 8 when 0 then 'A note.' when 1 then concat('Public Law ', cast(1 + p_partkey % 50 as varchar(20)), '-', cast(p_partkey as varchar(20)), '. Be it enacted, that the office shall keep a list, and that each maker shall send it one in a month.')
+    when 2 then concat('SEC. 1. SHORT TITLE. The ', p_name, ' act.', chr(10), 'SEC. 2. Effective date. ', repeat('An office keeps all lists of items that its makers and sellers send in each month of the year. ', 6))
+    when 3 then repeat('A synopsis of what the act on every item would do for makers and sellers in the coming years. ', 3) when 4 then 'Access denied. Please sign in to read this page, as it is not open to the public, and javascript is disabled in your browser at this time.'
+    when 5 then repeat('word ', 60) when 6 then concat('PL ', cast(1 + p_partkey % 50 as varchar(20)), '-', cast(p_partkey as varchar(20)), ' ', repeat('Section 1 of the United States Code on which all offices rely for lists of makers and sellers and what they send. ', 5))
+    else concat('Be it enacted. ', repeat('There is established an office of lists that makers, sellers, agents and others may not leave out or alter in any way at all. ', 3)) end as description
+from {part}""",
+    "alternates": """
+select concat('PL-', cast(p_partkey as varchar(20))) as law_id, concat('d', cast(p_partkey as varchar(20))) as card_id, case when p_partkey % 4 = 0 then null else concat('Old ', p_name) end as card_name, 'https://example.test/d' as url,
+  case when p_partkey % 3 = 0 then 'short' else concat('Be it enacted. Pub. L. ', cast(1 + p_partkey % 50 as varchar(20)), '-', cast(p_partkey as varchar(20)), ' on ', lower(p_type), '. ', repeat('The short title and the effective date of this act are kept by an office that shall print them for all who ask. ', 5)) end as description
+from {part} where p_partkey % 5 < 3""",
+    "papers": """
+select concat('PL-', cast(l_partkey as varchar(20))) as law_id, case l_linenumber % 4 when 0 then 'Enrolled final bill' when 1 then 'old draft' when 2 then 'Signed act' else 'veto message' end as name, concat('f', cast(l_linenumber as varchar(20)), '.txt') as file, 'https://example.test/a' as url,
+  case l_suppkey % 4 when 0 then concat('Public Law ', cast(1 + l_partkey % 50 as varchar(20)), '-', cast(l_partkey as varchar(20)), ' ', repeat('Section 1. Each office of this union keeps a record on every item that makers and sellers bring to it in a given year. ', 5))
+    when 1 then concat('On ', p_name, ' keeping. ', repeat('A law of general kind that offices and agents read, print and send to all who make or sell an item in the land. ', 4)) when 2 then 'sign in' else repeat('Nothing of note is said about the law here, only that it was once read aloud in a room by some member of the house. ', 2) end as text
+from {lineitem} join {part} on p_partkey = l_partkey where l_orderkey % 20 = 3""",
     "configs": """
 select p_partkey as config_id, case when p_partkey % 13 = 0 then 'not a configuration' else concat(chr(123), '"', lower(p_type), '": ', chr(123), '"titles": [', cast(p_size as varchar(20)), case when p_size % 2 = 0 then ', 54' else '' end, ']',
        case when p_size % 3 = 0 then concat(', "defaults": ["', cast(p_partkey as varchar(20)), '"]') else '' end, case when p_size % 5 = 0 then ', "non_code": true' else '' end,

@@ -23,17 +23,6 @@ def src11_ranked_sources(attachments):
     return attachments.withColumn("r", F.row_number().over(w)).where("r = 1").select("card_id", "url")
 
 
-@query("select doc_id, s.source, size_of, selected from (select doc_id, source, length(text) as size_of, row_number() over (partition by source order by length(text) desc, doc_id) = 1 as selected from {documents}) s")
-def wn2_select_source(documents):
-    w = Window.partitionBy("source").orderBy(F.length("text").desc(), "doc_id")
-    return documents.select("doc_id", "source", F.length("text").cast("long").alias("size_of"), (F.row_number().over(w) == 1).alias("selected"))
-
-
-@query("select doc_id, (case when length(text) >= 500 then 10 when length(text) >= 180 then 4 else -12 end) + (case when contains(lower(text), 'license') then 4 else 0 end) - (case when contains(lower(text), 'sign in') or contains(lower(text), 'access denied') then 60 else 0 end) - (case when v < 20 then 20 else 0 end) as score from (select doc_id, text, len(list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) as v from {documents})")
-def wn4_score_text(documents):
-    return documents.select("doc_id", publish.source_score(F.col("text"), {"license": 4}).alias("score"))
-
-
 @query("select law_id, count(*) as n, count(*) filter (where op = 0) as none from (select law_id, case when action_type = 'statutory_note' then 0 else 1 end as op from {actions}) group by law_id having count(*) > 1")
 def snk4_location_register(actions):
     out = actions.groupBy("law_id").agg(F.count("*").alias("n"), F.count_if(F.col("action_type") == "statutory_note").alias("none"))
@@ -236,12 +225,6 @@ def ex21_incorporated_locations(actions):
     return actions.where("action_type = 'amendment'").groupBy("law_id").agg(F.min("identifier").alias("incorporated"), F.countDistinct("identifier").alias("n"))
 
 
-@query("select doc_id, length(text) >= 120 and n >= 8 and (ident or n >= 45) as usable from (select doc_id, text, length(text) // 100 as n, contains(lower(text), ' the ') as ident from {documents})")
-def fl4_usable_candidate(documents):
-    n = F.floor(F.length("text") / 100)
-    return documents.select("doc_id", publish.usable(F.length("text"), n, F.lower("text").contains(" the ")).alias("usable"))
-
-
 @query("select node_id from {results} where starts_with(node_id, 'rp-0') group by node_id")
 def fl8_project_node(results):
     return results.where(F.col("node_id").startswith("rp-0")).select("node_id").distinct()
@@ -265,13 +248,6 @@ def so3_section_order(sections):
     return sections.select("title", "section").withColumn("place", F.row_number().over(w))
 
 
-@query("select origin, count(*) as n from (select 'description' as origin from {cards} where length(description) >= 60 union all select 'attachment' from (select distinct card_id, url from {attachments})) group by origin")
-def st1_candidate_pool(cards, attachments):
-    own = cards.where("length(description) >= 60").select(F.lit("description").alias("origin"))
-    added = attachments.select("card_id", "url").distinct().select(F.lit("attachment").alias("origin"))
-    return own.unionByName(added).groupBy("origin").agg(F.count("*").alias("n"))
-
-
 @query("select distinct law_id, identifier from {actions}")
 def st4_distinct_targets(actions):
     return actions.select("law_id", "identifier").distinct()
