@@ -201,10 +201,21 @@ def snippet(c: Column, at: Column, length: Column, around: int = 160) -> Column:
 
 
 def heading_body_split(c: Column, fallback: str) -> Column:
-    first = F.trim(F.substring_index(c, "\n", 1))
-    rest = F.trim(F.substring(c, F.length(F.substring_index(c, "\n", 1)) + 2, F.length(c)))
-    heading = first.rlike(r"(?i)^(§|SEC)") | ((F.length(first) < 160) & ~first.rlike(r"^\([A-Za-z0-9]+\)"))
-    return F.struct(F.when(heading, first).otherwise(fallback).alias("heading"), F.when(heading, rest).otherwise(F.trim(c)).alias("body"))
+    """(heading, body) of a block without the quotes around it: the rest of a line that begins with a section's number, else a first line of under 160
+    characters that opens no subsection, else the fallback and all of it."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    numbered = r"(?is)^\s*(?:§+|SEC(?:TION)?\.?)\s*[0-9A-Za-z.-]+\s*[.\-—:]\s*([^\n]+)\n?(.*)$"
+
+    def split(clean: Column) -> Column:
+        first = F.regexp_extract(clean, r"^[^\r\n]*", 0)
+        rest = strip(F.regexp_replace(F.substring(clean, F.length(first) + 1, F.length(clean)), r"\r\n?", "\n"))
+        trimmed = lambda x: F.btrim(x, F.lit(" .—-"))
+        line = (clean != "") & (F.length(first) < 160) & ~first.rlike(r"^\s*\([a-zA-Z0-9]+\)")
+        named = clean.rlike(numbered)
+        heading = F.when(named, trimmed(strip(F.regexp_extract(clean, numbered, 1)))).when(line, trimmed(first)).otherwise(fallback)
+        return F.struct(heading.alias("heading"), F.when(named, strip(F.regexp_extract(clean, numbered, 2))).when(line, rest).otherwise(clean).alias("body"))
+
+    return bound(F.btrim(strip(clean_xml_text(F.coalesce(c, F.lit("")))), F.lit('"“”')), split)
 
 
 def excerpt(c: Column, limit: int = 420) -> Column:

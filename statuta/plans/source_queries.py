@@ -96,3 +96,28 @@ def fn34_stamp_defaults(reports):
     against = F.when(F.col("idx") % 3 == 0, F.array(F.lit("kept"))).when(F.col("idx") % 3 == 1, F.array().cast("array<string>"))
     out = T.stamp_defaults(reports.select("idx", against.alias("reviewed_against")), F.concat(F.lit("reviewer "), (F.col("idx") % 4).cast("string")), name("manifest-"), name("review-"), ["validation", "main"])
     return out.withColumn("reviewed_against", F.array_join("reviewed_against", ","))
+
+
+@query("""select p_partkey as block_id, case p_partkey % 5 when 0 then p_name when 1 then p_name when 2 then 'On ' || p_name when 3 then 'Text' else 'Text' end as heading,
+ case p_partkey % 5 when 0 then lower(p_type) || chr(10) || 'more' when 1 then lower(p_type) when 2 then lower(p_type) when 3 then '(a) ' || p_name || chr(10) || lower(p_type) else '' end as body from {part}""")
+def fn32_heading_body_split(part):
+    k, name, kind, nl = F.col("p_partkey"), F.col("p_name"), F.lower("p_type"), F.lit("\n")
+    block = (
+        F.when(k % 5 == 0, F.concat(F.lit("“SEC. "), k.cast("string"), F.lit(". "), name, F.lit(".—"), nl, kind, nl, F.lit("more”"))).when(k % 5 == 1, F.concat(F.lit("  §§ 4a-1: "), name, nl, kind, nl))
+        .when(k % 5 == 2, F.concat(F.lit("On "), name, F.lit("."), nl, nl, kind)).when(k % 5 == 3, F.concat(F.lit("(a) "), name, nl, kind)).otherwise("")
+    )
+    return part.select(k.alias("block_id"), T.heading_body_split(block, "Text").alias("x")).select("block_id", "x.heading", "x.body")
+
+
+@query("select p_partkey as file_id, p_name || chr(10) || lower(p_type) || '  ' || p_brand as said from {part}")
+def fn13_rtf_to_text(part):
+    rtf = F.concat(F.lit("{\\rtf1\\ansi {\\b "), "p_name", F.lit("}\\par"), F.lower("p_type"), F.lit("\\'e9 "), "p_brand", F.lit("\\fs-24 }"))
+    # A control word ends where its letters do, so that the text follows at once.
+    return part.select(F.col("p_partkey").alias("file_id"), T.rtf_to_text(F.regexp_replace(rtf, "par([a-z])", "par{}$1")).alias("said"))
+
+
+@query("select action_id, identifier, case when ends_with(identifier, '/a/1') then 'a.1' else '' end as pin, identifier as back from {actions}")
+def fn24_pinpoints(actions):
+    base = F.regexp_extract("identifier", "^(/us/usc/t[^/]+/s[^/]+)", 1)
+    rows = actions.select("action_id", "identifier", T.pinpoint(F.col("identifier")).alias("pin"), base.alias("base"))
+    return rows.select("action_id", "identifier", "pin", T.pinpoint_absolute(F.col("base"), F.col("pin")).alias("back"))

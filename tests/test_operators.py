@@ -33,7 +33,8 @@ def test_text_functions(spark):
     assert tuple(one(spark, T.route(F.col("a")), a="https://x.test/cite/42/1983/?p=b")) == ("42", "1983", "b")
     assert tuple(one(spark, T.route(F.col("a")), a="https://x.test/")) == (None, None, None)
     assert one(spark, T.section_label(F.col("a")), a="[§ 101.") == "101"
-    assert tuple(one(spark, T.heading_body_split(F.col("a"), "Text"), a="SEC. 2. Pay\nBody")) == ("SEC. 2. Pay", "Body")
+    assert tuple(one(spark, T.heading_body_split(F.col("a"), "Text"), a="“SEC. 2. Pay.—\nBody\nmore ”")) == ("Pay", "Body\nmore")
+    assert tuple(one(spark, T.heading_body_split(F.col("a"), "Text"), a="A title.\r\nBody")) == ("A title", "Body") and tuple(one(spark, T.heading_body_split(F.col("a"), "Text"), a="x" * 160)) == ("Text", "x" * 160)
     assert tuple(one(spark, T.heading_body_split(F.col("a"), "Text"), a="(a) Body")) == ("Text", "(a) Body")
     assert one(spark, T.file_kind(F.lit("x"), F.lit(""), F.col("a")), a="%PDF-1.7") == ".pdf"
     assert one(spark, T.file_kind(F.lit("x"), F.lit("text/html; charset=x"), F.col("a")), a="") == ".html"
