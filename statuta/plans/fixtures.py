@@ -237,6 +237,58 @@ union all
 select 'source', l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1,
        concat('p', cast(l_linenumber % 4 as varchar(20))), concat(l_returnflag, cast(l_linenumber as varchar(20)))
 from {lineitem}""",
+    "gate_keys": """
+select o_custkey % 6 as run_id, o_orderkey as k, case when o_custkey % 6 = 0 then 0 else o_orderkey end as d from {orders}""",
+    "gate_laws": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, case when d % 31 = 1 then '' else concat('r', cast(k % 40 as varchar(20)), '.json') end as report,
+       case when d % 37 = 2 then 'incomplete' else 'valid' end as report_status, case when d % 41 = 3 then 'missing target' else '' end as issues,
+       case when d % 43 = 4 then '' else 'active' end as status, case when d % 47 = 5 then cast(null as varchar(20)) else 'by date' end as chronology, case when d % 29 = 6 then '' else 'note' end as treatment, case when d % 23 = 7 then ' ' else 'keep' end as action,
+       case when d % 19 = 8 then '' else 'page 1' end as evidence, case when d % 53 = 9 then '' else 'same' end as comparison, case when d % 17 = 10 then '' else 'high' end as confidence,
+       case when k % 3 = 0 then 'title 28' else '' end as law_target, case when k % 4 = 0 then 'by command' else '' end as law_command
+from {gate_keys}""",
+    "gate_index": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, case when d % 29 = 3 then 'other.json' else concat('r', cast(k % 40 as varchar(20)), '.json') end as selected,
+       case when k % 7 = 1 and not d % 5 = 1 then 'early.json,late.json' else '' end as superseded
+from {gate_keys} where not d % 23 = 2
+union all select run_id, concat('L-', cast(k as varchar(20))), 'zz.json', '' from {gate_keys} where d % 101 = 50""",
+    "gate_candidates": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, 1 as group_index, concat('r', cast(k % 40 as varchar(20)), '.json') as report from {gate_keys}
+union all select run_id, concat('L-', cast(k as varchar(20))), 2, 'late.json' from {gate_keys} where k % 7 = 1""",
+    "gate_reports": """
+select run_id, concat('r', cast(k % 40 as varchar(20)), '.json') as report, 'full' as kind, case when d % 40 = 5 then 'incomplete' else 'valid' end as status
+from {gate_keys} where not d % 40 in (4, 17) group by 1, 2, 3, 4
+union all select run_id, concat('r', cast(k % 40 as varchar(20)), '.json'), 'canonical', case when k % 40 = 6 then 'incomplete' else 'valid' end from {gate_keys} where not d % 40 = 4 group by 1, 2, 3, 4""",
+    "gate_lines": """
+select run_id, k, cast(l_linenumber as varchar(20)) as ref, k * 7 + l_linenumber as v, case when run_id = 0 then 0 else k * 7 + l_linenumber end as e
+from {gate_keys} join {lineitem} on l_orderkey = k group by 1, 2, 3, 4, 5""",
+    "gate_provisions": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, ref, case v % 8 when 0 then 'direct-amendment' when 5 then 'repeal,short-title' when 6 then 'transfer' when 2 then 'short-title' when 3 then 'repeal' else '' end as classes,
+       case when e % 61 = 1 then '' else case v % 9 when 0 then 'Amend existing-text' when 1 then 'new-section' when 2 then 'statutory-note' when 3 then 'historical-note-only' when 4 then 'exclude-from-code' when 5 then 'repeal-marking' when 6 then 'transfer' when 7 then 'effective-date-note' else 'operative-text-required' end end as treatment,
+       case when e % 11 = 2 then '' else 's 1' end as target, case when e % 59 = 3 then '' else 'page 2' end as evidence, case when e % 13 = 4 then '' else 'strike' end as exact_change
+from {gate_lines}""",
+    "gate_plan": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, ref, 1 as ord, case when e % 53 = 5 then '' else concat('A-', cast(v as varchar(20))) end as action_id,
+       case when e % 47 = 6 then cast(null as varchar(60)) when e % 17 = 7 then 'amend existing text' else case v % 9 when 0 then 'amend existing text' when 1 then 'insert new section' when 2 then 'add statutory note' when 3 then 'add historical note' when 5 then 'repeal or remove project-added text' when 6 then 'transfer' when 7 then 'add historical note' else 'no Code action' end end as action_type,
+       case when e % 19 = 8 then '' else 'usc28.xml' end as file, case when e % 7 = 2 then '' else '/us/usc/t28/s1' end as identifier,
+       case when e % 10 = 9 then '' when e % 29 = 10 then 'Retain as repeal history only.' else 'strike and insert' end as command,
+       case when e % 31 = 11 then 'rp-1,/us/usc/t1/s1' when e % 31 = 12 then 'rp-2, ' when e % 31 = 13 then 'usc01.XML' when v % 2 = 0 then 'rp-3,rp-4' else '' end as node_ids
+from {gate_lines} where not e % 43 = 14
+union all select run_id, concat('L-', cast(k as varchar(20))), ref, 2, '', cast(null as varchar(60)), '', '', '', '/us/usc/t1' from {gate_lines} where e % 71 = 20""",
+    "gate_mappings": """
+select run_id, concat('L-', cast(k as varchar(20))) as law_id, ref, 1 as batch, v as idx from {gate_lines}
+union all select run_id, concat('L-', cast(k as varchar(20))), ref, 1, v from {gate_lines} where v % 3 = 0
+union all select run_id, concat('L-', cast(k as varchar(20))), ref, 2, v from {gate_lines} where run_id = 2 and v % 5 = 0""",
+    "gate_unresolved": """
+select run_id, case when k % 2 = 0 then 'law' else 'provision' end as kind from {gate_keys} where d % 50 = 7 or d % 50 = 8""",
+    "gate_stated": """
+select l.run_id, laws + case when l.run_id = 5 then 1 else 0 end as expected_laws, lines + case when l.run_id = 5 then 1 else 0 end as expected_provisions, lines + thirds + case when l.run_id = 4 then 1 else 0 end as expected_mappings,
+       laws as total_laws, case when l.run_id = 1 then cast(null as bigint) else laws end as reviewed_laws, case when l.run_id = 1 then cast(null as bigint) else laws end as audit_complete_laws,
+       case when l.run_id = 2 then cast(null as bigint) else laws - 3 end as primary_complete, case when l.run_id = 3 then 4 else 3 end as high_risk, case when l.run_id = 3 then cast(null as int) else 3 end as high_risk_reviewed,
+       case when l.run_id = 4 then laws - 1 else laws end as progress_total, laws - 3 as progress_completed,
+       case when l.run_id = 1 then 2 else 0 end as treatment_action_conflicts, case when l.run_id = 2 then 1 else 0 end as invalid_node_identifiers, case when l.run_id = 3 then cast(null as int) else 0 end as executables_without_target, case when l.run_id = 4 then 1 else 0 end as executables_without_command,
+       case when l.run_id = 1 then 1 when l.run_id = 2 then cast(null as int) else 0 end as controlling_invalid_reports, case when l.run_id = 2 then 1 else 0 end as controlling_laws_with_issues, case when l.run_id = 3 then 1 else 0 end as controlling_provisions_with_issues,
+       case when l.run_id = 2 then lines else lines + thirds end as source_provisions, lines as consolidated_provisions, case when l.run_id = 5 then 1 else 0 end as actions_without_target
+from (select run_id, count(*) as laws from {gate_keys} group by run_id) l join (select run_id, count(*) as lines, sum(case when v % 3 = 0 then 1 else 0 end) as thirds from {gate_lines} group by run_id) p on l.run_id = p.run_id""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -245,6 +297,15 @@ def names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+def derived(sql: str) -> list[str]:
+    """The derived tables that a text needs, each after those it is made of."""
+    out: list[str] = []
+    for n in names(sql):
+        if n in FIXTURES:
+            out += [m for m in [*derived(FIXTURES[n]), n] if m not in out]
+    return out
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one."""
     if name in TABLES:
@@ -255,7 +316,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(sql: str) -> str:
     """The DuckDB text of a query that refers to derived tables as {name}."""
-    used = [n for n in names(sql) if n in FIXTURES]
+    used = derived(sql)
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
     if not used:
         return plain(sql)

@@ -391,11 +391,6 @@ def pl1_classify_laws(acts, sections):
     return classify.classify(acts.select("law_id", "name", "text", "status", "incorporated"), sections, chapters, "name")
 
 
-@query("select rule, cast(broken as bigint) as broken, broken = 0 as passed from (select unnest(['has evidence', 'known type', 'valid target']) as rule, unnest([sum(case when evidence <> '' then 0 else 1 end), sum(case when action_type in ('amendment', 'statutory_note', 'repeal') then 0 else 1 end), sum(case when starts_with(identifier, '/us/usc/t') then 0 else 1 end)]) as broken from {actions})")
-def pl23_ledger_gate(actions):
-    return checks.gate(actions, "action_id", {"has evidence": F.col("evidence") != "", "known type": F.col("action_type").isin("amendment", "statutory_note", "repeal"), "valid target": F.col("identifier").startswith("/us/usc/t")})
-
-
 @query("select doc_id, case when contains(lower(text), 'license') then 'license' when contains(lower(text), 'reserved') then 'reserved' end as token from {documents} where contains(lower(text), 'license') or contains(lower(text), 'reserved')")
 def pl26_artifact_scan(documents):
     return checks.forbidden(documents, "doc_id", "text", ["license", "reserved"])
