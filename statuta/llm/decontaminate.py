@@ -19,7 +19,9 @@ with it.
 3. The exact weighted-shingle similarity decides.
 
 The item side is broadcast if it has at most `BROADCAST_ROWS` rows, which is counted first; beyond it Spark
-chooses the join. What a document gathers are places of its own shingles.
+chooses the join. What a document gathers are places of its own shingles. Documents with enough of them are written
+with their words in blocks that overlap by a window; windows are rows that carry one block at most, and equal windows
+of a document share one fingerprint, so that a long text that repeats an item costs what one repetition does.
 
 Null and empty texts leak nothing, and an item without words is leaked by nothing. A null doc_id is a
 document like others; rows of one id give one result for each item. Empty tables give no rows.
@@ -32,11 +34,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import corpus, of_ids, table
+from .common import corpus, of_ids, table, written
 
 WIDTH, LEAST = 5, 0.8
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
 BROADCAST_ROWS = 4_000_000
+#: Windows that start in one block of words, unless an item is longer.
+BLOCK_WORDS = 1024
 _LANES = 0x0000000100000001
 
 
@@ -98,7 +102,8 @@ def item_table(items: DataFrame, item_col: str = "item_id", text_col: str = "tex
 
 
 def windows(docs: DataFrame, known: DataFrame, bounded, least: float) -> DataFrame:
-    """(doc_id, length, width, start, own): the words of the windows that may reach the threshold."""
+    """(doc_id, length, width, start, n_same, own): the words of the windows that may reach the threshold. Those of a
+    document with the same words are made once, at the first start."""
     widths = [r.width for r in known.select("width").distinct().collect()] or [WIDTH]  # WIDTH of them at most
     classes = known.select("length", "width", F.explode("item_shingles").alias("shingle")).distinct()
     rows = corpus(docs)
@@ -112,14 +117,33 @@ def windows(docs: DataFrame, known: DataFrame, bounded, least: float) -> DataFra
     whole = F.col("length") - F.col("width") + 1  # the item's shingles
     spots = found.groupBy(F.col("doc_id").alias("spot_id"), "length", "width").agg(F.sort_array(F.collect_set("at")).alias("hits")).where(F.size("hits") >= least * whole)
 
+    # Written, so that neither lambdas nor the two uses below make the words of a text again.
     met = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))).select("doc_id", "length", "width", "hits", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    met = written(met)
     sized = met.withColumn("n", F.least(F.col("length"), F.size("hashes"))).where("n >= width").withColumn("last", F.size("hashes") - F.col("n"))
     enough = sized.withColumn("k", F.ceil(least * (whole + F.col("n") - F.col("width") + 1) / (1 + least) - 1e-9).cast("int")).where("size(hits) >= k")
     inside = lambda i: (F.get("hits", i + F.col("k") - 1) <= F.get("hits", i) + F.col("n") - F.col("width")) & (F.get("hits", i) <= F.col("last"))
     at_hits = F.transform(F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("k")), inside), lambda i: F.get("hits", i))
     at_end = F.when(F.get("hits", F.size("hits") - F.col("k")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
-    cutouts = F.transform(F.array_union(at_hits, at_end), lambda s: F.struct(s.alias("start"), F.slice(F.col("hashes"), s + 1, F.col("n")).alias("own")))
-    return enough.select("doc_id", "length", "width", F.inline(cutouts))
+    begun = enough.select("doc_id", "length", "width", "n", "last", "hashes", F.xxhash64("hashes").alias("of_text"), F.array_union(at_hits, at_end).alias("starts")).where("size(starts) > 0")
+
+    # Words in blocks that overlap by a window, and starts as rows: a row holds a block, whatever the text's length.
+    step = F.greatest(F.col("n"), F.lit(BLOCK_WORDS))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.col("last") / step).cast("int")), lambda b: F.struct(b.alias("block"), F.slice(F.col("hashes"), b * step + 1, step + F.col("n") - 1).alias("words")))
+    key = F.struct("doc_id", "length", "width", "n", "of_text").alias("key")
+    kept = begun.select(key, "starts")
+    blocks_of = begun.select(key, F.inline(pieces))
+    base = F.col("block") * F.greatest(F.col("key.n"), F.lit(BLOCK_WORDS))
+    cutout = F.slice(F.col("words"), F.col("start") - base + 1, F.col("key.n"))
+    at = kept.select("key", F.explode("starts").alias("start")).withColumn("block", F.floor(F.col("start") / F.greatest(F.col("key.n"), F.lit(BLOCK_WORDS))).cast("int"))
+    grouped = at.groupBy("key", "block").agg(F.collect_set("start").alias("starts"))
+    named = blocks_of.join(grouped, ["key", "block"]).select("key", "block", "words", F.explode("starts").alias("start"))
+    # Windows of one document with the same words are one: its first, with their number.
+    one = named.select("key", "start", "block", F.xxhash64(cutout).alias("a"), F.xxhash64(F.lit(1), cutout).alias("b"))
+    first = one.groupBy("key", "a", "b").agg(F.min(F.struct("start", "block")).alias("first"), F.count_distinct("start").alias("n_same"))
+    firsts = first.groupBy("key", F.col("first.block").alias("block")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "n_same")).alias("starts"))
+    told = blocks_of.join(firsts, ["key", "block"]).select("key", "block", "words", F.inline("starts"))
+    return told.select("key.doc_id", "key.length", "key.width", "start", "n_same", cutout.alias("own"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -130,7 +154,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     size = known.agg(F.coalesce(F.sum(F.size("item_shingles") + BLOCKS * len(masks)), F.lit(0)).alias("n")).first()["n"]
     bounded = F.broadcast if size <= BROADCAST_ROWS else (lambda df: df)
     made = windows(docs, known, bounded, least)
-    prints = made.select("doc_id", "length", "start", F.size("own").alias("n_words"), shingle_array(F.col("own"), F.col("width")).alias("shingles"))
+    prints = made.select("doc_id", "length", "start", "n_same", F.size("own").alias("n_words"), shingle_array(F.col("own"), F.col("width")).alias("shingles"))
     prints = prints.withColumn("print", simhash(F.col("shingles")))
 
     near = F.array(*[F.lit(m) for m in masks])
@@ -142,11 +166,11 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     closeness = [F.bit_count(x.bitwiseXOR(y)) <= RADIUS // BLOCKS for x, y in zip(blocks(F.col("print")), blocks(F.col("item_print")), strict=True)]
     first = F.coalesce(*[F.when(near_by, F.lit(j)) for j, near_by in enumerate(closeness)])
     once = candidates.where(F.col("block") == first).join(bounded(known.select(F.col("item_id").alias("of_item"), "item_shingles")), F.col("item_id").eqNullSafe(F.col("of_item")))
-    scored = once.select("doc_id", "item_id", "start", "n_words", weighted_similarity(F.col("item_shingles"), F.col("shingles")).alias("similarity")).where(F.col("similarity") >= least)
+    scored = once.select("doc_id", "item_id", "start", "n_same", "n_words", weighted_similarity(F.col("item_shingles"), F.col("shingles")).alias("similarity")).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), "n_words")).alias("best")
     return (
         scored.groupBy("doc_id", "item_id")
-        .agg(best, F.countDistinct("start").alias("n_windows"))
+        .agg(best, F.sum("n_same").alias("n_windows"))
         .select("doc_id", "item_id", "best.similarity", (-F.col("best.at")).cast("long").alias("word_start"), F.col("best.n_words").cast("long").alias("n_words"), "n_windows")
     )
 
