@@ -237,6 +237,22 @@ union all
 select 'source', l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1,
        concat('p', cast(l_linenumber % 4 as varchar(20))), concat(l_returnflag, cast(l_linenumber as varchar(20)))
 from {lineitem}""",
+    "markup_parts": """
+select concat('usc', lpad(cast(p_size as varchar(20)), 2, '0'), '-', cast(p_partkey - p_partkey % 50 as varchar(20)), '.xml') as file, p_partkey as ord, p_size as title, p_name as heading,
+       case when p_partkey % 9 = 0 then cast(null as varchar(50)) else concat('/us/usc/t', cast(p_size as varchar(20)), '/s', cast(p_partkey as varchar(20))) end as identifier,
+       1 + p_partkey % 50 as c, 1 + p_partkey % 7 as n, case when p_partkey % 4 = 0 then 2 + p_partkey % 50 else 1 + p_partkey % 50 end as cited,
+       concat(cast(1 + p_partkey % 5 as varchar(20)), case when p_partkey % 2 = 0 then 'a' else 'A' end) as other,
+       p_partkey % 3 = 0 as noted, p_partkey % 3 = 1 as added, p_partkey % 5 = 0 as dump, p_partkey % 7 = 0 as linked, p_partkey % 6 = 0 as digested, p_partkey % 13 = 0 as inner_id, p_partkey % 2 = 0 as by_href, p_partkey % 12 <> 7 as by_name,
+       concat('https://board.example.test/c/', cast(p_partkey as varchar(20))) as link, lpad(cast(p_partkey as varchar(20)), 64, '0') as digest, p_partkey % 10 as tint
+from {part}""",
+    "markup_pieces": """
+select file, ord, concat('<section id="s', cast(ord as varchar(20)), '"', case when identifier is null then '' else concat(' identifier="', identifier, '"') end, '><num>', cast(ord as varchar(20)), '</num><heading>', heading, '</heading><content>See /us/usc/t', cast(title as varchar(20)), '/s', other, '. Of it.</content>',
+       case when noted then concat('<notes><note topic="x" id="rp-pl', lpad(cast(c as varchar(20)), 3, '0'), lpad(cast(n as varchar(20)), 3, '0'), '-codification"><heading>Pub. L. ', cast(cited as varchar(20)), case when by_href then '-' else '–' end, cast(n as varchar(20)), '. <i>', heading, '</i></heading><p><b>Status.</b> active ', cast(tint as varchar(20)), '</p>',
+              case when by_href then concat('<ref href="/us/pl/', cast(c as varchar(20)), '/', cast(n as varchar(20)), '">law</ref>') else '' end, case when dump then '<quotedContent>Whole text.</quotedContent>' else '' end, case when linked then concat('<p>', link, '</p>') else '' end,
+              case when digested then concat('<p>SHA-256 ', digest, '</p>') else '' end, case when inner_id then '<ref identifier="/us/usc/t1/s1"/>' else '' end, '</note></notes>') else '' end,
+       case when added then concat('<subsection id="rp-', cast(ord as varchar(20)), '"><p id="rp-', cast(ord as varchar(20)), '-a">Added', case when by_name then concat(' by Pub. L. ', cast(cited as varchar(20)), '-', cast(n as varchar(20))) else '' end, '.<br/></p>',
+              case when by_href then concat('<ref href="/us/pl/', cast(c as varchar(20)), '/', cast(n as varchar(20)), '"/>') else '' end, '</subsection>') else '' end, '</section>') as piece
+from {markup_parts}""",
     "gate_keys": """
 select o_custkey % 6 as run_id, o_orderkey as k, case when o_custkey % 6 = 0 then 0 else o_orderkey end as d from {orders}""",
     "gate_laws": """

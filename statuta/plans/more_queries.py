@@ -209,22 +209,12 @@ def ex20_nearest_preceding(conversations):
     return conversations.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
 
 
-@query("select title, key, arg_min(section, ord) as section from (select p_size as title, lower(p_brand) as key, p_brand as section, p_partkey as ord from {part}) group by title, key")
-def ex22_section_index(part):
-    return part.groupBy(F.col("p_size").alias("title"), F.lower("p_brand").alias("key")).agg(F.min_by("p_brand", "p_partkey").alias("section"))
-
-
 @query("select action_id, ord, title, section, count(*) as n from (select action_id, ord, regexp_extract(identifier, '^/us/usc/t([0-9A-Za-z]+)', 1) as title, regexp_extract(identifier, '^/us/usc/t[0-9A-Za-z]+/s([^/]+)', 1) as section from {actions}) group by all")
 def ex23_targets_from_action(actions):
     t, s = (F.regexp_extract("identifier", T.IDENTIFIER, i) for i in (1, 2))
     return actions.groupBy("action_id", "ord", t.alias("title"), s.alias("section")).agg(F.count("*").alias("n"))
 
 
-@query("select law_id, min(identifier) as incorporated, count(distinct identifier) as n from {actions} where action_type = 'amendment' group by law_id")
-def ex21_incorporated_locations(actions):
-    return actions.where("action_type = 'amendment'").groupBy("law_id").agg(F.min("identifier").alias("incorporated"), F.countDistinct("identifier").alias("n"))
-
-
 @query("select node_id from {results} where starts_with(node_id, 'rp-0') group by node_id")
 def fl8_project_node(results):
     return results.where(F.col("node_id").startswith("rp-0")).select("node_id").distinct()

@@ -204,7 +204,7 @@ def ex27_links(pages):
 
 
 @query(r"select law_id, count(*) as n from {enactments} where regexp_matches(text, 'Public Law 7-') group by law_id")
-def ex28_law_mentions(enactments):
+def ex28_mentions_in_texts(enactments):
     return enactments.where(F.col("text").rlike("Public Law 7-")).groupBy("law_id").agg(F.count("*").alias("n"))
 
 
