@@ -253,6 +253,40 @@ select file, ord, concat('<section id="s', cast(ord as varchar(20)), '"', case w
        case when added then concat('<subsection id="rp-', cast(ord as varchar(20)), '"><p id="rp-', cast(ord as varchar(20)), '-a">Added', case when by_name then concat(' by Pub. L. ', cast(cited as varchar(20)), '-', cast(n as varchar(20))) else '' end, '.<br/></p>',
               case when by_href then concat('<ref href="/us/pl/', cast(c as varchar(20)), '/', cast(n as varchar(20)), '"/>') else '' end, '</subsection>') else '' end, '</section>') as piece
 from {markup_parts}""",
+    "claim_keys": """
+select k, kind, v, concat('n', ks) as node, concat('/us/usc/t1/s', ks) as identifier, concat('rp-pl', lpad(ks, 6, '0'), '-codification') as note, concat('ACTION-', ks) as action_id,
+       concat('usc', case when kind = 0 and v = 3 or kind = 2 and v = 10 then concat('-own-', ks) else cast(k - k % 20 as varchar(20)) end, '.xml') as file,
+       concat('fresh wording shall govern every listed item under number', ks) as said
+from (select p_partkey as k, cast(p_partkey as varchar(20)) as ks, p_partkey % 4 as kind, (p_partkey - p_partkey % 4) / 4 % 25 as v from {part}) as p""",
+    "claim_before": """
+select file, k as ord, concat('<section id="s', cast(k as varchar(20)), '" identifier="', identifier, '"><p id="', node, '">old wording stands here</p></section>', case when kind = 2 and v = 10 then concat('<note id="', note, '">', said, '</note>') else '' end, chr(10)) as piece
+from {claim_keys}""",
+    "claim_after": """
+select file, k as ord, concat('<section id="s', cast(k as varchar(20)), '" identifier="', identifier, '"><p id="', node, '">', case when kind = 0 and v <> 3 then said else 'old wording stands here' end, '</p>', case when kind = 0 and v = 2 then concat('<q id="x', node, '"/>') else '' end, '</section>',
+       case when kind = 1 then concat('<section id="a', node, '" identifier="', identifier, 'A">', said, '</section>') else '' end,
+       case when kind = 2 then concat('<note id="', note, '">', said, case v when 4 then ' board.example' when 7 then ' manifest-7' when 8 then concat(' C:', chr(92), chr(92), 'work') when 9 then '<quotedContent origin="/us/pl/1/2">x</quotedContent>' else '' end, '</note>') else '' end,
+       case when kind = 2 and v = 11 then 'Authenticated statutory text was unavailable or the supplied attachment yielded only viewer' else '' end, chr(10)) as piece
+from {claim_keys}""",
+    "claim_plan": """
+select action_id, case kind when 0 then 'amend existing text' when 1 then 'insert new section' when 2 then 'add statutory note' else case when v = 1 then 'monitor' else 'no Code action' end end as action_type, case when kind = 2 then 'statutory_note' else 'plain' end as treatment,
+       case when kind = 1 then concat(identifier, 'A') else identifier end as identifier, case when kind = 2 then note else '' end as node_ids
+from {claim_keys} where not (kind = 0 and v = 24)""",
+    "claim_results": """
+select cast(k as bigint) as nr, action_id, case when kind = 3 or kind = 2 and v = 1 then 'documented-no-code-action' when kind = 2 and v = 6 then 'weird' when kind = 0 and v = 6 then 'done' when kind = 0 and v = 7 then 'blocked'
+              when kind = 0 and v between 8 and 11 then 'already-satisfied-with-baseline-proof' when kind = 0 and v between 18 and 21 then 'superseded-by-later-action' else 'applied' end as status,
+       case when v % 2 = 0 then concat('usc/', file) else file end as file,
+       case when kind = 1 and v = 1 then '/us/usc/t1' when kind = 1 and v = 4 then '' when kind = 1 then concat(identifier, 'A') when kind = 0 and v in (12, 21) then concat(identifier, 'Z') else identifier end as identifier,
+       case when kind = 1 then concat('a', node) when kind = 2 and v <> 10 then note when kind = 0 and v = 22 then concat('s', cast(k as varchar(20))) when kind = 0 and v = 23 then concat('gone', node) else '' end as added,
+       case when kind <> 0 or v between 8 and 11 or v between 18 and 21 then '' when v = 1 then concat('gone', node) when v = 2 then concat('x', node) else node end as changed,
+       case when kind = 0 and v = 4 then node when kind = 0 and v = 5 then concat('never', node) else '' end as removed,
+       case when kind = 0 and v = 13 or kind = 3 then '' when kind = 0 and v = 14 then 'unrelated phrases nobody wrote anywhere inside these files' when kind = 0 and v = 15 then concat('No operative text; ', said) else said end as said,
+       case when kind = 0 and v = 16 then cast(null as varchar(10)) else 'credit added' end as credit, case when kind = 0 and v = 17 then ' ' else 'note added' end as amendment,
+       case when kind = 1 and v = 2 then 'No TOC change' when kind = 1 and v = 3 then cast(null as varchar(10)) else 'entry added' end as contents, case when kind = 3 and v <> 2 then 'nothing to do' else '' end as explanation,
+       case when kind = 0 and v between 18 and 21 and v <> 19 then 'Superseded' else 'checked' end as validation, case when kind = 2 and v = 2 then 'rp-pl000000-codification' when kind = 2 and v % 2 = 1 then note else '' end as note_id,
+       case when kind = 2 and v = 3 then 'usc/other.xml' when kind = 2 then file else '' end as note_file, case when kind = 2 and v = 5 then 'unrelated phrases nobody wrote anywhere inside these files' else '' end as excerpt,
+       case when kind = 0 and v between 8 and 11 and v <> 9 then case when v = 11 then 'base0' else 'base1' end else '' end as proof_base, case when v = 10 then 'nowhere' else node end as proof_node, identifier as proof_identifier, concat('usc/', file) as proof_file,
+       case when kind = 0 and v between 18 and 21 and v <> 20 then 'told' else '' end as later
+from {claim_keys} where not (kind = 1 and v = 5)""",
     "gate_keys": """
 select o_custkey % 6 as run_id, o_orderkey as k, case when o_custkey % 6 = 0 then 0 else o_orderkey end as d from {orders}""",
     "gate_laws": """

@@ -255,12 +255,6 @@ def pl27_publication_gate(pages):
     return extract.links(pages).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select rule, cast(broken as bigint) as broken, broken = 0 as passed from (select unnest(['single result', 'own node', 'known status']) as rule, unnest([sum(case when n = 1 then 0 else 1 end), sum(case when starts_with(node, 'rp-') then 0 else 1 end), sum(case when status in ('applied', 'documented-no-code-action') then 0 else 1 end)]) as broken from (select action_id, count(*) as n, min(node_id) as node, min(result_status) as status from {results} group by action_id))")
-def pl24_result_gate(results):
-    one = results.groupBy("action_id").agg(F.count("*").alias("n"), F.min("node_id").alias("node"), F.min("result_status").alias("status"))
-    return checks.gate(one, "action_id", {"single result": F.col("n") == 1, "own node": F.col("node").startswith("rp-"), "known status": F.col("status").isin("applied", "documented-no-code-action")})
-
-
 @query("select count(*) as sections, count(distinct title) as titles, count(*) filter (where heading is null or heading = '') as unnamed, max(case when identifier = '/us/usc/t7/s1' then 1 else 0 end)::int as has_key from {sections}")
 def pl28_index_gate(sections):
     return sections.agg(F.count("*").alias("sections"), F.countDistinct("title").alias("titles"), F.count_if(F.coalesce("heading", F.lit("")) == "").alias("unnamed"), F.max((F.col("identifier") == "/us/usc/t7/s1").cast("int")).alias("has_key"))
