@@ -287,6 +287,20 @@ select cast(k as bigint) as nr, action_id, case when kind = 3 or kind = 2 and v
        case when kind = 0 and v between 8 and 11 and v <> 9 then case when v = 11 then 'base0' else 'base1' end else '' end as proof_base, case when v = 10 then 'nowhere' else node end as proof_node, identifier as proof_identifier, concat('usc/', file) as proof_file,
        case when kind = 0 and v between 18 and 21 and v <> 20 then 'told' else '' end as later
 from {claim_keys} where not (kind = 1 and v = 5)""",
+    "draft_requests": """
+select concat('P', cast(p_partkey as varchar(20))) as law_id, case when p_partkey % 3 = 0 then cast(null as varchar(10)) when p_partkey % 4 = 0 then 'other' else concat('sha', cast(p_partkey as varchar(20))) end as confirmed from {part}""",
+    "draft_plans": """
+select concat('P', cast(p_partkey as varchar(20))) as law_id, case when p_partkey % 7 = 0 then 'approved' else 'draft' end as status, case when p_partkey % 5 = 0 then ' ' else p_name end as summary, concat('sha', cast(p_partkey as varchar(20))) as source_sha256
+from {part} where p_partkey % 11 <> 0""",
+    "draft_operations": """
+select concat('P', cast(l_partkey as varchar(20))) as law_id, concat('/us/usc/t', cast(p_size as varchar(20)), '/s', cast(p_partkey as varchar(20)), case when l_linenumber = 6 then 'x' else '' end) as identifier
+from {lineitem} join {part} on p_partkey = l_partkey where l_partkey % 13 <> 0""",
+    "later_sections": """
+select case when cast(section as int) % 6 = 1 then concat(identifier, 'x') else identifier end as identifier, case when cast(section as int) % 4 = 1 then concat(body, ' Or not.') else body end as body from {sections}""",
+    "published_laws": """
+select concat('PL-', lpad(cast(c as varchar(20)), 3, '0'), '-', lpad(cast(n as varchar(20)), 3, '0')) as law_id, case when ord % 8 = 0 then 'No such title' else heading end as title, file,
+       case when ord % 5 = 0 then concat('gone-', cast(ord as varchar(20))) when ord % 3 = 1 then concat('rp-', cast(ord as varchar(20))) else concat('m', cast(ord as varchar(20))) end as marker, ord, ord % 3 = 1 and ord % 5 <> 0 as marked
+from {markup_parts}""",
     "gate_keys": """
 select o_custkey % 6 as run_id, o_orderkey as k, case when o_custkey % 6 = 0 then 0 else o_orderkey end as d from {orders}""",
     "gate_laws": """

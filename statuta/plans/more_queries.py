@@ -120,24 +120,12 @@ def pl18_finalize_nonexecutable(results):
     return results.select("action_id", out.alias("result_status")).distinct()
 
 
-@query("select identifier, case when sha256(body) = sha256(case when cast(section as bigint) % 3 = 0 then body || 'x' else body end) then 'approved' else 'draft' end as state from {sections}")
-def pl29_promote_plan(sections):
-    expected = sections.select("identifier", F.sha2(F.when(F.col("section").cast("long") % 3 == 0, F.concat("body", F.lit("x"))).otherwise(F.col("body")), 256).alias("expected"))
-    return sections.join(expected, "identifier").select("identifier", F.when(F.sha2("body", 256) == F.col("expected"), "approved").otherwise("draft").alias("state"))
-
-
 @query("select law_id, '[note:' || law_id || ':' || left(sha256(string_agg(distinct action_type, '|' order by action_type)), 12) || ']' as marker from {actions} group by law_id")
 def pl30_outbox_rows(actions):
     said = F.array_join(F.array_sort(F.collect_set("action_type")), "|")
     return actions.groupBy("law_id").agg(said.alias("said")).select("law_id", F.concat(F.lit("[note:"), "law_id", F.lit(":"), F.left(F.sha2("said", 256), F.lit(12)), F.lit("]")).alias("marker"))
 
 
-@query("select identifier from {sections} where not contains(body, 'another') ")
-def pl32_post_publish_check(sections):
-    marked = sections.where(F.col("body").contains("another")).select("identifier")
-    return sections.select("identifier").join(marked, "identifier", "left_anti")
-
-
 @query("select identifier, case when exists_ then 'ok' else 'missing' end as state from (select s.identifier, p.p_partkey is not null and p.p_partkey % 10 <> 0 as exists_ from {sections} s left join {part} p on s.section = cast(p.p_partkey as varchar))")
 def jn11_manifest_vs_files(sections, part):
     files = part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").cast("string").alias("section"), F.lit(True).alias("found"))
