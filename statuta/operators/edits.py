@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,10 @@ PREFIX = r"(?is)^([^.;]{0,300}?)\b(?:is|are)\s+(?:hereby\s+)?(?:amended|repealed
 PART_NAMED = r"(?i)^\s*\([A-Za-z0-9]+\)|\b(?:subsection|paragraph|subparagraph|clause|item)\b"
 RESTATED = r"(?is)\b(?:to\s+read|by\s+striking\s+.*?and\s+inserting)\s+as\s+follows\s*[:—-]"
 ADDED = r"(?is)\bby\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?(?:the\s+following|after\s+[^:]{1,300}\s+the\s+following)\s*[:—-]"
+#: How a match of each pattern begins: a character out of a set comes first, which the search skips to.
+TARGET_STARTS = (r"[sS\u017f](?i:ection)", r"\d\d?\s+[uU]")
+CHAPTER_STARTS = (r"[cC](?i:hapter)",)
+LAW_STARTS = (r"[pP](?i:ub|\.?l)",)
 STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
 #: Groups of verbs near a reference to another law.
 EDGE_VERBS = {"amend": "amend", "delay": "delay|postpone|suspend", "extend": "extend|reauthoriz", "repeal": "repeal", "revive": "reviv|reinstat|restor", "supersede": "supersed"}
@@ -39,14 +43,28 @@ EDGE_VERBS = {"amend": "amend", "delay": "delay|postpone|suspend", "extend": "ex
 SLICE_CHARS = 4_000_000
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: int, after: int) -> DataFrame:
-    """(id, start, raw, groups, before, after) of every match, with so many characters on either side."""
+def matches(text: str, pattern: re.Pattern, starts: Sequence[re.Pattern]) -> Iterator[re.Match]:
+    """What pattern.finditer gives, tried only where one of `starts` matches: every match, never an empty one, begins at such a place."""
+    if not starts:
+        yield from pattern.finditer(text)
+        return
+    ahead = [s.search(text) for s in starts]
+    while places := [m.start() for m in ahead if m]:
+        found = pattern.match(text, min(places))
+        if found:
+            yield found
+        at = found.end() if found else min(places) + 1
+        ahead = [m if m is None or m.start() >= at else s.search(text, at) for m, s in zip(ahead, starts, strict=True)]
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: int, after: int, starts: Sequence[str] = ()) -> DataFrame:
+    """(id, start, raw, groups, before, after) of every match, with so many characters on either side. starts: see `matches`."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, "start", "raw", "groups", "before", "after"]
     types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = re.compile(pattern)
+        compiled, firsts = re.compile(pattern), [re.compile(s) for s in starts]
         for batch in batches:
             at, rows, size = [], [], 0
 
@@ -55,7 +73,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: i
 
             for i, said in enumerate(batch.column(1)):
                 text = said.as_py() or ""
-                for m in compiled.finditer(text):
+                for m in matches(text, compiled, firsts):
                     at.append(i)
                     rows.append((m.start(), m[0], [g or "" for g in m.groups()], text[max(0, m.start() - before) : m.start()], text[m.end() : m.end() + after]))
                     size += before + after
@@ -68,17 +86,22 @@ def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: i
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start int, raw string, groups array<string>, before string, after string")
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row. Filters and projections that use an alias repeat its expression at every use, and those
+    within it again, which multiplies regular expressions; they don't reach through the rows of a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def until_next_section(text: Column, skip: int) -> Column:
     """The text up to the next section heading of the enactment after the first `skip` characters."""
-    at = F.regexp_instr(F.substring(text, skip + 1, 2**31 - 1), F.lit(NEXT_SECTION))
     # The heading's own leading line breaks count to the match, so the cut falls before them.
-    return F.when(at > 0, F.left(text, at + skip - 1)).otherwise(text)
+    return F.concat(F.left(text, F.lit(skip)), F.get(F.split(F.substring(text, skip + 1, 2**31 - 1), NEXT_SECTION, 2), F.lit(0)))
 
 
 def following(text: Column, pattern: str) -> Column:
-    """What comes after the first match, without white space and then quotes around it."""
-    at, found = F.regexp_instr(text, F.lit(pattern)), F.regexp_extract(text, pattern, 0)
-    return bare(F.substring(text, at + F.length(found), F.lit(2**31 - 1)))
+    """What comes after the first match, without white space and then quotes around it; all of a text without a match."""
+    parts = F.split(text, pattern, 2)
+    return bare(F.element_at(parts, -1))
 
 
 def bare(text: Column) -> Column:
@@ -94,11 +117,12 @@ def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFram
     """(id, title, section, chapter, heading, block, confidence): sections to be added to a chapter of the
     Code, the first of each (id, title, section). High where the chapter exists, the section doesn't and the
     block has 40 characters. A section number without the chapter's formula never counts."""
-    found = windows(docs, id_col, text_col, CHAPTER, 0, 12_000).withColumn("window", bare(until_next_section(F.col("after"), 120)))
-    rows = found.where(F.regexp_instr("window", F.lit(FIRST_LINE)) > 0).select(
-        id_col, "start", F.get("groups", F.lit(1)).cast("int").alias("title"), F.rtrim(F.regexp_extract("window", FIRST_LINE, 1), F.lit(".")).alias("section"),
-        F.get("groups", F.lit(0)).alias("chapter"), F.btrim(F.regexp_extract("window", FIRST_LINE, 2), F.lit(" .—-")).alias("heading"),
-        F.substring("window", F.regexp_instr("window", F.lit(FIRST_LINE)), F.lit(2**31 - 1)).alias("block"),
+    found = windows(docs, id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
+    found = once(once(found, window=bare(until_next_section(F.col("after"), 120))), at=F.regexp_instr("window", F.lit(FIRST_LINE)))
+    cut = once(found.where("at > 0").drop("after"), block=F.expr("substring(window, at, 2147483647)"))
+    rows = cut.select(
+        id_col, "start", F.get("groups", F.lit(1)).cast("int").alias("title"), F.rtrim(F.regexp_extract("block", FIRST_LINE, 1), F.lit(".")).alias("section"),
+        F.get("groups", F.lit(0)).alias("chapter"), F.btrim(F.regexp_extract("block", FIRST_LINE, 2), F.lit(" .—-")).alias("heading"), "block",
     )
     first = rows.groupBy(id_col, "title", "section").agg(F.min_by(F.struct("chapter", "heading", "block"), "start").alias("r")).select(id_col, "title", "section", "r.*")
     known = _known(first, sections).join(chapters.select("title", "chapter").distinct().withColumn("chapter_exists", F.lit(True)), ["title", "chapter"], "left")
@@ -110,15 +134,16 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, verb, subdivision, window): citations that are followed, within their
     sentence, by an order to amend or repeal. subdivision: a part of the section is named, in the citation or
     between it and the verb."""
-    found = windows(docs, id_col, text_col, TARGET, 0, 10_000)
+    found = windows(docs, id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS)
     g = lambda k: F.get("groups", F.lit(k))
-    rows = found.select(
+    cut = once(once(found, said=F.concat("raw", "after")).drop("after"), window=until_next_section(F.col("said"), 100)).drop("said")
+    near = once(cut, near=F.expr("left(substring(window, length(raw) + 1), 700)"))
+    told = once(near, verb=F.lower(F.regexp_extract("near", VERB, 1))).where("verb <> ''")
+    part = (F.concat(g(1), g(5)) != "") | F.regexp_extract("near", PREFIX, 1).rlike(PART_NAMED)
+    return told.select(
         id_col, "start", F.coalesce(F.nullif(g(2), F.lit("")), g(3)).cast("int").alias("title"), F.rtrim(F.concat(g(0), g(4)), F.lit(".,;:")).alias("section"),
-        F.concat(g(1), g(5)).alias("part"), "raw", until_next_section(F.concat("raw", "after"), 100).alias("window"),
+        "verb", part.alias("subdivision"), "window",
     )
-    after = F.expr("left(substring(window, length(raw) + 1), 700)")
-    part = (F.col("part") != "") | F.regexp_extract(after, PREFIX, 1).rlike(PART_NAMED)
-    return rows.withColumn("verb", F.lower(F.regexp_extract(after, VERB, 1))).where("verb <> ''").select(id_col, "start", "title", "section", "verb", part.alias("subdivision"), "window")
 
 
 def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame) -> DataFrame:
@@ -134,9 +159,9 @@ def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame)
         F.when((F.col("verb") == "repealed") & whole, "REPEAL_SECTION").when(F.col("verb") == "repealed", "REPEAL_PART")
         .when(whole & F.col("window").rlike(RESTATED), "REPLACE_SECTION").when(F.col("window").rlike(ADDED), "APPEND_TEXT")
     )
-    rows = rows.withColumn("kind", kind).where("kind is not null")
+    rows = once(rows, kind=kind).where("kind is not null")
     block = F.when(F.col("kind") == "REPLACE_SECTION", following(F.col("window"), RESTATED)).when(F.col("kind") == "APPEND_TEXT", following(F.col("window"), ADDED)).when(F.col("kind") == "REPEAL_PART", F.trim("window")).otherwise("")
-    rows = rows.withColumn("block", block).where("kind = 'REPEAL_SECTION' or block <> ''")
+    rows = once(rows, block=block).where("kind = 'REPEAL_SECTION' or block <> ''")
     digest = F.when(F.col("kind") == "APPEND_TEXT", F.left(F.sha2("block", 256), F.lit(16))).otherwise("")
     first = rows.groupBy(id_col, "kind", "title", "section", digest.alias("digest")).agg(F.min_by(F.struct("block", "section_exists"), "start").alias("r")).select(id_col, "kind", "title", "section", "r.*")
     named = F.rtrim(F.regexp_extract(F.left("block", F.lit(700)), FIRST_LINE, 1), F.lit(".")) == F.col("section")
@@ -158,10 +183,10 @@ def strikes(rows: DataFrame, id_col: str) -> DataFrame:
 def chronology(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, target, verbs, context): each reference to another law, with the verb groups within 200 characters
     of its start and 90 characters of context. Repeated references stay."""
-    found = windows(docs, id_col, text_col, T.LAW_PATTERN, 200, 200)
+    found = windows(docs, id_col, text_col, T.LAW_PATTERN, 200, 200, LAW_STARTS)
     g = lambda k: F.get("groups", F.lit(k)).cast("int").cast("string")
-    ahead = F.concat("raw", "after")
-    near = F.lower(F.concat(F.col("before"), F.left(ahead, F.lit(200))))
+    found = once(found.withColumn("ahead", F.concat("raw", "after")), near=F.lower(F.concat(F.col("before"), F.left("ahead", F.lit(200)))))
+    near, ahead = F.col("near"), F.col("ahead")
     verbs = F.array_join(F.array_compact(F.array(*[F.when(near.rlike(p), name) for name, p in EDGE_VERBS.items()])), ",")
     context = F.trim(F.regexp_replace(F.concat(F.right("before", F.lit(90)), F.left(ahead, F.lit(90))), r"\s+", " "))
     return found.select(id_col, T.law_id(g(0), g(1)).alias("target"), verbs.alias("verbs"), context.alias("context")).where(F.col(id_col) != F.col("target"))

@@ -71,7 +71,7 @@ def find_all(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, st
 def dependencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, target, relation, confidence, context): every other law that a text names, once for each relation. A
     relation needs its verb directly before or after the number; a verb elsewhere in the sentence says nothing."""
-    found = edits.windows(docs, id_col, text_col, T.LAW_PATTERN, 260, 260)
+    found = edits.windows(docs, id_col, text_col, T.LAW_PATTERN, 260, 260, edits.LAW_STARTS)
     g = lambda k: F.get("groups", F.lit(k)).cast("int").cast("string")
     rows = found.select(id_col, "start", "raw", T.law_id(g(0), g(1)).alias("target"), T.normalize_whitespace(F.col("before")).alias("before"), T.normalize_whitespace(F.col("after")).alias("after"))
     context = F.left(T.normalize_whitespace(F.concat_ws(" ", "before", "raw", "after")), F.lit(700))

@@ -163,6 +163,35 @@ def test_new_sections_need_the_chapter_formula(spark):
     assert [r.confidence for r in edits.new_sections(docs, "id", "text", chapters, has).collect()] == ["medium"]
 
 
+def test_expressions_of_edits_are_computed_once(spark):
+    from statuta.operators import edits
+
+    docs, none = spark.createDataFrame([(1, "")], "id int, text string"), spark.createDataFrame([], "title int, section string")
+    plan = edits.operations(docs, "id", "text", none).where("kind = 'APPEND_TEXT'")._jdf.queryExecution().optimizedPlan().toString()
+    # The pattern of the next heading stands at one place, not wherever a filter or a column uses the window.
+    assert plan.count(edits.NEXT_SECTION) == 1 and plan.count(edits.VERB) == 1
+
+
+def test_matches_begin_where_the_first_characters_are(spark):
+    import random
+    import re
+
+    from statuta.functions import text as T
+    from statuta.operators import edits
+
+    parts = ["Section 5 of title 4, United States Code", "\u017fection 5(a) of title 1 united states code", "115 U.S.C. § 7", "5 u s c §§ ", "section ", "s", "SECT", "12", "3 U", " ", "\n", "chapter 2 of title 9, United States Code, adding the following", "Chapter ", "Public Law 1-2", "Pub. L. 3-4", "P.L. 5–6", "p", "PL7-8", "x"]
+    rng = random.Random(3)
+    for pattern, starts in ((edits.TARGET, edits.TARGET_STARTS), (edits.CHAPTER, edits.CHAPTER_STARTS), (T.LAW_PATTERN, edits.LAW_STARTS)):
+        compiled, firsts = re.compile(pattern), [re.compile(s) for s in starts]
+        found = 0
+        for _ in range(2000):
+            text = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
+            expected = [m.span() for m in compiled.finditer(text)]
+            assert [m.span() for m in edits.matches(text, compiled, firsts)] == expected
+            found += len(expected)
+        assert found > 200
+
+
 def test_chronology_keeps_repeats(spark):
     from statuta.operators import edits
 
