@@ -1,6 +1,6 @@
 """The gate of results: what each action claims to have done is held against the files before and after.
 
-All claims of all actions meet the files by four joins, whatever the number of rules: claimed nodes with the nodes of the
+All claims of all actions meet the files by a few joins, whatever the number of rules: claimed nodes with the nodes of the
 positions indexes, identifiers likewise, words of claimed texts with the words of files, changed lines and notes, and notes by id.
 Each join is on the claimed value, so that no file's text is carried to an action. The rules are then one projection.
 
@@ -70,10 +70,31 @@ def changed_lines(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def notes_of(after: DataFrame) -> DataFrame:
-    """(note_id, file, text): project notes of the files; of several of one id the last by file and place."""
+    """(note_id, file, pos, text): every project note of the files, also those that share an id."""
     found = after.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_NOTE), F.lit(0))).alias("pos", "text"))
-    named = found.select(F.regexp_extract("text", r'\bid="(rp-pl\d{6}-codification)"', 1).alias("note_id"), "file", "pos", "text")
-    return named.groupBy("note_id").agg(F.max(F.struct("file", "pos", "text")).alias("r")).select("note_id", "r.file", "r.text")
+    return found.select(F.regexp_extract("text", r'\bid="(rp-pl\d{6}-codification)"', 1).alias("note_id"), "file", "pos", "text")
+
+
+def _noted(rows: DataFrame, notes: DataFrame, board: str) -> DataFrame:
+    """(nr, found_file, note_clean, held_note): the note that a result claims, and how many of the claimed words it holds. Of several of one id it is
+    the one in the claimed file, the note's or else the result's, that holds most of them; where that file has none, the last by file and place."""
+    low = F.lower("text")
+    clean = ~low.contains(board.lower()) & ~low.contains("<quotedcontent") & ~low.contains("authenticated statutory text was unavailable")
+    # Copies of a note in a file count as one, so that claims don't meet each of them.
+    kept = notes.groupBy("note_id", "file", "text").agg(F.max("pos").alias("pos"))
+    said = kept.select("note_id", "file", "pos", clean.alias("note_clean"))
+    place = file_name(F.when(_said("note_file"), F.col("note_file")).otherwise(F.col("file")))
+    claims = rows.where(_said("proved_note")).select("nr", F.col("proved_note").alias("note_id"), place.alias("place"), "note_claim")
+    here = claims.join(said.withColumn("place", F.col("file")), ["note_id", "place"])
+    last = said.groupBy("note_id").agg(F.max(F.struct("file", "pos", "note_clean")).alias("l")).select("note_id", "l.*")
+    elsewhere = claims.join(here.select("nr").distinct(), "nr", "left_anti").join(last, "note_id")
+    columns = ["nr", "note_id", "file", "pos", "note_clean", "note_claim"]
+    found = here.select(*columns).unionByName(elsewhere.select(*columns))
+    asked = found.select("nr", "note_id", "file", "pos", F.explode("note_claim").alias("word"))
+    have = kept.select("note_id", "file", "pos", F.explode(words(F.col("text"))).alias("word"))
+    held = asked.join(have, ["note_id", "file", "pos", "word"], "left_semi").groupBy("nr", "file", "pos").agg(F.count("*").alias("held"))
+    best = F.max(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "file", "pos", "note_clean")).alias("b")
+    return found.join(held, ["nr", "file", "pos"], "left").groupBy("nr").agg(best).select("nr", F.col("b.file").alias("found_file"), "b.note_clean", F.col("b.held").alias("held_note"))
 
 
 def _indexed(files: DataFrame) -> DataFrame:
@@ -130,15 +151,15 @@ def _targets(results: DataFrame, before: DataFrame, after: DataFrame, lines: Dat
     return found.groupBy("nr").agg(*[any_of(w) for w in ("target", "anchor", "proof_node", "proof_identifier")])
 
 
-def _claims(results: DataFrame, before: DataFrame, after: DataFrame, lines: DataFrame, notes: DataFrame) -> DataFrame:
-    """How many of an action's claimed words its file held before and after, its changed lines hold, and its note holds."""
+def _claims(results: DataFrame, before: DataFrame, after: DataFrame, lines: DataFrame) -> DataFrame:
+    """How many of an action's claimed words its file held before and after, and its changed lines hold."""
     held = lambda df, side, key, c: df.select(F.lit(side).alias("side"), F.col(key).alias("key"), F.explode(words(F.col(c))).alias("word"))
-    parts = [held(before, "before", "file", "content"), held(after, "after", "file", "content"), held(lines, "diff", "file", "line"), held(notes, "note", "note_id", "text")]
+    parts = [held(before, "before", "file", "content"), held(after, "after", "file", "content"), held(lines, "diff", "file", "line")]
     have = reduce(DataFrame.unionByName, parts).distinct()
     ask = lambda side, key, values: F.transform(values, lambda w: F.struct(F.lit(side).alias("side"), F.col(key).alias("key"), w.alias("word")))
-    asked = F.concat(*[ask(side, "file", F.col("claim")) for side in ("before", "after", "diff")], ask("note", "proved_note", F.col("note_claim")))
+    asked = F.concat(*[ask(side, "file", F.col("claim")) for side in ("before", "after", "diff")])
     found = results.select("nr", F.inline(asked)).join(have, ["side", "key", "word"], "left_semi")
-    return found.groupBy("nr").agg(*[F.count_if(F.col("side") == s).alias(f"held_{s}") for s in ("before", "after", "diff", "note")])
+    return found.groupBy("nr").agg(*[F.count_if(F.col("side") == s).alias(f"held_{s}") for s in ("before", "after", "diff")])
 
 
 def result_rows(results: DataFrame, plan: DataFrame, before: DataFrame, after: DataFrame, board: str) -> DataFrame:
@@ -153,11 +174,9 @@ def result_rows(results: DataFrame, plan: DataFrame, before: DataFrame, after: D
     rows = results.withColumn("file", file_name(F.col("file"))).join(first, "action_id", "left")
     rows = rows.withColumn("target", F.when(_said("identifier"), F.col("identifier")).otherwise(F.col("planned_identifier"))).withColumn("proved_note", F.when(_said("note_id"), F.col("note_id")).otherwise(first_node))
     rows = rows.withColumn("claim", sample(F.col("said"))).withColumn("note_claim", sample(F.when(_said("excerpt"), F.col("excerpt")).otherwise(F.col("said"))))
-    low = F.lower("text")
-    noted = notes.select(F.col("note_id").alias("proved_note"), F.col("file").alias("found_file"), (~low.contains(board.lower()) & ~low.contains("<quotedcontent") & ~low.contains("authenticated statutory text was unavailable")).alias("note_clean"))
     touched = lines.select("file").distinct().withColumn("touched", F.lit(True))
-    facts = rows.join(noted, "proved_note", "left").join(touched, "file", "left")
-    for more in (_node_facts(rows, old, new), _targets(rows, old, new, lines), _claims(rows, before, after, lines, notes)):
+    facts = rows.join(touched, "file", "left")
+    for more in (_noted(rows, notes, board), _node_facts(rows, old, new), _targets(rows, old, new, lines), _claims(rows, before, after, lines)):
         facts = facts.join(more, "nr", "left")
     counts = [c for c in facts.columns if c.startswith(("added_", "changed_", "removed_", "nodes_", "n_", "held_"))]
     return facts.na.fill(0, counts)

@@ -54,3 +54,26 @@ def test_words_of_claims(spark):
     text = "<b class='four'>Some</b> more WORDS of a b c some text1 über"
     row = spark.createDataFrame([(text,), (None,)], "t string").select(R.words(R.F.col("t")).alias("w")).collect()
     assert [r.w for r in row] == [["some", "more", "words", "text1"], []]
+
+
+def test_notes_that_share_an_id(spark):
+    note = lambda said: f'<note id="rp-pl001002-codification">{said}</note>'
+    first, second = "each office keeps seven lists about makers", "other wording governs sellers under chapter nine"
+    before = spark.createDataFrame([("a.xml", "x"), ("b.xml", "y")], FILES)
+    after = spark.createDataFrame([("a.xml", note(first) + "\n" + note(second + " board")), ("b.xml", note("manifest-7"))], FILES)
+    plan = spark.createDataFrame([(a, "add statutory note", "statutory_note", None, ["rp-pl001002-codification"]) for a in "AB"], PLAN)
+    rows = result(spark, *[{"nr": i, "action_id": a, "status": "applied", "file": "a.xml", "said": said} for i, (a, said) in enumerate([("A", first), ("B", second)])])
+    found = {(r.subject, r.rule) for r in R.failures(rows, plan, before, after, "b", "board").collect() if r.scope in ("result", "note")}
+    assert found == {("B", "note clean"), ("rp-pl001002-codification", "no internal wording")}
+
+
+def test_gate_where_ids_are_cut(spark, tmp_path):
+    import duckdb
+
+    # Keys of seven digits share the six that a note's id keeps.
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.withColumn("p_partkey", (part.p_partkey + 1_000_000).cast(part.schema["p_partkey"].dataType)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = Counter(tuple(r) for r in catalog.queries()["pl24_result_failures"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert found == Counter(con.execute(catalog.oracle_sql()["pl24_result_failures"]).fetchall())
