@@ -68,3 +68,13 @@ def test_branches_of_the_cascade(spark):
     assert got == {1: (1, "2", "cited", 2, None), 2: (12, "9", "subject", 0, "banking"), 3: (1, "2", "general", 0, None), 4: (31, "7", "subject", 0, "mint"), 5: (1, "1", "general", 0, None)}
     without = headings.anchors(laws.where("law_id = 3"), cited, sections.where("title > 1"), subjects, rules).first()
     assert (without.title, without.section, without.branch) == (12, "9", "first")
+
+
+def test_sections_of_one_heading_are_shipped_once(spark):
+    # 3,000 sections with two headings, all asked for by the last one's text: before, each copy was a candidate.
+    sections = [(1, f"s{i}", i, "common words" if i % 2 else "other lists", False) for i in range(3000)]
+    s = spark.createDataFrame(sections, "title int, section string, ord int, heading string, reserved boolean")
+    q = spark.createDataFrame([(1, 1, "common words", None), (2, 1, "words", None), (3, 1, "on other lists", ["s100", "s5"])], "query_id int, title int, query string, defaults array<string>")
+    got = {r.query_id: (r.section, r.score, r.candidates) for r in headings.best_sections(q, s).collect()}
+    assert {i: g[0] for i, g in got.items()} == {1: "s1", 2: "s1", 3: "s100"} and max(g[2] for g in got.values()) <= 4
+    assert {i: g[1] for i, g in got.items()} == {i: plain(t, [(o, n, h, r) for _, n, o, h, r in sections], d)[1] for i, t, d in [(1, "common words", []), (2, "words", []), (3, "on other lists", ["s100", "s5"])]}
