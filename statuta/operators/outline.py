@@ -140,6 +140,8 @@ def outline(paragraphs: list[str], nested: bool = True) -> list[tuple]:
     return out
 
 
+#: Rows of several texts are handed on when they come to so many, or to so many characters.
+SLICE_ROWS, SLICE_CHARS = 20_000, 4_000_000
 ROWS = "n int, mark string, kind string, depth int, parent int, text string"
 
 
@@ -147,15 +149,28 @@ def subsections(docs: DataFrame, id_col: str, text_col: str, nested: bool = True
     """(id, n, mark, kind, depth, parent, text) of each paragraph of a text (parted by blank lines, inner line ends become spaces). Texts without
     paragraphs have no rows."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
+    # A small file of many texts is read by one task; the texts are dealt out before they are parsed.
+    spread = docs.select(id_col, text_col).repartition(id_col)
     paragraphs = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), r"\n[ \t]*\n"), lambda p: _strip(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+        def made(ids, at, rows):
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *columns], names=[id_col, *[x.split()[0] for x in ROWS.split(", ")]])
+
         for batch in batches:
+            at, rows, size = [], [], 0
             for i in range(batch.num_rows):
-                rows = outline(batch.column(1)[i].as_py(), nested)
-                if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows))), *columns], names=[id_col, *[x.split()[0] for x in ROWS.split(", ")]])
-
-    return docs.select(id_col, paragraphs.alias("p")).mapInArrow(run, f"`{id_col}` {kind}, {ROWS}")
+                of = outline(batch.column(1)[i].as_py(), nested)
+                at += [i] * len(of)
+                rows += of
+                size += sum(len(r[-1]) for r in of)
+                if size > SLICE_CHARS or len(rows) > SLICE_ROWS:
+                    yield made(batch.column(0), at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield made(batch.column(0), at, rows)
+
+    return spread.select(id_col, paragraphs.alias("p")).mapInArrow(run, f"`{id_col}` {kind}, {ROWS}")

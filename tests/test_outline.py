@@ -77,3 +77,14 @@ def test_random_outlines_are_read_back():
         rows = []
         make(0, None, rows)
         assert [(m, d, p) for m, _, d, p in tree([m for m, _, _ in rows])] == rows
+
+
+def test_texts_of_one_file_are_dealt_out(spark, monkeypatch):
+    from statuta.operators import outline
+
+    docs = spark.range(500).selectExpr("id", "'(a) one\n\n(b) two' as text").coalesce(1)
+    monkeypatch.setattr(outline, "SLICE_ROWS", 7)
+    rows = outline.subsections(docs, "id", "text")
+    # Before, one task parsed all texts of one small file.
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.n, r.mark, r.text) for r in rows.collect()) == [(i, n, "ab"[n], ["one", "two"][n]) for i in range(500) for n in (0, 1)]
