@@ -10,6 +10,8 @@ all columns. A null key matches nothing. Blank texts count as missing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,57 +54,89 @@ def _first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, *[F.col("row").getField(c).alias(c) for c in rest])
 
 
-def broken(rows: DataFrame, scope: str, subject: Column, rules: dict[str, Column]) -> DataFrame:
-    """(run_id, scope, subject, rule) of the rules that don't hold: all rules of a row in one projection."""
-    names = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
-    return rows.select("run_id", F.lit(scope).alias("scope"), subject.alias("subject"), F.explode(names).alias("rule"))
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that can match, dealt out by key. A key of these ledgers has few rows, so that texts of them are sorted once, where they meet,
+    and not also before they are dealt, where a task has more rows of them the narrower the rows are they are made of. The key that tells
+    most comes first, as a sort compares its first bytes."""
+    return df.dropna(subset=keys).repartition(*keys)
+
+
+def mask(rules: dict[str, Column], names: list[str]) -> Column:
+    """The rules that don't hold as bits, by their place among `names`: eight bytes a row go on instead of the texts they were checked on."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1 << names.index(name)).cast("long") for name, c in rules.items()])
+
+
+def broken(rows: DataFrame, scope: str, subject: Column, names: list[str], bits: str = "bits") -> DataFrame:
+    """(run_id, scope, subject, rule) of the rules whose bit is set."""
+    of = F.array_compact(F.array(*[F.when(F.col(bits).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(name)) for i, name in enumerate(names)]))
+    return rows.where(F.col(bits) != 0).select("run_id", F.lit(scope).alias("scope"), subject.alias("subject"), F.explode(of).alias("rule"))
 
 
 def law_rows(laws: DataFrame, index: DataFrame, candidates: DataFrame, reports: DataFrame) -> DataFrame:
-    """Laws with their index row, latest candidate report and validation record (that of all reports goes before the
-    canonical one)."""
-    chosen = _first(index.select("run_id", "law_id", "selected", "superseded"), ["run_id", "law_id"], []).withColumn("indexed", F.lit(True))
-    latest = candidates.groupBy("run_id", "law_id").agg(F.max(F.struct("group_index", F.col("report").alias("r")))["r"].alias("latest"))
+    """(run_id, law_id, bits) of laws with their index row, latest candidate report and validation record (that of all
+    reports goes before the canonical one)."""
+    names, keys = list(law_rules()), ["law_id", "run_id"]
+    chosen = _first(_dealt(index.select("run_id", "law_id", "selected", "superseded"), keys), keys, []).withColumn("indexed", F.lit(True))
+    latest = _dealt(candidates, keys).groupBy(*keys).agg(F.max(F.struct("group_index", F.col("report").alias("r")))["r"].alias("latest"))
     order = F.when(F.col("kind") == "full", 0).otherwise(1).alias("ord")
     records = _first(reports.select("run_id", "report", order, F.col("status").alias("record_status")), ["run_id", "report"], ["ord"]).drop("ord").withColumn("recorded", F.lit(True))
-    return laws.join(chosen, ["run_id", "law_id"], "left").join(latest, ["run_id", "law_id"], "left").join(records, ["run_id", "report"], "left")
+    own = laws.select("run_id", "law_id", "report", mask(_law_own(), names).alias("own"))
+    met = own.join(chosen, keys, "left").join(latest, keys, "left").select("run_id", "law_id", "report", F.col("own").bitwiseOR(mask(_law_indexed(), names)).alias("own"))
+    return met.join(records, ["run_id", "report"], "left").select("run_id", "law_id", F.col("own").bitwiseOR(mask(_law_recorded(), names)).alias("bits"))
 
 
-def law_rules() -> dict[str, Column]:
-    indexed, recorded = F.col("indexed").isNotNull(), F.col("recorded").isNotNull()
-    late = indexed & _said("latest") & ~F.col("latest").eqNullSafe(F.col("report"))
+def _law_own() -> dict[str, Column]:
     texts = ("status", "chronology", "treatment", "action", "evidence", "comparison", "confidence")
+    return {"report named": _said("report"), "report valid": F.trim("report_status") == "valid", "no issues": ~_said("issues")} | {f"{c} given": _said(c) for c in texts}
+
+
+def _law_indexed() -> dict[str, Column]:
+    indexed = F.col("indexed").isNotNull()
+    late = indexed & _said("latest") & ~F.col("latest").eqNullSafe(F.col("report"))
     return {
-        "report named": _said("report"),
-        "report valid": F.trim("report_status") == "valid",
-        "no issues": ~_said("issues"),
         "in index": indexed,
         "index agrees": _if(indexed, F.col("selected").eqNullSafe(F.col("report"))),
         "latest superseded": _if(late, F.array_contains(F.split("superseded", ","), F.col("latest"))),
-        "validation recorded": recorded,
-        "validation valid": _if(recorded, F.trim("record_status") == "valid"),
-    } | {f"{c} given": _said(c) for c in texts}
+    }
 
 
-def provision_rows(provisions: DataFrame, plan: DataFrame, laws: DataFrame) -> DataFrame:
-    """Provisions with their first plan row and what their law says of target and command."""
-    planned = _first(plan.select("run_id", "law_id", "ref", "ord", "action_id", "action_type", "file", "identifier", "command", "node_ids"), ["run_id", "law_id", "ref"], ["ord"]).drop("ord")
-    of_law = _first(laws.select("run_id", "law_id", "law_target", "law_command"), ["run_id", "law_id"], [])
-    return provisions.join(planned.withColumn("planned", F.lit(True)), ["run_id", "law_id", "ref"], "left").join(of_law, ["run_id", "law_id"], "left")
+def _law_recorded() -> dict[str, Column]:
+    recorded = F.col("recorded").isNotNull()
+    return {"validation recorded": recorded, "validation valid": _if(recorded, F.trim("record_status") == "valid")}
 
 
-def provision_rules() -> dict[str, Column]:
-    said, action, planned = _normal("treatment"), _normal("action_type"), F.col("planned").isNotNull()
+def law_rules() -> dict[str, Column]:
+    return _law_own() | _law_indexed() | _law_recorded()
+
+
+#: Rules of which a law's row may know what its provision and its plan don't.
+BY_LAW = {"law_target": "exact target known", "law_command": "exact change known"}
+
+
+def provision_rows(provisions: DataFrame, plan: DataFrame, laws: DataFrame) -> DataFrame:
+    """(run_id, law_id, ref, bits) of provisions with their first plan row and what their law says of target and command. Rows without
+    a broken rule drop out before they meet their law, which can only mend some."""
+    names, keys, by_law = list(provision_rules()), ["law_id", "ref", "run_id"], ["law_id", "run_id"]
+    planned = _first(_dealt(plan.select(*keys, "ord", "action_id", "action_type", "file", "identifier", "command", "node_ids"), keys), keys, ["ord"])
+    action = planned.withColumn("action", _normal("action_type"))
+    executes = F.col("action").isin(*[a.replace("-", "_").replace(" ", "_") for a in EXECUTABLE])
+    planned = action.withColumn("executes", executes).select(
+        *keys, "action", F.trim("action_type").alias("action_type"), "executes", _said("identifier").alias("has_identifier"), _said("command").alias("has_command"),
+        mask(_plan_own(), names).alias("plan_bits"), F.lit(True).alias("planned"),
+    )
+    of_law = _first(_dealt(laws.select("run_id", "law_id", *BY_LAW), by_law), by_law, []).select("run_id", "law_id", *[_said(c).alias(c) for c in BY_LAW])
+    own = provisions.withColumn("said", _normal("treatment")).select(*keys, "said", _said("target").alias("has_target"), _said("exact_change").alias("has_change"), mask(_provision_own(), names).alias("own"))
+    bits = F.col("own").bitwiseOR(F.coalesce("plan_bits", F.lit(0).cast("long"))).bitwiseOR(mask(_provision_planned(), names))
+    met = own.join(planned, keys, "left").select(*keys, bits.alias("bits")).where("bits <> 0").join(of_law, by_law, "left")
+    for c, name in BY_LAW.items():
+        met = met.withColumn("bits", F.when(F.col(c), F.col("bits").bitwiseAND(F.lit(~(1 << names.index(name))).cast("long"))).otherwise(F.col("bits")))
+    return met.select(*keys, "bits")
+
+
+def _provision_own() -> dict[str, Column]:
+    said = F.col("said")
     acts = F.arrays_overlap(F.split("classes", ","), F.array(*[F.lit(c) for c in ACTION_CLASSES])) & ~said.isin(*NOTES_ONLY)
     itself = said.isin(*SELF_EXECUTING)
-    executes = planned & action.isin(*[a.replace("-", "_").replace(" ", "_") for a in EXECUTABLE])
-    actions = F.create_map(*[F.lit(x) for pair in TREATMENTS.items() for x in pair])
-    expected = F.coalesce(actions[said], F.lit("no Code action"))
-    wrong = F.exists(F.filter(F.split(F.coalesce("node_ids", F.lit("")), ","), lambda n: n != ""), lambda n: (F.trim(n) == "") | F.trim(n).startswith("/") | n.contains("/us/usc/") | F.lower(F.trim(n)).endswith(".xml"))
-    commands = F.lower(F.coalesce("command", F.lit("")))
-    empty = F.lit(False)
-    for wording in NO_COMMAND:
-        empty = empty | commands.contains(wording)
     return {
         "treatment given": _said("treatment"),
         "evidence given": _said("evidence"),
@@ -110,23 +144,47 @@ def provision_rules() -> dict[str, Column]:
         "action has change": _if(acts, _said("exact_change")),
         "executing treatment has target": _if(itself, _said("target")),
         "executing treatment has change": _if(itself, _said("exact_change")),
-        "in plan": planned,
-        "plan has action id": _if(planned, _said("action_id")),
-        "plan has action type": _if(planned, F.col("action_type").isNotNull()),
-        "action fits treatment": _if(planned, F.trim("action_type") == expected),
-        "historical note acts on no text": ~(said.isin(*HISTORIC) & executes),
-        "statutory note acts on no text": ~(said.isin(*STATUTORY) & executes),
-        "excluded has no action": _if(planned & (said == "exclude_from_code"), action == "no_code_action"),
+    }
+
+
+def _plan_own() -> dict[str, Column]:
+    executes = F.col("executes")
+    wrong = F.exists(F.filter(F.split(F.coalesce("node_ids", F.lit("")), ","), lambda n: n != ""), lambda n: (F.trim(n) == "") | F.trim(n).startswith("/") | n.contains("/us/usc/") | F.lower(F.trim(n)).endswith(".xml"))
+    commands = F.lower(F.coalesce("command", F.lit("")))
+    empty = F.lit(False)
+    for wording in NO_COMMAND:
+        empty = empty | commands.contains(wording)
+    return {
+        "plan has action id": _said("action_id"),
+        "plan has action type": F.col("action_type").isNotNull(),
         "executable names file": _if(executes, _said("file")),
         "executable names identifier": _if(executes, _said("identifier")),
         "executable has command": _if(executes, _said("command")),
         "executable command consistent": _if(executes, ~empty),
         "node ids valid": ~wrong,
-        "exact target known": _if(itself | executes, _said("target") | _said("law_target") | _said("identifier")),
-        "exact change known": _if(itself | executes, _said("exact_change") | _said("law_command") | _said("command")),
     }
 
 
+def _provision_planned() -> dict[str, Column]:
+    said, planned = F.col("said"), F.col("planned").isNotNull()
+    executes = F.coalesce("executes", F.lit(False))
+    acts = said.isin(*SELF_EXECUTING) | executes
+    actions = F.create_map(*[F.lit(x) for pair in TREATMENTS.items() for x in pair])
+    return {
+        "in plan": planned,
+        "action fits treatment": _if(planned, F.col("action_type") == F.coalesce(actions[said], F.lit("no Code action"))),
+        "historical note acts on no text": ~(said.isin(*HISTORIC) & executes),
+        "statutory note acts on no text": ~(said.isin(*STATUTORY) & executes),
+        "excluded has no action": _if(planned & (said == "exclude_from_code"), F.col("action") == "no_code_action"),
+        "exact target known": _if(acts, F.col("has_target") | F.coalesce("has_identifier", F.lit(False))),
+        "exact change known": _if(acts, F.col("has_change") | F.coalesce("has_command", F.lit(False))),
+    }
+
+
+def provision_rules() -> dict[str, Column]:
+    return _provision_own() | _plan_own() | _provision_planned()
+
+
 def run_rows(stated: DataFrame, laws: DataFrame, index: DataFrame, plan: DataFrame, provisions: DataFrame, mappings: DataFrame, unresolved: DataFrame) -> DataFrame:
     """What each run states of itself, with the counts of its ledgers."""
     count = lambda df, what: df.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id", F.lit(what).alias("what"), "n")
@@ -183,9 +241,10 @@ def catalogue() -> dict[str, dict[str, Column]]:
 def ledger_failures(stated: DataFrame, laws: DataFrame, index: DataFrame, candidates: DataFrame, reports: DataFrame, provisions: DataFrame, plan: DataFrame, mappings: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(run_id, scope, subject, rule) of all broken rules. Subjects are law ids, law id / reference, or empty for a run."""
     rules = catalogue()
-    of_run = broken(run_rows(stated, laws, index, plan, provisions, mappings, unresolved), "run", F.lit(""), rules["run"])
-    of_law = broken(law_rows(laws, index, candidates, reports), "law", F.col("law_id"), rules["law"])
-    of_provision = broken(provision_rows(provisions, plan, laws), "provision", F.concat_ws(" / ", "law_id", "ref"), rules["provision"])
+    of_run = run_rows(stated, laws, index, plan, provisions, mappings, unresolved).withColumn("bits", mask(rules["run"], list(rules["run"])))
+    of_run = broken(of_run, "run", F.lit(""), list(rules["run"]))
+    of_law = broken(law_rows(laws, index, candidates, reports), "law", F.col("law_id"), list(rules["law"]))
+    of_provision = broken(provision_rows(provisions, plan, laws), "provision", F.concat_ws(" / ", "law_id", "ref"), list(rules["provision"]))
     return of_run.unionByName(of_law).unionByName(of_provision)
 
 

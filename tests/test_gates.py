@@ -25,3 +25,16 @@ def test_first_rows_and_nulls(spark):
     assert {r.rule for r in rows if r.subject == "L-1"} == {"latest superseded"}
     assert {"report named", "in index", "validation recorded", "report valid", "status given"} <= {r.rule for r in rows if r.subject is None}
     assert gates.broken(gates.law_rows(laws.limit(0), index, candidates, reports), "law", gates.F.col("law_id"), gates.law_rules()).count() == 0
+
+
+def test_provisions_are_sorted_once_and_meet_the_smallest_row_of_the_plan(spark):
+    provision = [(1, "L-1", "1", "direct-amendment", "transfer", "", "page", ""), (1, None, "1", "", "", "s", "page", "x")]
+    provisions = spark.createDataFrame(provision, "run_id int, law_id string, ref string, classes string, treatment string, target string, evidence string, exact_change string")
+    row = lambda law, ord, command: (1, law, "1", ord, "A", "transfer", "f.xml", "", command, "")
+    plan = spark.createDataFrame([row("L-1", 2, "history only"), row("L-1", 1, "move it"), row(None, 0, "")], "run_id int, law_id string, ref string, ord int, action_id string, action_type string, file string, identifier string, command string, node_ids string")
+    laws = spark.createDataFrame([(1, "L-1", "title 28", ""), (1, None, "title 1", "all")], "run_id int, law_id string, law_target string, law_command string")
+    rows = gates.provision_rows(provisions, plan, laws)
+    told = gates.broken(rows, "provision", gates.F.col("law_id"), list(gates.provision_rules())).collect()
+    assert {r.rule for r in told if r.subject == "L-1"} == {"action has target", "action has change", "executing treatment has target", "executing treatment has change", "executable names identifier"}
+    assert {r.rule for r in told if r.subject is None} == {"treatment given", "in plan"}
+    assert rows._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 4
