@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.chunks import shared_folder
 from . import edits, match, patch, rules
 
 #: Operations that change existing text, statuses and categories that are certain.
@@ -50,10 +53,14 @@ def superseded(classified: DataFrame, edges: DataFrame) -> DataFrame:
     """classified with SUPERSEDED_BEFORE_CODIFICATION, the edge's confidence and `superseded_by` for laws that a later law in
     force repeals or supersedes, and `warnings`: edges to laws that aren't earlier (of the law that has them), and later laws that undo one
     that is incorporated already, which stays so. classified: (law_id, status, disposition, confidence), edges: (source, target, relation,
-    confidence). A superseded law still overrides others; of several laws the earliest counts."""
+    confidence). A superseded law still overrides others; of several laws the earliest counts. The edges that count are written once: they
+    come from a pass over texts, which each of their four uses would repeat."""
+    at = f"{shared_folder(edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+    edges.where("relation in ('repeals', 'supersedes')").select("source", "target", "relation", "confidence").write.parquet(at)
+    edges = edges.sparkSession.read.parquet(at)
     force = classified.select("law_id", ((F.col("status") == "active") & ~F.col("disposition").isin("NONOPERATIVE_OR_REPEALED", "SOURCE_UNAVAILABLE")).alias("active"))
     key = T.law_sort_key
-    strong = edges.where("relation in ('repeals', 'supersedes')").join(force.where("active").select(F.col("law_id").alias("source")), "source", "left_semi").join(force.select(F.col("law_id").alias("target")), "target", "left_semi")
+    strong = edges.join(force.where("active").select(F.col("law_id").alias("source")), "source", "left_semi").join(force.select(F.col("law_id").alias("target")), "target", "left_semi")
     later = key(F.col("source")) > key(F.col("target"))
     by = match.overrides(edges, force).join(strong.select(F.col("source").alias("superseded_by"), F.col("target").alias("law_id"), F.col("confidence").alias("sure")).groupBy("superseded_by", "law_id").agg(F.min("sure").alias("sure")), ["law_id", "superseded_by"])
     not_earlier = strong.where(~later).select(F.col("source").alias("law_id"), F.concat(F.lit("not earlier: "), "relation", F.lit(" "), "target").alias("warning"))

@@ -234,3 +234,34 @@ def test_operations_run_by_their_number(spark):
     ops = spark.createDataFrame(rows, "op_id string, op_no int, law_id string, law_order int, identifier string, title int, kind string, old_text string, new_text string, marker string, confidence string")
     after, told = patch.apply_manifest(sections, ops)
     assert after.first().body == "d b" and {r.status for r in told.collect()} == {"executed"}
+
+
+def test_superseded_reads_the_edges_once(spark):
+    from statuta.operators import classify, extract
+
+    texts = [("PL-002-001", "Public Law 1-1 is hereby repealed."), ("PL-003-001", "Repealing Public Law 1-1. Public Law 4-1 is superseded."), ("PL-001-001", "None."), ("PL-004-001", None)]
+    docs = spark.createDataFrame(texts, "law_id string, text string")
+    laws = docs.selectExpr("law_id", "'active' as status", "'STATUTORY_NOTE' as disposition", "'medium' as confidence")
+    out = classify.superseded(laws, extract.dependencies(docs, "law_id", "text").selectExpr("law_id as source", "target", "relation", "confidence"))
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    told = {r.law_id: (r.disposition, r.superseded_by, list(r.warnings)) for r in out.collect()}
+    assert told["PL-001-001"] == ("SUPERSEDED_BEFORE_CODIFICATION", "PL-002-001", [])
+    assert told["PL-003-001"] == ("STATUTORY_NOTE", None, ["not earlier: supersedes PL-004-001"])
+    assert told["PL-002-001"][1:] == told["PL-004-001"][1:] == (None, [])
+
+
+def test_normalize_whitespace_of_plain_and_odd_texts(spark):
+    import re
+
+    said = ["plain text", " one\tblank ", "two  blanks", "a \n b", "a\r\nb\rc", "a\n\n\n\nb", "﻿x  y", " x\ty ", "", None, "a\t\tb", "x \t\n"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+
+    def want(s):
+        if s is None:
+            return None
+        s = s.replace("﻿", "").replace(" ", " ")
+        for p, by in (("\r\n?", "\n"), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("[ \t]{2,}", " "), ("\n{3,}", "\n\n")):
+            s = re.sub(p, by, s)
+        return s.strip(" \t\n\r")
+
+    assert [r.s for r in df.select("i", T.normalize_whitespace(F.col("s")).alias("s")).orderBy("i").collect()] == [want(s) for s in said]
