@@ -52,3 +52,13 @@ def test_no_rules_and_no_documents(spark):
     docs, none = spark.createDataFrame([(1, "x")], "id long, text string"), spark.createDataFrame([], phrases.RULES)
     assert rows(phrases.found(docs, none, ["id"])) == {1: []}
     assert phrases.found(docs.where("id > 1"), phrases.built_in(spark), ["id"]).count() == 0
+
+
+def test_texts_do_not_come_back_from_the_pass(spark):
+    acts = [(1, "There is appropriated $ 5 for a continuing resolution."), (2, "A continuing resolution."), (3, None), (4, "A commemorative coin and a Congressional Gold Medal.")]
+    docs = spark.createDataFrame(acts, "law_id int, text string")
+    out = phrases.characters(docs, phrases.built_in(spark), ["law_id"])
+    line = next(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "MapInArrow" in x)
+    assert "text#" not in line.rsplit("[", 1)[1]
+    category = {r.law_id: r.category for r in out.collect()}
+    assert category[1] == "appropriation" and category[2] != "appropriation" and category[3] == ""
