@@ -265,3 +265,18 @@ def test_normalize_whitespace_of_plain_and_odd_texts(spark):
         return s.strip(" \t\n\r")
 
     assert [r.s for r in df.select("i", T.normalize_whitespace(F.col("s")).alias("s")).orderBy("i").collect()] == [want(s) for s in said]
+
+
+def test_manifest_deals_operations_out_before_it_collects_them(spark):
+    ops = [
+        ("o1", 1, "PL-1", 1, "s1", 7, "APPEND_TEXT", "unused", "New.", "M1", "low"), ("o2", 2, "PL-1", 1, "s1", 7, "APPEND_TEXT", None, "Other.", "M1", "high"), ("o3", 3, "PL-1", 1, "s1", None, "STRIKE_INSERT", "a", "b", "M2", "high"),
+        ("o4", 1, "PL-2", 2, "s1", 7, "STRIKE_INSERT", "gone", "b", "M3", "high"), ("o5", 1, "PL-2", 2, "s2", 7, "ADD_NEW_SECTION", "x", "A new section of text", None, "high"), ("o6", 1, "PL-3", 3, None, 7, "MOVE", "x", "y", "M", "high"), ("o7", 1, "PL-4", 4, "s2", 7, "REPEAL_SECTION", "x", "y", "M", "low"),
+    ]
+    ops = spark.createDataFrame(ops, "op_id string, op_no int, law_id string, law_order int, identifier string, title int, kind string, old_text string, new_text string, marker string, confidence string")
+    sections = spark.createDataFrame([("s1", "One", "a text", "")], "identifier string, heading string, body string, notes string")
+    after, told = patch.apply_manifest(sections, ops)
+    assert {r.op_id: r.status for r in told.collect()} == {
+        "o1": "executed", "o2": "already-present", "o3": "skipped-no-title", "o4": "fallback-note:executed", "o5": "executed", "o6": "unsupported", "o7": "withheld-preserved-by-note",
+    }
+    assert {tuple(r) for r in after.collect()} == {("s1", "One", "a text", "[M1] New.\n[M3] b\n"), ("s2", "A new section of tex", "A new section of text", "")}
+    assert "REPARTITION_BY_COL" in told._jdf.queryExecution().executedPlan().toString()
