@@ -81,21 +81,22 @@ def pool(cards: DataFrame, duplicates: DataFrame, attachments: DataFrame) -> Dat
     return rows.withColumns({"score": F.col("score") - F.when(F.col("is_description"), DESCRIPTION_COST).otherwise(0), "warnings": F.array_compact(F.array_append("warnings", F.col("note")))}).drop("note")
 
 
-def select_source(cards: DataFrame, candidates: DataFrame) -> DataFrame:
+def select_source(cards: DataFrame, candidates: DataFrame, text: bool = True) -> DataFrame:
     """(law_id, selected_name, selected_url, source_sha256, characters, score, matches, warnings, error, candidate_count, looks_enacted, text) of every law: the usable
     candidate of the highest score, of equals the longest, then the first of description, duplicates and attachments by name and text. Laws without one
-    have an error, as has a law without candidates."""
-    fields = ["name", "url", "characters", "score", "matches", "warnings", "text"]
-    order = F.struct((-F.col("score")).alias("a"), (-F.col("characters")).alias("b"), "place", "name", F.sha2("text", 256).alias("c"))
-    best = candidates.withColumns({"_usable": usable(), "_enacted": looks_enacted()}).groupBy("law_id").agg(
+    have an error, as has a law without candidates. text: whether the texts go along; without them the choice moves their digests only."""
+    fields = ["name", "url", "characters", "score", "matches", "warnings", "_sha", *(["text"] if text else [])]
+    order = F.struct((-F.col("score")).alias("a"), (-F.col("characters")).alias("b"), "place", "name", F.col("_sha").alias("c"))
+    rows = candidates.withColumns({"_usable": usable(), "_enacted": looks_enacted(), "_sha": F.sha2("text", 256)})
+    best = rows.select("law_id", *fields, "place", "_usable", "_enacted").groupBy("law_id").agg(
         F.min_by(F.when(F.col("_usable"), F.struct(*fields, "_enacted")), F.when(F.col("_usable"), order)).alias("s"), F.count("*").alias("candidate_count")
     )
     rows = cards.select("law_id").join(best, "law_id", "left")
     none = F.array().cast("array<string>")
     return rows.select(
-        "law_id", F.coalesce("s.name", F.lit("")).alias("selected_name"), F.coalesce("s.url", F.lit("")).alias("selected_url"), F.coalesce(F.sha2("s.text", 256), F.lit("")).alias("source_sha256"), F.coalesce("s.characters", F.lit(0)).alias("characters"),
+        "law_id", F.coalesce("s.name", F.lit("")).alias("selected_name"), F.coalesce("s.url", F.lit("")).alias("selected_url"), F.coalesce("s._sha", F.lit("")).alias("source_sha256"), F.coalesce("s.characters", F.lit(0)).alias("characters"),
         F.coalesce("s.score", F.lit(0.0)).alias("score"), F.coalesce("s.matches", none).alias("matches"), F.coalesce("s.warnings", none).alias("warnings"), F.when(F.col("s").isNull(), NO_SOURCE).otherwise("").alias("error"),
-        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("s._enacted", F.lit(False)).alias("looks_enacted"), "s.text",
+        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("s._enacted", F.lit(False)).alias("looks_enacted"), *(["s.text"] if text else []),
     )
 
 

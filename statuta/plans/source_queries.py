@@ -61,14 +61,14 @@ _FIELDS = "coalesce(b.name, '') as selected_name, coalesce(b.url, '') as selecte
 
 @query(f"with {_POOL} select s.law_id, {_FIELDS}, case when b.law_id is null then '{S.NO_SOURCE}' else '' end as error, coalesce(n, 0) as candidate_count, coalesce(b.enacted, false) as looks_enacted from {{sourced}} s left join best b using (law_id) left join {_COUNTED} c using (law_id)")
 def wn2_select_source(sourced, alternates, papers):
-    out = _joined(S.select_source(sourced, _pool(sourced, alternates, papers)))
-    return out.withColumn("score", F.round("score", 6)).drop("text")
+    out = _joined(S.select_source(sourced, _pool(sourced, alternates, papers), text=False))
+    return out.withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_POOL} select s.law_id, s.title, s.status, {_FIELDS}, case when s.status = 'active' and b.law_id is null then '{S.NO_SOURCE}' else '' end as error, case when s.status = 'active' then coalesce(n, 0) else 0 end as candidate_count from {{sourced}} s left join (select * from best where law_id in (select law_id from {{sourced}} where status = 'active')) b using (law_id) left join {_COUNTED} c using (law_id)")
 def snk2_source_register(sourced, alternates, papers):
     active = sourced.where("status = 'active'")
-    selected = S.select_source(active, S.pool(active, alternates, papers))
+    selected = S.select_source(active, S.pool(active, alternates, papers), text=False)
     return S.source_register(sourced, selected).withColumn("score", F.round("score", 6))
 
 

@@ -31,3 +31,16 @@ def test_a_short_description_needs_the_formula_the_number_and_two_signals(spark)
 
 def test_no_laws(spark):
     assert chosen(spark, []) == {}
+
+
+def test_texts_stay_behind_where_only_their_digest_is_asked_for(spark):
+    said = "Be it enacted. Public Law 1-2. " + "An office shall keep lists of makers and of what they sell. " * 10
+    cards = spark.createDataFrame([("PL-1", 1, 2, "Lists of makers", "u", said), ("PL-2", 1, 3, "Nothing", "u", None)], "law_id string, congress int, number int, title string, url string, description string")
+    duplicates = spark.createDataFrame([], "law_id string, card_id string, card_name string, url string, description string")
+    papers = spark.createDataFrame([("PL-1", "signed act", "a.txt", "v", said + "More.")], "law_id string, name string, file string, url string, text string")
+    pool = S.pool(cards, duplicates, papers)
+    whole, slim = S.select_source(cards, pool), S.select_source(cards, pool, text=False)
+    assert sorted(map(repr, whole.drop("text").collect())) == sorted(map(repr, slim.collect()))
+    assert {r.law_id: r.text for r in whole.collect()} == {"PL-1": said + "More.", "PL-2": None}
+    lines = [x for x in slim._jdf.queryExecution().executedPlan().toString().split("\n") if "Aggregate" in x]
+    assert lines and not any("text#" in x for x in lines)
