@@ -1,7 +1,8 @@
 """Gates over ledgers: catalogues of rules that must hold, checked for many runs of a review at once.
 
 A rule has a scope (run, law or provision), a name and a condition over a row; a null condition is broken. What a rule
-needs of other ledgers is joined to the row once for all rules of its scope: a scope is one plan, not one a rule. Totals
+needs of other ledgers is joined to the row once for all rules of its scope: a scope is one plan, not one a rule. A rule is
+checked where the texts it needs are, and goes on as a bit. Totals
 of a run come from one aggregation with partial sums, so that a run may hold most rows.
 
 A ledger with several rows of one key (index, validation records, plan) gives its first: the smallest row by `ord` or by
