@@ -153,31 +153,36 @@ def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame)
     kind, title, section); of added texts and of edits, of each different one. Edits without an old text, or over 4,000
     characters of it or 8,000 of the new one, don't count."""
     rows = _known(targets(docs, id_col, text_col), sections)
-    edits_of = strikes(rows, id_col)
     whole = ~F.col("subdivision")
     kind = (
         F.when((F.col("verb") == "repealed") & whole, "REPEAL_SECTION").when(F.col("verb") == "repealed", "REPEAL_PART")
         .when(whole & F.col("window").rlike(RESTATED), "REPLACE_SECTION").when(F.col("window").rlike(ADDED), "APPEND_TEXT")
     )
-    rows = once(rows, kind=kind).where("kind is not null")
+    rows = once(rows, kind=kind)
     block = F.when(F.col("kind") == "REPLACE_SECTION", following(F.col("window"), RESTATED)).when(F.col("kind") == "APPEND_TEXT", following(F.col("window"), ADDED)).when(F.col("kind") == "REPEAL_PART", F.trim("window")).otherwise("")
-    rows = once(rows, block=block).where("kind = 'REPEAL_SECTION' or block <> ''")
+    rows = once(rows, block=block)
+    # What a target orders as a whole and its quoted edits are rows of one pass over the texts.
+    none = F.lit("")
+    ordered = F.struct("kind", "block", none.alias("old_text"), none.alias("new_text"))
+    edit = lambda p: F.struct(F.lit("STRIKE_INSERT").alias("kind"), none.alias("block"), p["old"].alias("old_text"), p["new"].alias("new_text"))
+    said = rows.select(id_col, "start", "title", "section", "section_exists", F.inline(F.concat(F.array(ordered), F.transform(quoted(), edit))))
+    struck = F.col("kind") == "STRIKE_INSERT"
+    said = said.where("kind is not null").withColumns({c: F.when(struck, T.normalize_whitespace(F.col(c))).otherwise("") for c in ("old_text", "new_text")})
+    said = said.where("case kind when 'STRIKE_INSERT' then old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000 when 'REPEAL_SECTION' then true else block <> '' end")
     digest = F.when(F.col("kind") == "APPEND_TEXT", F.left(F.sha2("block", 256), F.lit(16))).otherwise("")
-    first = rows.groupBy(id_col, "kind", "title", "section", digest.alias("digest")).agg(F.min_by(F.struct("block", "section_exists"), "start").alias("r")).select(id_col, "kind", "title", "section", "r.*")
+    keys = [id_col, "kind", "title", "section", "old_text", "new_text"]
+    first = said.groupBy(*keys, digest.alias("digest")).agg(F.min_by(F.struct("block", "section_exists"), "start").alias("r")).select(*keys, "r.*")
     named = F.rtrim(F.regexp_extract(F.left("block", F.lit(700)), FIRST_LINE, 1), F.lit(".")) == F.col("section")
     restated = (F.col("kind") == "REPLACE_SECTION") & named & F.length("block").between(80, 30_000)
-    sure = F.col("section_exists") & (restated | (F.col("kind") == "REPEAL_SECTION"))
-    whole_ones = first.select(id_col, "kind", "title", "section", "block", F.lit("").alias("old_text"), F.lit("").alias("new_text"), F.when(sure, "high").otherwise("medium").alias("confidence"))
-    return whole_ones.unionByName(edits_of)
+    sure = F.col("section_exists") & (restated | F.col("kind").isin("REPEAL_SECTION", "STRIKE_INSERT"))
+    return first.select(id_col, "kind", "title", "section", "block", "old_text", "new_text", F.when(sure, "high").otherwise("medium").alias("confidence"))
 
 
-def strikes(rows: DataFrame, id_col: str) -> DataFrame:
-    """The STRIKE_INSERT operations of targets with section_exists."""
+def quoted() -> Column:
+    """The quoted pairs (old, new) that a target's window strikes and inserts."""
     groups = [F.regexp_extract_all("window", F.lit(STRIKE), F.lit(k)) for k in (1, 2)]
-    pairs = rows.where("verb = 'amended'").select(id_col, "title", "section", "section_exists", F.explode(F.arrays_zip(groups[0].alias("old"), groups[1].alias("new"))).alias("p"))
-    said = pairs.select(id_col, "title", "section", "section_exists", T.normalize_whitespace(F.col("p.old")).alias("old_text"), T.normalize_whitespace(F.col("p.new")).alias("new_text"))
-    usable = said.where("old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000").distinct()
-    return usable.select(id_col, F.lit("STRIKE_INSERT").alias("kind"), "title", "section", F.lit("").alias("block"), "old_text", "new_text", F.when(F.col("section_exists"), "high").otherwise("medium").alias("confidence"))
+    pairs = F.arrays_zip(groups[0].alias("old"), groups[1].alias("new"))
+    return F.when((F.col("verb") == "amended") & F.lower("window").contains("striking"), pairs).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
 
 
 def chronology(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

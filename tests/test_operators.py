@@ -280,3 +280,16 @@ def test_manifest_deals_operations_out_before_it_collects_them(spark):
     }
     assert {tuple(r) for r in after.collect()} == {("s1", "One", "a text", "[M1] New.\n[M3] b\n"), ("s2", "A new section of tex", "A new section of text", "")}
     assert "REPARTITION_BY_COL" in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_operations_are_one_pass_over_the_texts(spark):
+    from statuta.operators import edits
+
+    said = 'Section 5 of title 7, United States Code, is amended by STRIKING "one" and inserting "two", by striking "one" and inserting "two" and by adding at the end the following: "(z) More.". Section 6 of title 7, United States Code, is hereby repealed.'
+    docs = spark.createDataFrame([("A", said), ("B", None)], "law_id string, text string")
+    sections = spark.createDataFrame([(7, "5")], "title int, section string")
+    out = edits.operations(docs, "law_id", "text", sections)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.kind, r.section, r.old_text, r.new_text, r.confidence) for r in out.collect())
+    assert [g for g in got if g[0] != "APPEND_TEXT"] == [("REPEAL_SECTION", "6", "", "", "medium"), ("STRIKE_INSERT", "5", "one", "two", "high")]
+    assert [g[:2] for g in got if g[0] == "APPEND_TEXT"] == [("APPEND_TEXT", "5")]
