@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator, Sequence
 
@@ -33,9 +35,13 @@ RESTATED = r"(?is)\b(?:to\s+read|by\s+striking\s+.*?and\s+inserting)\s+as\s+foll
 ADDED = r"(?is)\bby\s+(?:adding|inserting)\s+(?:at\s+the\s+end\s+)?(?:the\s+following|after\s+[^:]{1,300}\s+the\s+following)\s*[:—-]"
 #: How a match of each pattern begins: a character out of a set comes first, which the search skips to.
 TARGET_STARTS = (r"[sS\u017f](?i:ection)", r"\d\d?\s+[uU]")
+#: What a text must hold for a match with the start of the same place; a literal comes first, so that the search is fast.
+TARGET_NEEDS = (r"", r"§(?<=[cC.\s]§)")
 CHAPTER_STARTS = (r"[cC](?i:hapter)",)
 LAW_STARTS = (r"[pP](?i:ub|\.?l)",)
 STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
+#: What targets may order.
+KINDS = ("REPEAL_SECTION", "REPEAL_PART", "REPLACE_SECTION", "APPEND_TEXT", "STRIKE_INSERT")
 #: Groups of verbs near a reference to another law.
 EDGE_VERBS = {"amend": "amend", "delay": "delay|postpone|suspend", "extend": "extend|reauthoriz", "repeal": "repeal", "revive": "reviv|reinstat|restor", "supersede": "supersed"}
 
@@ -43,11 +49,14 @@ EDGE_VERBS = {"amend": "amend", "delay": "delay|postpone|suspend", "extend": "ex
 SLICE_CHARS = 4_000_000
 
 
-def matches(text: str, pattern: re.Pattern, starts: Sequence[re.Pattern]) -> Iterator[re.Match]:
-    """What pattern.finditer gives, tried only where one of `starts` matches: every match, never an empty one, begins at such a place."""
+def matches(text: str, pattern: re.Pattern, starts: Sequence[re.Pattern], needs: Sequence[re.Pattern] = ()) -> Iterator[re.Match]:
+    """What pattern.finditer gives, tried only where one of `starts` matches: every match, never an empty one, begins at such a place. Where a
+    text doesn't hold what a start `needs`, that start is passed over."""
     if not starts:
         yield from pattern.finditer(text)
         return
+    if needs:
+        starts = [s for s, n in zip(starts, needs, strict=True) if n.search(text)]
     ahead = [s.search(text) for s in starts]
     while places := [m.start() for m in ahead if m]:
         found = pattern.match(text, min(places))
@@ -57,14 +66,14 @@ def matches(text: str, pattern: re.Pattern, starts: Sequence[re.Pattern]) -> Ite
         ahead = [m if m is None or m.start() >= at else s.search(text, at) for m, s in zip(ahead, starts, strict=True)]
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: int, after: int, starts: Sequence[str] = ()) -> DataFrame:
-    """(id, start, raw, groups, before, after) of every match, with so many characters on either side. starts: see `matches`."""
+def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: int, after: int, starts: Sequence[str] = (), needs: Sequence[str] = ()) -> DataFrame:
+    """(id, start, raw, groups, before, after) of every match, with so many characters on either side. starts, needs: see `matches`."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     names = [id_col, "start", "raw", "groups", "before", "after"]
     types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, firsts = re.compile(pattern), [re.compile(s) for s in starts]
+        compiled, firsts, held = re.compile(pattern), [re.compile(s) for s in starts], [re.compile(n) for n in needs]
         for batch in batches:
             at, rows, size = [], [], 0
 
@@ -73,7 +82,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: i
 
             for i, said in enumerate(batch.column(1)):
                 text = said.as_py() or ""
-                for m in matches(text, compiled, firsts):
+                for m in matches(text, compiled, firsts, held):
                     at.append(i)
                     rows.append((m.start(), m[0], [g or "" for g in m.groups()], text[max(0, m.start() - before) : m.start()], text[m.end() : m.end() + after]))
                     size += before + after
@@ -105,7 +114,7 @@ def following(text: Column, pattern: str) -> Column:
 
 
 def bare(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r'^["“”]+|["“”]+$', "")
+    return F.btrim(F.btrim(text, F.lit(" \t\n\x0b\f\r")), F.lit('"“”'))
 
 
 def _known(rows: DataFrame, sections: DataFrame) -> DataFrame:
@@ -114,7 +123,7 @@ def _known(rows: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFrame, sections: DataFrame) -> DataFrame:
-    """(id, title, section, chapter, heading, block, confidence): sections to be added to a chapter of the
+    """(id, title, section, chapter, heading, block, n_chars, confidence): sections to be added to a chapter of the
     Code, the first of each (id, title, section). High where the chapter exists, the section doesn't and the
     block has 40 characters. A section number without the chapter's formula never counts."""
     found = windows(docs, id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
@@ -122,19 +131,21 @@ def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFram
     cut = once(found.where("at > 0").drop("after"), block=F.expr("substring(window, at, 2147483647)"))
     rows = cut.select(
         id_col, "start", F.get("groups", F.lit(1)).cast("int").alias("title"), F.rtrim(F.regexp_extract("block", FIRST_LINE, 1), F.lit(".")).alias("section"),
-        F.get("groups", F.lit(0)).alias("chapter"), F.btrim(F.regexp_extract("block", FIRST_LINE, 2), F.lit(" .—-")).alias("heading"), "block",
+        F.get("groups", F.lit(0)).alias("chapter"), F.btrim(F.regexp_extract("block", FIRST_LINE, 2), F.lit(" .—-")).alias("heading"), "block", F.length("block").cast("long").alias("n_chars"),
     )
-    first = rows.groupBy(id_col, "title", "section").agg(F.min_by(F.struct("chapter", "heading", "block"), "start").alias("r")).select(id_col, "title", "section", "r.*")
+    # An aggregate for each column, so that blocks that nobody asks for aren't moved.
+    columns = ("chapter", "heading", "block", "n_chars")
+    first = rows.groupBy(id_col, "title", "section").agg(*[F.min_by(c, "start").alias(c) for c in columns])
     known = _known(first, sections).join(chapters.select("title", "chapter").distinct().withColumn("chapter_exists", F.lit(True)), ["title", "chapter"], "left")
-    sure = F.coalesce("chapter_exists", F.lit(False)) & ~F.col("section_exists") & (F.length("block") >= 40)
-    return known.select(id_col, "title", "section", "chapter", "heading", "block", F.when(sure, "high").otherwise("medium").alias("confidence"))
+    sure = F.coalesce("chapter_exists", F.lit(False)) & ~F.col("section_exists") & (F.col("n_chars") >= 40)
+    return known.select(id_col, "title", "section", *columns, F.when(sure, "high").otherwise("medium").alias("confidence"))
 
 
 def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, verb, subdivision, window): citations that are followed, within their
     sentence, by an order to amend or repeal. subdivision: a part of the section is named, in the citation or
     between it and the verb."""
-    found = windows(docs, id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS)
+    found = windows(docs, id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS, TARGET_NEEDS)
     g = lambda k: F.get("groups", F.lit(k))
     cut = once(once(found, said=F.concat("raw", "after")).drop("after"), window=until_next_section(F.col("said"), 100)).drop("said")
     near = once(cut, near=F.expr("left(substring(window, length(raw) + 1), 700)"))
@@ -146,32 +157,40 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame) -> DataFrame:
+def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """(id, kind, title, section, block, old_text, new_text, confidence) of what targets order. A repealed section is
     repealed whole only if no part is named; a restated one is replaced; text added to it, and a repealed part, become
     notes; each quoted pair of texts to strike and to insert is an edit of its own, also in a part. First of each (id,
     kind, title, section); of added texts and of edits, of each different one. Edits without an old text, or over 4,000
-    characters of it or 8,000 of the new one, don't count."""
-    rows = _known(targets(docs, id_col, text_col), sections)
+    characters of it or 8,000 of the new one, don't count. kinds: those that are asked for; work that only others need is left out."""
+    asked = lambda *names: any(n in kinds for n in names)
+    verbs = [v for v, names in (("repealed", ("REPEAL_SECTION", "REPEAL_PART")), ("amended", ("REPLACE_SECTION", "APPEND_TEXT", "STRIKE_INSERT"))) if asked(*names)]
+    rows = targets(docs, id_col, text_col).where(F.col("verb").isin(verbs))
     whole = ~F.col("subdivision")
-    kind = (
-        F.when((F.col("verb") == "repealed") & whole, "REPEAL_SECTION").when(F.col("verb") == "repealed", "REPEAL_PART")
-        .when(whole & F.col("window").rlike(RESTATED), "REPLACE_SECTION").when(F.col("window").rlike(ADDED), "APPEND_TEXT")
-    )
+    amended = F.col("verb") == "amended"
+    kind = F.when(~amended, F.when(whole, "REPEAL_SECTION").otherwise("REPEAL_PART"))
+    if asked("REPLACE_SECTION", "APPEND_TEXT"):
+        kind = kind.when(F.col("window").rlike(RESTATED) & whole, "REPLACE_SECTION")
+    if asked("APPEND_TEXT"):
+        kind = kind.when(F.col("window").rlike(ADDED), "APPEND_TEXT")
     rows = once(rows, kind=kind)
+    if not asked("STRIKE_INSERT"):
+        rows = rows.where(F.col("kind").isin(list(kinds)))
     block = F.when(F.col("kind") == "REPLACE_SECTION", following(F.col("window"), RESTATED)).when(F.col("kind") == "APPEND_TEXT", following(F.col("window"), ADDED)).when(F.col("kind") == "REPEAL_PART", F.trim("window")).otherwise("")
     rows = once(rows, block=block)
     # What a target orders as a whole and its quoted edits are rows of one pass over the texts.
     none = F.lit("")
     ordered = F.struct("kind", "block", none.alias("old_text"), none.alias("new_text"))
     edit = lambda p: F.struct(F.lit("STRIKE_INSERT").alias("kind"), none.alias("block"), p["old"].alias("old_text"), p["new"].alias("new_text"))
-    said = rows.select(id_col, "start", "title", "section", "section_exists", F.inline(F.concat(F.array(ordered), F.transform(quoted(), edit))))
+    every = F.concat(F.array(ordered), F.transform(quoted(), edit)) if asked("STRIKE_INSERT") else F.array(ordered)
+    said = rows.select(id_col, "start", "title", "section", F.inline(every)).where(F.col("kind").isin(list(kinds)))
     struck = F.col("kind") == "STRIKE_INSERT"
-    said = said.where("kind is not null").withColumns({c: F.when(struck, T.normalize_whitespace(F.col(c))).otherwise("") for c in ("old_text", "new_text")})
+    said = said.withColumns({c: F.when(struck, T.normalize_whitespace(F.col(c))).otherwise("") for c in ("old_text", "new_text")})
     said = said.where("case kind when 'STRIKE_INSERT' then old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000 when 'REPEAL_SECTION' then true else block <> '' end")
     digest = F.when(F.col("kind") == "APPEND_TEXT", F.left(F.sha2("block", 256), F.lit(16))).otherwise("")
     keys = [id_col, "kind", "title", "section", "old_text", "new_text"]
-    first = said.groupBy(*keys, digest.alias("digest")).agg(F.min_by(F.struct("block", "section_exists"), "start").alias("r")).select(*keys, "r.*")
+    # Sections are met only by what is left, not by all windows.
+    first = _known(said.groupBy(*keys, digest.alias("digest")).agg(F.min_by("block", "start").alias("block")), sections)
     named = F.rtrim(F.regexp_extract(F.left("block", F.lit(700)), FIRST_LINE, 1), F.lit(".")) == F.col("section")
     restated = (F.col("kind") == "REPLACE_SECTION") & named & F.length("block").between(80, 30_000)
     sure = F.col("section_exists") & (restated | F.col("kind").isin("REPEAL_SECTION", "STRIKE_INSERT"))
@@ -192,6 +211,8 @@ def chronology(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     g = lambda k: F.get("groups", F.lit(k)).cast("int").cast("string")
     found = once(found.withColumn("ahead", F.concat("raw", "after")), near=F.lower(F.concat(F.col("before"), F.left("ahead", F.lit(200)))))
     near, ahead = F.col("near"), F.col("ahead")
-    verbs = F.array_join(F.array_compact(F.array(*[F.when(near.rlike(p), name) for name, p in EDGE_VERBS.items()])), ",")
-    context = F.trim(F.regexp_replace(F.concat(F.right("before", F.lit(90)), F.left(ahead, F.lit(90))), r"\s+", " "))
+    said = lambda words: functools.reduce(operator.or_, [near.contains(w) for w in words.split("|")])
+    verbs = F.concat_ws(",", *[F.when(said(words), name) for name, words in EDGE_VERBS.items()])
+    # Single blanks stay as they are and are not replaced by themselves.
+    context = F.trim(F.regexp_replace(F.concat(F.right("before", F.lit(90)), F.left(ahead, F.lit(90))), r"[\t-\r]\s*+| \s++", " "))
     return found.select(id_col, T.law_id(g(0), g(1)).alias("target"), verbs.alias("verbs"), context.alias("context")).where(F.col(id_col) != F.col("target"))

@@ -15,7 +15,7 @@ left join (select distinct title, section from {sections}) e using (title, secti
 def ex7_new_sections(bills, sections):
     chapters = sections.select("title", (F.col("title") % 10).cast("string").alias("chapter"))
     out = edits.new_sections(bills, "law_id", "text", chapters, sections)
-    return out.select("law_id", "title", "section", "chapter", "heading", "confidence", F.length("block").cast("long").alias("n_chars"))
+    return out.select("law_id", "title", "section", "chapter", "heading", "confidence", "n_chars")
 
 
 _TARGET = r"'Section (\d+)((?:\(b\))?) of title (\d+), United States Code, ((?:subsection \(c\))?)[^.;]*, is (?:hereby )?(amended|repealed)'"
@@ -33,20 +33,20 @@ _ORDERED = """(select law_id, text, regexp_extract(text, 'EDITS\\. Section (\\d+
 @query(f"""select o.law_id, o.title, o.section, case when e.section is not null and regexp_extract(said, 'follows: "§ (\\d+)\\.', 1) = o.section then 'high' else 'medium' end as confidence,
  sha256(regexp_extract(said, '(?s)follows: "(.*)$', 1)) as block from {_ORDERED} o left join (select distinct title, section from {{sections}}) e using (title, section) where contains(said, 'to read as follows') and not part""")
 def ex10_restatements(bills, sections):
-    out = edits.operations(bills, "law_id", "text", sections).where("kind = 'REPLACE_SECTION'")
+    out = edits.operations(bills, "law_id", "text", sections, ["REPLACE_SECTION"])
     return out.select("law_id", "title", "section", "confidence", F.sha2("block", 256).alias("block"))
 
 
 @query(f"""select law_id, title, section, left(sha256(regexp_extract(said, '(?s)the following: "(.*)$', 1)), 16) as hash16 from {_ORDERED} where contains(said, 'by adding at the end')""")
 def ex11_appended(bills, sections):
-    out = edits.operations(bills, "law_id", "text", sections).where("kind = 'APPEND_TEXT'")
+    out = edits.operations(bills, "law_id", "text", sections, ["APPEND_TEXT"])
     return out.select("law_id", "title", "section", F.left(F.sha2("block", 256), F.lit(16)).alias("hash16"))
 
 
 @query(f"""select o.law_id, case when part then 'REPEAL_PART' else 'REPEAL_SECTION' end as kind, o.title, o.section, case when e.section is not null and not part then 'high' else 'medium' end as confidence
  from {_ORDERED} o left join (select distinct title, section from {{sections}}) e using (title, section) where contains(said, 'hereby repealed')""")
 def ex8_repeals(bills, sections):
-    return edits.operations(bills, "law_id", "text", sections).where("kind like 'REPEAL%'").select("law_id", "kind", "title", "section", "confidence")
+    return edits.operations(bills, "law_id", "text", sections, ["REPEAL_SECTION", "REPEAL_PART"]).select("law_id", "kind", "title", "section", "confidence")
 
 
 @query("""select law_id, target, concat_ws(',', case when regexp_matches(near, 'amend') then 'amend' end, case when regexp_matches(near, 'delay|postpone|suspend') then 'delay' end, case when regexp_matches(near, 'extend|reauthoriz') then 'extend' end,
@@ -166,5 +166,5 @@ def pl31_candidate_gate(part):
 @query("""select distinct law_id, title, section, case form when 9 then 'old item' else 'one' end as old_text, case form when 9 then 'new item' else 'two' end as new_text, case when e.s is not null then 'high' else 'medium' end as confidence
  from {acts} a left join (select distinct title as t, section as s from {sections}) e on e.t = a.title and e.s = a.section where form in (9, 10)""")
 def ex9_ordered_edits(acts, sections):
-    out = edits.operations(acts, "law_id", "text", sections).where("kind = 'STRIKE_INSERT'")
+    out = edits.operations(acts, "law_id", "text", sections, ["STRIKE_INSERT"])
     return out.select("law_id", "title", "section", "old_text", "new_text", "confidence")

@@ -293,3 +293,53 @@ def test_operations_are_one_pass_over_the_texts(spark):
     got = sorted((r.kind, r.section, r.old_text, r.new_text, r.confidence) for r in out.collect())
     assert [g for g in got if g[0] != "APPEND_TEXT"] == [("REPEAL_SECTION", "6", "", "", "medium"), ("STRIKE_INSERT", "5", "one", "two", "high")]
     assert [g[:2] for g in got if g[0] == "APPEND_TEXT"] == [("APPEND_TEXT", "5")]
+
+
+def test_kinds_leave_out_work_and_nothing_else(spark):
+    from statuta.operators import edits
+
+    at = "Section %d%s of title 5, United States Code, is "
+    orders = ["hereby repealed.", "amended to read as follows:  \t“%s. Lists\nA list of all the makers.”\n", 'amended by adding at the end the following: "(z) More."', 'amended by striking "a" and inserting "b".',
+              'amended by striking "a b" and inserting as follows: "c"; by striking "a b" and inserting "c".', "kept."]
+    docs = spark.createDataFrame([(i, "\nSEC. 7. Next. ".join(at % (i + k, p) + o.replace("%s", str(i + k)) for k, o in enumerate(orders))) for i in range(3) for p in ("", "(a)")], "id int, text string")
+    sections = spark.createDataFrame([(5, str(i)) for i in range(0, 9, 2)], "title int, section string")
+    every = sorted(map(tuple, edits.operations(docs, "id", "text", sections).collect()))
+    assert {r[1] for r in every} == set(edits.KINDS)
+    for some in (["REPLACE_SECTION"], ["APPEND_TEXT"], ["STRIKE_INSERT"], ["REPEAL_SECTION", "REPEAL_PART"], ["REPEAL_PART"], ["REPEAL_SECTION", "APPEND_TEXT"]):
+        assert sorted(map(tuple, edits.operations(docs, "id", "text", sections, some).collect())) == [r for r in every if r[1] in some]
+    plan = edits.operations(docs, "id", "text", sections, ["REPLACE_SECTION"])._jdf.queryExecution().optimizedPlan().toString()
+    assert edits.STRIKE not in plan
+    # Known sections are joined to the first of each target, not to the windows of all.
+    assert plan.index("Join") < plan.index("min_by(block")
+
+
+def test_blocks_that_nobody_asks_for_are_not_moved(spark):
+    from statuta.operators import edits
+
+    docs, chapters, none = spark.createDataFrame([(1, "")], "id int, text string"), spark.createDataFrame([], "title int, chapter string"), spark.createDataFrame([], "title int, section string")
+    out = edits.new_sections(docs, "id", "text", chapters, none)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(block" in plan(out) and "min_by(block" not in plan(out.select("section", "n_chars", "confidence"))
+
+
+def test_starts_are_searched_only_where_a_text_has_what_they_need(spark):
+    import random
+    import re
+
+    from statuta.operators import edits
+
+    parts = ["Section 5 of title 4, United States Code", "115 U.S.C. § 7", "5 u s c §§ 4(a)", "5 USC§1", "12 USC\n§ 3", "§ 7", '"§ 12. ', "C", ".", " ", "12", "3 U"]
+    pattern, starts, needs = re.compile(edits.TARGET), [re.compile(s) for s in edits.TARGET_STARTS], [re.compile(n) for n in edits.TARGET_NEEDS]
+    rng = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(7)))
+        assert [m.span() for m in edits.matches(text, pattern, starts, needs)] == [m.span() for m in pattern.finditer(text)]
+
+
+def test_edges_need_no_regular_expression(spark):
+    from statuta.operators import edits
+
+    said = "This act REVIVES,  \n and restores, Public Law 1-2 \t.  Nothing is postponed."
+    out = edits.chronology(spark.createDataFrame([("PL-009-009", said)], "law_id string, text string"), "law_id", "text")
+    assert [tuple(r) for r in out.collect()] == [("PL-009-009", "PL-001-002", "delay,revive", "This act REVIVES, and restores, Public Law 1-2 . Nothing is postponed.")]
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
