@@ -42,10 +42,11 @@ def moved(expected: DataFrame, sections: DataFrame) -> DataFrame:
 
 def unpublished(laws: DataFrame, files: DataFrame) -> DataFrame:
     """(law_id, file) of the laws that their file doesn't show. laws: (law_id, title, file, marker). A law shows by a node with its
-    marker, or by its name together with its title. Only laws without a marker meet the texts, each file's text in its own row."""
+    marker, or by its name together with its title. Only laws without a marker meet the texts, each file's text in its own row. Spark takes what comes
+    out of files for as small as what they were made of and would ship all of it to each executor, so the joins say to meet by key."""
     rows = markup.index(files)
-    at = lambda kind, name: rows.where(kind).select("file", F.col("value").alias(name)).distinct()
+    at = lambda kind, name: rows.where(kind).select("file", F.col("value").alias(name)).distinct().hint("merge")
     unmarked = laws.join(at(F.col("kind") == "node", "marker"), ["file", "marker"], "left_anti")
     named = unmarked.join(at((F.col("kind") == "law") & (F.col("part") == "name"), "law_id"), ["file", "law_id"], "left_semi")
-    shown = named.join(files.select("file", "content"), "file").where(F.col("content").contains(F.col("title"))).select("file", "law_id", "marker")
-    return unmarked.join(shown, ["file", "law_id", "marker"], "left_anti").select("law_id", "file")
+    shown = named.join(files.select("file", "content").hint("merge"), "file").where(F.col("content").contains(F.col("title"))).select("file", "law_id", "marker")
+    return unmarked.join(shown.hint("merge"), ["file", "law_id", "marker"], "left_anti").select("law_id", "file")

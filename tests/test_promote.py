@@ -25,3 +25,14 @@ def test_published_by_marker_or_name_and_title(spark):
     files = spark.createDataFrame([("f", '<n id="m1"/>Pub. L. 2–2 Lists Act. Pub. L. 3–3'), ("g", None)], "file string, content string")
     laws = spark.createDataFrame([("PL-001-001", "x", "f", "m1"), ("PL-002-002", "Lists Act", "f", "m2"), ("PL-003-003", "Other Act", "f", "m3"), ("PL-004-004", None, "g", "m1"), ("PL-005-005", "Lists Act", None, None)], "law_id string, title string, file string, marker string")
     assert sorted(r.law_id for r in P.unpublished(laws, files).collect()) == ["PL-003-003", "PL-004-004", "PL-005-005"]
+
+
+def test_what_files_hold_is_not_shipped_whole(spark, tmp_path):
+    from statuta.operators import promote
+
+    spark.createDataFrame([("f", "<p id=\"m1\">x</p>")], "file string, content string").write.parquet(str(tmp_path / "files"))
+    laws = spark.createDataFrame([("PL-001-001", "T", "f", "m1"), ("PL-001-002", "T", "f", "m2"), ("PL-001-003", "T", "g", "m1")], "law_id string, title string, file string, marker string")
+    out = promote.unpublished(laws, spark.read.parquet(str(tmp_path / "files")))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, out.collect())) == [("PL-001-002", "f"), ("PL-001-003", "g")]
