@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cards as C
 from ..sources.chunks import shared_folder
 from ..streaming import keyed
 from .base import query
@@ -22,7 +21,7 @@ def _folder(df):
 @query(f"select law_id, card_id, status, n_attachments, duplicates, last_activity::varchar as last_activity from ({_CANONICAL})")
 def sm1_intake_stream(cards, attachments):
     """Three turns of one checkpoint: each is a restart that meets the cards of the turns before."""
-    n = C.first_url_wins(attachments).groupBy("card_id").agg(F.count("*").alias("n_attachments"))
+    n = attachments.where("url <> ''").groupBy("card_id").agg(F.count_distinct("url").alias("n_attachments"))  # as many as `C.first_url_wins` keeps
     rows = cards.join(n, "card_id", "left").na.fill(0, ["n_attachments"])
     at = _folder(cards)
     turn = F.pmod(F.xxhash64("card_id"), F.lit(3))
