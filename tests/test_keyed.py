@@ -89,3 +89,12 @@ def test_a_row_of_two_turns_lands_in_both_and_a_turn_may_be_empty(spark, tmp_pat
     stop = lambda stream, n: SimpleNamespace(awaitTermination=lambda: seen.append(spark.read.schema(stream.schema).parquet(folder).count()), id="q")
     assert keyed.in_batches(spark.range(10), folder, [F.col("id") < 4, F.col("id") > 99, F.col("id") > 1], stop) == ["q"]
     assert seen == [4, 4, 12]
+
+
+def test_a_law_number_is_searched_once_a_pattern(spark):
+    from statuta.functions import text as T
+
+    df = spark.createDataFrame([("Public Law 1234-5 and P.L. 12-3456789", None), ("x 7-8", "9 – 10 | y"), ("1-2a", "3-45678"), ("", "pub l 0-0")], "a string, b string")
+    law = df.select("a", T.extract_law_number(F.col("a"), F.col("b")).alias("l"))
+    assert [r.l and tuple(r.l) for r in law.collect()] == [("PL-012-3456", 12, 3456), ("PL-009-010", 9, 10), None, ("PL-000-000", 0, 0)]
+    assert law._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 6
