@@ -40,6 +40,8 @@ TARGET_NEEDS = (r"", r"§(?<=[cC.\s]§)")
 CHAPTER_STARTS = (r"[cC](?i:hapter)",)
 LAW_STARTS = (r"[pP](?i:ub|\.?l)",)
 STRIKE = r'(?is)striking\s+["“](.*?)["”]\s+and\s+inserting\s+(?:in\s+lieu\s+thereof\s+)?["“](.*?)["”]'
+#: Fixed value: characters of an added section that is no mere mention.
+MIN_ADDED = 40
 #: What targets may order.
 KINDS = ("REPEAL_SECTION", "REPEAL_PART", "REPLACE_SECTION", "APPEND_TEXT", "STRIKE_INSERT")
 #: Groups of verbs near a reference to another law.
@@ -95,6 +97,22 @@ def windows(docs: DataFrame, id_col: str, text_col: str, pattern: str, before: i
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start int, raw string, groups array<string>, before string, after string")
 
 
+def may_add(low: Column) -> Column:
+    """Whether a text, given in lower case, may add sections to chapters."""
+    return low.contains("chapter")
+
+
+def may_target(low: Column) -> Column:
+    """Whether a text, given in lower case, may name sections to edit. Python's patterns take other letters too for the rest of `section`."""
+    return low.contains("ect") | low.contains("§")
+
+
+def holding(docs: DataFrame, id_col: str, text_col: str, told: Column) -> DataFrame:
+    """(id, text) of the docs of which `told` is true. As a column of a generator it isn't pushed below a distinct of the docs, of which all uses
+    then share one shuffle; a plain filter gives each use its own."""
+    return once(docs.select(id_col, text_col), may=told).where("may").select(id_col, text_col)
+
+
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed once a row. Filters and projections that use an alias repeat its expression at every use, and those
     within it again, which multiplies regular expressions; they don't reach through the rows of a generator."""
@@ -117,27 +135,38 @@ def bare(text: Column) -> Column:
     return F.btrim(F.btrim(text, F.lit(" \t\n\x0b\f\r")), F.lit('"“”'))
 
 
-def _known(rows: DataFrame, sections: DataFrame) -> DataFrame:
+def with_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
     """Adds section_exists. sections: (title, section)."""
     return rows.join(sections.select("title", "section").distinct().withColumn("section_exists", F.lit(True)), ["title", "section"], "left").withColumn("section_exists", F.coalesce("section_exists", F.lit(False)))
 
 
-def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFrame, sections: DataFrame) -> DataFrame:
-    """(id, title, section, chapter, heading, block, n_chars, confidence): sections to be added to a chapter of the
-    Code, the first of each (id, title, section). High where the chapter exists, the section doesn't and the
-    block has 40 characters. A section number without the chapter's formula never counts."""
-    found = windows(docs, id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
+def added_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, title, section, chapter, heading, block, n_chars) of every section that a text adds to a chapter."""
+    found = windows(holding(docs, id_col, text_col, may_add(F.lower(text_col))), id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
     found = once(once(found, window=bare(until_next_section(F.col("after"), 120))), at=F.regexp_instr("window", F.lit(FIRST_LINE)))
     cut = once(found.where("at > 0").drop("after"), block=F.expr("substring(window, at, 2147483647)"))
-    rows = cut.select(
+    return cut.select(
         id_col, "start", F.get("groups", F.lit(1)).cast("int").alias("title"), F.rtrim(F.regexp_extract("block", FIRST_LINE, 1), F.lit(".")).alias("section"),
         F.get("groups", F.lit(0)).alias("chapter"), F.btrim(F.regexp_extract("block", FIRST_LINE, 2), F.lit(" .—-")).alias("heading"), "block", F.length("block").cast("long").alias("n_chars"),
     )
+
+
+def with_chapters(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Adds chapter_exists. chapters: (title, chapter)."""
+    known = rows.join(chapters.select("title", "chapter").distinct().withColumn("chapter_exists", F.lit(True)), ["title", "chapter"], "left")
+    return known.withColumn("chapter_exists", F.coalesce("chapter_exists", F.lit(False)))
+
+
+def new_sections(docs: DataFrame, id_col: str, text_col: str, chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """(id, title, section, chapter, heading, block, n_chars, confidence): sections to be added to a chapter of the
+    Code, the first of each (id, title, section). High where the chapter exists, the section doesn't and the
+    block has 40 characters. A section number without the chapter's formula never counts."""
+    rows = added_blocks(docs, id_col, text_col)
     # An aggregate for each column, so that blocks that nobody asks for aren't moved.
     columns = ("chapter", "heading", "block", "n_chars")
     first = rows.groupBy(id_col, "title", "section").agg(*[F.min_by(c, "start").alias(c) for c in columns])
-    known = _known(first, sections).join(chapters.select("title", "chapter").distinct().withColumn("chapter_exists", F.lit(True)), ["title", "chapter"], "left")
-    sure = F.coalesce("chapter_exists", F.lit(False)) & ~F.col("section_exists") & (F.col("n_chars") >= 40)
+    known = with_chapters(with_sections(first, sections), chapters)
+    sure = F.col("chapter_exists") & ~F.col("section_exists") & (F.col("n_chars") >= MIN_ADDED)
     return known.select(id_col, "title", "section", *columns, F.when(sure, "high").otherwise("medium").alias("confidence"))
 
 
@@ -145,7 +174,7 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, verb, subdivision, window): citations that are followed, within their
     sentence, by an order to amend or repeal. subdivision: a part of the section is named, in the citation or
     between it and the verb."""
-    found = windows(docs, id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS, TARGET_NEEDS)
+    found = windows(holding(docs, id_col, text_col, may_target(F.lower(text_col))), id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS, TARGET_NEEDS)
     g = lambda k: F.get("groups", F.lit(k))
     cut = once(once(found, said=F.concat("raw", "after")).drop("after"), window=until_next_section(F.col("said"), 100)).drop("said")
     near = once(cut, near=F.expr("left(substring(window, length(raw) + 1), 700)"))
@@ -157,12 +186,9 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """(id, kind, title, section, block, old_text, new_text, confidence) of what targets order. A repealed section is
-    repealed whole only if no part is named; a restated one is replaced; text added to it, and a repealed part, become
-    notes; each quoted pair of texts to strike and to insert is an edit of its own, also in a part. First of each (id,
-    kind, title, section); of added texts and of edits, of each different one. Edits without an old text, or over 4,000
-    characters of it or 8,000 of the new one, don't count. kinds: those that are asked for; work that only others need is left out."""
+def ordered(docs: DataFrame, id_col: str, text_col: str, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(id, start, kind, title, section, block, old_text, new_text, digest) of everything that targets order, repeated orders too. digest: of
+    added texts, else empty; orders of one (id, kind, title, section, old_text, new_text, digest) are the same. For the rest see `operations`."""
     asked = lambda *names: any(n in kinds for n in names)
     verbs = [v for v, names in (("repealed", ("REPEAL_SECTION", "REPEAL_PART")), ("amended", ("REPLACE_SECTION", "APPEND_TEXT", "STRIKE_INSERT"))) if asked(*names)]
     rows = targets(docs, id_col, text_col).where(F.col("verb").isin(verbs))
@@ -170,9 +196,9 @@ def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame,
     amended = F.col("verb") == "amended"
     kind = F.when(~amended, F.when(whole, "REPEAL_SECTION").otherwise("REPEAL_PART"))
     if asked("REPLACE_SECTION", "APPEND_TEXT"):
-        kind = kind.when(F.col("window").rlike(RESTATED) & whole, "REPLACE_SECTION")
+        kind = kind.when(whole & F.lower("window").contains("follows") & F.col("window").rlike(RESTATED), "REPLACE_SECTION")
     if asked("APPEND_TEXT"):
-        kind = kind.when(F.col("window").rlike(ADDED), "APPEND_TEXT")
+        kind = kind.when(F.lower("window").contains("following") & F.col("window").rlike(ADDED), "APPEND_TEXT")
     rows = once(rows, kind=kind)
     if not asked("STRIKE_INSERT"):
         rows = rows.where(F.col("kind").isin(list(kinds)))
@@ -180,20 +206,32 @@ def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame,
     rows = once(rows, block=block)
     # What a target orders as a whole and its quoted edits are rows of one pass over the texts.
     none = F.lit("")
-    ordered = F.struct("kind", "block", none.alias("old_text"), none.alias("new_text"))
-    edit = lambda p: F.struct(F.lit("STRIKE_INSERT").alias("kind"), none.alias("block"), p["old"].alias("old_text"), p["new"].alias("new_text"))
-    every = F.concat(F.array(ordered), F.transform(quoted(), edit)) if asked("STRIKE_INSERT") else F.array(ordered)
+    at_large = F.struct("kind", "block", none.alias("old_text"), none.alias("new_text"))
+    plain = T.normalize_whitespace
+    edit = lambda p: F.struct(F.lit("STRIKE_INSERT").alias("kind"), none.alias("block"), plain(p["old"]).alias("old_text"), plain(p["new"]).alias("new_text"))
+    every = F.concat(F.array(at_large), F.transform(quoted(), edit)) if asked("STRIKE_INSERT") else F.array(at_large)
     said = rows.select(id_col, "start", "title", "section", F.inline(every)).where(F.col("kind").isin(list(kinds)))
-    struck = F.col("kind") == "STRIKE_INSERT"
-    said = said.withColumns({c: F.when(struck, T.normalize_whitespace(F.col(c))).otherwise("") for c in ("old_text", "new_text")})
     said = said.where("case kind when 'STRIKE_INSERT' then old_text <> '' and length(old_text) <= 4000 and length(new_text) <= 8000 when 'REPEAL_SECTION' then true else block <> '' end")
-    digest = F.when(F.col("kind") == "APPEND_TEXT", F.left(F.sha2("block", 256), F.lit(16))).otherwise("")
-    keys = [id_col, "kind", "title", "section", "old_text", "new_text"]
-    # Sections are met only by what is left, not by all windows.
-    first = _known(said.groupBy(*keys, digest.alias("digest")).agg(F.min_by("block", "start").alias("block")), sections)
+    return said.withColumn("digest", F.when(F.col("kind") == "APPEND_TEXT", F.left(F.sha2("block", 256), F.lit(16))).otherwise(""))
+
+
+def settled() -> Column:
+    """Whether an order is of high confidence if its section exists: repeals, edits, and restatements that begin with the section's number."""
     named = F.rtrim(F.regexp_extract(F.left("block", F.lit(700)), FIRST_LINE, 1), F.lit(".")) == F.col("section")
-    restated = (F.col("kind") == "REPLACE_SECTION") & named & F.length("block").between(80, 30_000)
-    sure = F.col("section_exists") & (restated | F.col("kind").isin("REPEAL_SECTION", "STRIKE_INSERT"))
+    return F.when(F.col("kind") == "REPLACE_SECTION", named & F.length("block").between(80, 30_000)).otherwise(F.col("kind").isin("REPEAL_SECTION", "STRIKE_INSERT"))
+
+
+def operations(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(id, kind, title, section, block, old_text, new_text, confidence) of what targets order. A repealed section is
+    repealed whole only if no part is named; a restated one is replaced; text added to it, and a repealed part, become
+    notes; each quoted pair of texts to strike and to insert is an edit of its own, also in a part. First of each (id,
+    kind, title, section); of added texts and of edits, of each different one. Edits without an old text, or over 4,000
+    characters of it or 8,000 of the new one, don't count. kinds: those that are asked for; work that only others need is left out."""
+    said = ordered(docs, id_col, text_col, kinds)
+    keys = [id_col, "kind", "title", "section", "old_text", "new_text", "digest"]
+    # Sections are met only by what is left, not by all windows.
+    first = with_sections(said.groupBy(*keys).agg(F.min_by("block", "start").alias("block")), sections)
+    sure = F.col("section_exists") & settled()
     return first.select(id_col, "kind", "title", "section", "block", "old_text", "new_text", F.when(sure, "high").otherwise("medium").alias("confidence"))
 
 

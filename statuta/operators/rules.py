@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,7 @@ NON_CODE = [
     ("internal_congress", ["rules of the house", "rules of the senate", "sense of congress only", "adjournment resolution"]),
     ("one_time", ["one-time payment", "single payment", "for this event only", "authorization for the specific operation"]),
 ]
+MONEY = re.compile(r"\$\s*\d", re.ASCII)
 #: Status words, the status each gives, and words of a law in force.
 NEGATIVE_STATUS = [
     ("repealed", "repealed"), ("rescinded", "rescinded"), ("expired", "expired"), ("failed", "failed"), ("vetoed", "failed"), ("rejected", "failed"),
@@ -94,8 +96,33 @@ def permanent_rider(text_col: str = "text") -> Column:
 def needs_supplement(text: Column, operations: Column, represented: Column) -> Column:
     """Whether an enactment says more than its parsed operations: a residual marker, more sections than
     operations, or much more text."""
-    sections = F.regexp_count(text, F.lit(r"(?im)^\s*(?:SEC(?:TION)?\.?)\s+[0-9]+[A-Za-z]?\s*[.:—-]"))
-    return (present(F.lower(text), RESIDUAL) > 0) | (sections > F.greatest(F.lit(1), operations)) | (F.length(text) > F.greatest(F.lit(3500), represented + 1500))
+    return says_more(present(F.lower(text), RESIDUAL) > 0, numbered_sections(text), F.length(text), operations, represented)
+
+
+def numbered_sections(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?im)^\s*(?:SEC(?:TION)?\.?)\s+[0-9]+[A-Za-z]?\s*[.:—-]"))
+
+
+def says_more(residual: Column, sections: Column, length: Column, operations: Column, represented: Column) -> Column:
+    """needs_supplement by what it takes from the text."""
+    return residual | (sections > F.greatest(F.lit(1), operations)) | (length > F.greatest(F.lit(3500), represented + 1500))
+
+
+# The same rules on one text in lower case, for a pass that asks for many phrases of each text.
+def weight_of(low: str, phrases: list[tuple[str, int]], cap: int = 20) -> int:
+    return sum(min(cap, low.count(p) * w) for p, w in phrases if p in low)
+
+
+def how_many(low: str, phrases: list[str]) -> int:
+    return sum(p in low for p in phrases)
+
+
+def category_of(low: str) -> str:
+    for category, phrases in NON_CODE:
+        for p in phrases:
+            if p in low and (category != "appropriation" or "fiscal year" in low or "appropriated, out of" in low or MONEY.search(low)):
+                return category
+    return ""
 
 
 def status(list_name: Column, labels: Column, name: Column, description: Column) -> Column:

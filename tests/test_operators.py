@@ -343,3 +343,37 @@ def test_edges_need_no_regular_expression(spark):
     out = edits.chronology(spark.createDataFrame([("PL-009-009", said)], "law_id string, text string"), "law_id", "text")
     assert [tuple(r) for r in out.collect()] == [("PL-009-009", "PL-001-002", "delay,revive", "This act REVIVES, and restores, Public Law 1-2 . Nothing is postponed.")]
     assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_dealt_out_once_to_classify_laws(spark):
+    from statuta.operators import classify
+
+    text = 'Section 10 of title 5, United States Code, is amended by striking "old words" and inserting "new words".'
+    laws = [(f"PL-001-00{i}", f"Act {i}", t, "active", False) for i, t in enumerate((text, text + " " + text, "A commemorative coin.", "", None, text.replace("10", "11")))]
+    schema = "law_id string, name string, text string, status string, incorporated boolean"
+    docs = spark.createDataFrame([*laws, *laws], schema).distinct()
+    sections, chapters = spark.createDataFrame([(5, "10")], "title int, section string"), spark.createDataFrame([], "title int, chapter string")
+    out = classify.classify(docs, sections, chapters, "name")
+    got = sorted(map(tuple, out.collect()))
+    direct, hybrid = "DIRECT_CODE_AMENDMENT", "HYBRID_DIRECT_AMENDMENT_AND_STATUTORY_NOTE"
+    want = [(direct, 1, 1, 0), (direct, 1, 1, 0), ("NON_CODE", 0, 0, 0), ("SOURCE_UNAVAILABLE", 0, 0, 0), ("SOURCE_UNAVAILABLE", 0, 0, 0), (hybrid, 1, 0, 1)]
+    assert [(r[1], *r[3:]) for r in got] == want and [r[2] for r in got] == ["high", "high", "medium", "high", "high", "high"]
+    # One shuffle has texts, that of the distinct docs, which all passes over the texts read; none has blocks, or texts by law.
+    lines = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    dealt = [line for line in lines if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert sum("text#" in line for line in dealt) == 1, "\n".join(dealt)
+
+
+def test_phrases_of_a_text_are_told_alike_by_both_forms(spark):
+    import random
+
+    from statuta.operators import rules
+
+    rng = random.Random(5)
+    said = [p for phrases in (rules.PERMANENT, rules.TEMPORARY) for p, _ in phrases] + [p for _, phrases in rules.NON_CODE for p in phrases] + rules.RIDER + rules.RESIDUAL
+    said += ["$ 5", "$ 5", "$x", "fiscal year", "appropriates $", "Spiele", "İ", "K"]
+    texts = ["", *["".join(rng.choice([p, p.upper(), p[1:], " ", "\n"]) + rng.choice(["", " "]) for p in rng.choices(said, k=rng.choice([1, 2, 5, 40]))) for _ in range(600)]]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumns({"low": F.lower("text"), "category": rules.non_code_category("text"), "rider": rules.permanent_rider()})
+    for r in rules.character_scores(docs).withColumn("residual", rules.present(F.col("low"), rules.RESIDUAL)).collect():
+        ours = (rules.category_of(r.low), rules.weight_of(r.low, rules.PERMANENT), rules.weight_of(r.low, rules.TEMPORARY), rules.how_many(r.low, rules.RIDER) >= 2, rules.how_many(r.low, rules.RESIDUAL))
+        assert ours == (r.category, r.permanent_score, r.temporary_score, r.rider, r.residual), r.text
