@@ -49,7 +49,8 @@ def phrase_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     has none. Permanent is asked for with a temporary score only, rider of appropriations, and residual where there may be `orders`."""
     for batch in batches:
         rows = []
-        for low, name, orders in zip(*[batch.column(c).to_pylist() for c in ("low", "low_name", "orders")], strict=True):
+        # By way of numpy, as to_pylist makes an object of Arrow's for each text first.
+        for low, name, orders in zip(*[batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "low_name", "orders")], strict=True):
             if low is None:
                 rows.append(("", 0, 0, False, False))
                 continue

@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,10 +107,10 @@ def may_target(low: Column) -> Column:
     return low.contains("ect") | low.contains("§")
 
 
-def holding(docs: DataFrame, id_col: str, text_col: str, told: Column) -> DataFrame:
-    """(id, text) of the docs of which `told` is true. As a column of a generator it isn't pushed below a distinct of the docs, of which all uses
-    then share one shuffle; a plain filter gives each use its own."""
-    return once(docs.select(id_col, text_col), may=told).where("may").select(id_col, text_col)
+def holding(docs: DataFrame, id_col: str, text_col: str, may: Callable[[Column], Column]) -> DataFrame:
+    """(id, text) of the docs whose texts in lower case `may` hold what is looked for. As a column of a generator that isn't pushed below a distinct
+    of the docs, of which all uses then share one shuffle; a plain filter gives each use its own."""
+    return once(once(docs.select(id_col, text_col), low=F.lower(text_col)), may=may(F.col("low"))).where("may").select(id_col, text_col)
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -142,7 +142,7 @@ def with_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
 
 def added_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, chapter, heading, block, n_chars) of every section that a text adds to a chapter."""
-    found = windows(holding(docs, id_col, text_col, may_add(F.lower(text_col))), id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
+    found = windows(holding(docs, id_col, text_col, may_add), id_col, text_col, CHAPTER, 0, 12_000, CHAPTER_STARTS)
     found = once(once(found, window=bare(until_next_section(F.col("after"), 120))), at=F.regexp_instr("window", F.lit(FIRST_LINE)))
     cut = once(found.where("at > 0").drop("after"), block=F.expr("substring(window, at, 2147483647)"))
     return cut.select(
@@ -174,7 +174,7 @@ def targets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, title, section, verb, subdivision, window): citations that are followed, within their
     sentence, by an order to amend or repeal. subdivision: a part of the section is named, in the citation or
     between it and the verb."""
-    found = windows(holding(docs, id_col, text_col, may_target(F.lower(text_col))), id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS, TARGET_NEEDS)
+    found = windows(holding(docs, id_col, text_col, may_target), id_col, text_col, TARGET, 0, 10_000, TARGET_STARTS, TARGET_NEEDS)
     g = lambda k: F.get("groups", F.lit(k))
     cut = once(once(found, said=F.concat("raw", "after")).drop("after"), window=until_next_section(F.col("said"), 100)).drop("said")
     near = once(cut, near=F.expr("left(substring(window, length(raw) + 1), 700)"))
